@@ -1,0 +1,4 @@
+"""No streaming operator is in scope: every source is a closed, bounded batch.
+
+The package exists so that a future incremental source has an obvious home.
+"""
