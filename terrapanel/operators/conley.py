@@ -22,7 +22,6 @@ from terrapanel.session import checkpointed
 
 LEAF_PRODUCT = 1024
 MAX_LEVELS = 40
-_COLUMN_SHIFT = 1 << 30
 
 
 def place_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, metric: str) -> Column:
@@ -45,9 +44,7 @@ def _bound(dlat: Column, dlon: Column, cosine: Column, metric: str) -> Column:
 
 
 def _cell(lon: Column, lat: Column, size: float) -> Column:
-    x = F.floor((lon + 180.0) / size)
-    y = F.floor((lat + 90.0) / size)
-    return y * F.lit(_COLUMN_SHIFT) + x
+    return F.struct(F.floor((lat + 90.0) / size).alias("y"), F.floor((lon + 180.0) / size).alias("x"))
 
 
 def _cells(points: DataFrame, size: float, names: Sequence[str], parent: str | None) -> DataFrame:
@@ -91,8 +88,7 @@ def _bounds(metric: str) -> tuple[Column, Column]:
 
 def _neighbours(cells: DataFrame, size: float, columns: int, reach_degrees: float) -> DataFrame:
     """Pairs of top-level cells that can hold places within reach, each pair once."""
-    x = F.col("cell") % F.lit(_COLUMN_SHIFT)
-    y = F.floor(F.col("cell") / F.lit(_COLUMN_SHIFT))
+    x, y = F.col("cell.x"), F.col("cell.y")
     up = int(math.ceil(reach_degrees / size)) + 1
     edge = F.least(F.greatest(F.abs("s"), F.abs("n")) + F.lit(reach_degrees + size), F.lit(89.9))
     wide = F.least(F.ceil(F.lit(reach_degrees / size) / F.cos(F.radians(edge))) + 1, F.lit(columns // 2 + 1))
@@ -103,7 +99,7 @@ def _neighbours(cells: DataFrame, size: float, columns: int, reach_degrees: floa
         cells.select(F.col("cell").alias("a"), y.alias("y"), offsets.alias("xs"))
         .withColumn("dy", F.explode(F.sequence(F.lit(-up), F.lit(up))))
         .withColumn("bx", F.explode("xs"))
-        .select("a", ((F.col("y") + F.col("dy")) * F.lit(_COLUMN_SHIFT) + F.col("bx")).alias("b"))
+        .select("a", F.struct((F.col("y") + F.col("dy")).alias("y"), F.col("bx").alias("x")).alias("b"))
         .filter("a <= b")
         .join(cells.select(F.col("cell").alias("b")), "b", "left_semi")
         .select("a", "b")
