@@ -204,30 +204,3 @@ def _leaf_products(
     )
     return _pair_products(near, len(names))
 
-
-def pairs_within(points: DataFrame, key: str, cutoff_km: float, metric: str = "spherical") -> DataFrame:
-    """Explicit pairs of nearby points, each once, for small radii.
-
-    The output itself grows with the number of neighbours; use :func:`spatial_meat` when
-    only sums over pairs are wanted.
-    """
-    reach = cutoff_km / min(KM_PER_DEGREE, math.pi * EARTH_RADIUS_KM / 180.0)
-    count = max(1, int(360.0 / reach))
-    size = 360.0 / count
-    placed = points.select(key, "lon", "lat").withColumn("cell", _cell(F.col("lon"), F.col("lat"), size))
-    boxes = placed.groupBy("cell").agg(F.min("lat").alias("s"), F.max("lat").alias("n"))
-    near = _neighbours(boxes, size, count, reach)
-    a, b = _side(placed, "a"), _side(placed, "b")
-    d = place_distance(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), metric)
-    return (
-        near.join(a, F.col("a") == F.col("a_cell"))
-        .join(b, F.col("b") == F.col("b_cell"))
-        .filter((F.col("a") != F.col("b")) | (F.col(f"a_{key}") < F.col(f"b_{key}")))
-        .withColumn("distance_km", d)
-        .filter(F.col("distance_km") <= cutoff_km)
-        .select(
-            F.least(f"a_{key}", f"b_{key}").alias("left"),
-            F.greatest(f"a_{key}", f"b_{key}").alias("right"),
-            "distance_km",
-        )
-    )

@@ -15,10 +15,10 @@ from terrapanel.operators.sampling import first_rows
 def write_panel(df: DataFrame, path: str, partition: Sequence[str] = ("year",), mode: str = "overwrite") -> None:
     """Snappy Parquet by year.
 
-    Rows are spread by year and a hash of the whole key, so a big year is written by many
-    tasks and a small one does not leave a file per task.
+    The rebalance hint lets the runtime split a big year over many tasks and merge small
+    ones, so neither one huge file nor a file per task and year comes out.
     """
-    df.write.mode(mode).partitionBy(*partition).option("compression", "snappy").parquet(path)
+    df.hint("rebalance", *partition).write.mode(mode).partitionBy(*partition).option("compression", "snappy").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
