@@ -73,8 +73,7 @@ def _solve(df: DataFrame, targets: list[_Target], limit: int) -> None:
             for key in intervals:
                 group = lookup[key]
                 ordered = F.sort_array(F.collect_list(_inside(group[0])))
-                idx = F.array(*[F.lit(t.rank - t.below) for t in group])
-                aggs.append(F.transform(idx, lambda i, o=ordered: F.get(o, i)))
+                aggs.append(F.array(*[F.get(ordered, F.lit(t.rank - t.below)) for t in group]))
             for key, values in zip(intervals, _first_row(df, aggs)):
                 for t, v in zip(lookup[key], values):
                     t.value = v

@@ -1,4 +1,4 @@
-"""Rollups: one partial-then-final aggregation per call, never a join of two."""
+"""Rollups from fine to coarse areas."""
 
 from __future__ import annotations
 
@@ -15,19 +15,6 @@ EXTENSIVE = ("elec_kwh", "population")
 INTENSIVE = ("canopy_share", "nightlight", "gdp_per_capita", "prec", "pres", "rhu", "wind", "lon", "lat")
 
 
-def _aggregate(column: str, how: str) -> Column:
-    col = F.col(column)
-    if how == "sum":
-        return F.sum(col)
-    if how == "mean":
-        return F.avg(col)
-    if how == "first":  # deterministic stand-in for an arbitrary first row
-        return F.min(col)
-    if how == "distinct":
-        return F.count_distinct(col)
-    raise ValueError(how)
-
-
 def rollup(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,14 +24,48 @@ def rollup(
 ) -> DataFrame:
     """Group by ``keys``; ``how`` maps a column to sum, mean or first.
 
-    ``distinct`` maps an output name to the column whose distinct values it counts.
+    'first' takes the smallest value, so it is repeatable. ``distinct`` maps an output name
+    to the column whose distinct values it counts.
+
+    Two things would spoil the plan of one plain aggregation over wide rows. A text minimum
+    cannot sit in a hash aggregation, so such columns are grouped on first and reduced
+    afterwards, when one row per group is left. A distinct count makes Spark shuffle every
+    row with all its columns, so it runs beside the sums over its own two or three columns.
     """
-    aggs = [_aggregate(c, h).alias(c) for c, h in how.items()]
+    keys = list(keys)
+    labels = [c for c, h in how.items() if h == "first"]
+    sums: dict[str, Column] = {}
+    for c, h in how.items():
+        if h == "sum":
+            sums[f"s_{c}"] = F.sum(c)
+        elif h == "mean":
+            sums[f"s_{c}"] = F.sum(F.col(c).cast("double"))
+            sums[f"n_{c}"] = F.count(c)
+        elif h != "first":
+            raise ValueError(h)
     if count_as:
-        aggs.append(F.count(F.lit(1)).alias(count_as))
+        sums["n_rows"] = F.count(F.lit(1))
+
+    parts = df.groupBy(*keys, *labels).agg(*[v.alias(n) for n, v in sums.items()])
+    final = []
+    for c, h in how.items():
+        if h == "first":
+            final.append(F.min(c).alias(c))
+        elif h == "sum":
+            final.append(F.sum(f"s_{c}").alias(c) if labels else F.col(f"s_{c}").alias(c))
+        else:
+            s, n = (F.sum(f"s_{c}"), F.sum(f"n_{c}")) if labels else (F.col(f"s_{c}"), F.col(f"n_{c}"))
+            final.append(F.when(n > 0, s / n).alias(c))
+    if count_as:
+        final.append((F.sum("n_rows") if labels else F.col("n_rows")).alias(count_as))
+    out = parts.groupBy(*keys).agg(*final) if labels else parts.select(*keys, *final)
+
     for name, column in (distinct or {}).items():
-        aggs.append(F.count_distinct(F.col(column)).alias(name))
-    return df.groupBy(*keys).agg(*aggs)
+        seen = df.groupBy(*keys).agg(F.count_distinct(column).alias(name))
+        seen = seen.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        out = out.join(seen, same).drop(*[f"_k_{k}" for k in keys])
+    return out
 
 
 def panel_rollup_rules(df: DataFrame) -> dict[str, str]:

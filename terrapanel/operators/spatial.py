@@ -253,6 +253,13 @@ def point_in_polygon(
 # --- names --------------------------------------------------------------------------
 
 
+def _substrings(text: Column, n: int) -> Column:
+    """All substrings of length ``n``; none when the text is shorter."""
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    parts = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, parts).otherwise(F.array().cast("array<string>"))
+
+
 def first_name_match(
     needles: DataFrame, needle: str, haystack: DataFrame, hay: str, hay_order: str, literal: bool = True
 ) -> DataFrame:
@@ -266,20 +273,7 @@ def first_name_match(
     text = F.lower(F.col(hay))
     if literal:
         lengths = [r[0] for r in want.select(F.length("_needle").alias("n")).distinct().collect()]
-        parts = F.array_distinct(
-            F.flatten(
-                F.array(
-                    *[
-                        F.when(
-                            F.length(text) >= n,
-                            F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n))),
-                        ).otherwise(F.array().cast("array<string>"))
-                        for n in lengths
-                        if n
-                    ]
-                )
-            )
-        )
+        parts = F.array_distinct(F.flatten(F.array(*[_substrings(text, n) for n in lengths if n])))
         pairs = want.join(haystack.withColumn("_needle", F.explode(parts)), "_needle")
     else:
         for side in (needles, haystack):

@@ -19,15 +19,15 @@ SELECT {{keys}}, year, month, sum(elec_kwh) AS elec_kwh, CAST(sum(population) AS
   count(DISTINCT grid_id) AS grid_count, printf('%d_%02d', year, month) AS year_month
 FROM grid_panel WHERE city_name IS NOT NULL GROUP BY {{keys}}, year, month
 """
-_CITY_ROUND = "elec_kwh " + " ".join(_MEANS)
+_CITY_ROUND = "elec_kwh:4 " + " ".join(_MEANS).replace("gdp_per_capita", "gdp_per_capita:8")
 
 
-@query("city_month_rollup", _CITY_SQL.format(keys="city_name"), _CITY_ROUND, 4)
+@query("city_month_rollup", _CITY_SQL.format(keys="city_name"), _CITY_ROUND)
 def city_month_rollup(spark, sf):
     return R.city_month_panel(T.grid_panel(spark, sf))
 
 
-@query("city_month_rollup_by_id", _CITY_SQL.format(keys="city_id, city_name"), _CITY_ROUND, 4)
+@query("city_month_rollup_by_id", _CITY_SQL.format(keys="city_id, city_name"), _CITY_ROUND)
 def city_month_rollup_by_id(spark, sf):
     return R.city_month_panel(T.grid_panel(spark, sf), ("city_id", "city_name", "year", "month"))
 
@@ -51,7 +51,7 @@ for _col, _how in (
     ("population", "sum"), ("gdp_per_capita", "mean"), ("nightlight", "mean"), ("prec", "mean"), ("rhu", "mean"),
 ):
     _agg = f"CAST(sum({_col}) AS BIGINT)" if _how == "sum" else f"avg({_col})"
-    query(f"source_rollup_{_col}", _SOURCE_SQL.format(agg=_agg, col=_col), "" if _how == "sum" else _col)(
+    query(f"source_rollup_{_col}", _SOURCE_SQL.format(agg=_agg, col=_col), "" if _how == "sum" else f"{_col}:8")(
         _source(_col, _how)
     )
 
