@@ -86,7 +86,9 @@ def _sketch_cuts(df: DataFrame, column: str, probs: Sequence[float]) -> list[flo
 
 
 def _range_index(value: Column, cuts: Sequence[float]) -> Column:
-    """Number of cut points below ``value``, a literal array."""
+    """Number of cut points below ``value``."""
+    if len(cuts) <= 32:  # plain comparisons compile; a lambda over an array does not
+        return sum(((value > F.lit(float(c))).cast("int") for c in cuts), F.lit(0))
     return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda c: c < value))
 
 

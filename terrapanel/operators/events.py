@@ -19,7 +19,8 @@ def event_years(df: DataFrame, entity: str, measure: str, threshold: float = EVE
     """
     yearly = df.groupBy(entity, "year").agg(F.avg(measure).alias("_level"))
     order = W.partitionBy(entity).orderBy("year")
-    change = F.col("_level") - F.lag("_level").over(order)
+    # rounded, so that a rise of exactly the threshold counts whatever the order of addition
+    change = F.round(F.col("_level") - F.lag("_level").over(order), 9)
     consecutive = F.col("year") - F.lag("year").over(order) == 1
     marked = yearly.withColumn("_event", consecutive & (change >= threshold))
     return marked.filter("_event").groupBy(entity).agg(F.min("year").alias("event_year"))
@@ -31,6 +32,8 @@ def event_dummies(
     """Relative year, end points collecting everything beyond, and 0/1 columns but one."""
     low, high = window
     rel = F.least(F.greatest(F.col("year") - F.col("event_year"), F.lit(low)), F.lit(high))
+    # least and greatest skip NULL, so entities without an event are set apart first
+    rel = F.when(F.col("event_year").isNotNull(), rel)
     out = df.join(events, entity, "left").withColumn("relative_year", rel)
     steps = [k for k in range(low, high + 1) if k != reference]
     return out.withColumns(

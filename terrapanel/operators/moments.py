@@ -82,8 +82,10 @@ def pairwise_correlation(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndar
     with np.errstate(divide="ignore", invalid="ignore"):
         cov = xy - s * s.T / n
         vx, vy = ss - s * s / n, ss.T - s.T * s.T / n
-        floor = 1e-12 * np.maximum(ss, ss.T)
-        r = np.where((vx > floor) & (vy > floor), cov / np.sqrt(vx * vy), np.nan)
+        # a column that is constant but for rounding has no correlation
+        tiny = 1e-20 * n * (shift**2)[:, None]
+        varies = (vx > 1e-12 * ss) & (ss > tiny)
+        r = np.where(varies & varies.T, cov / np.sqrt(vx * vy), np.nan)
     r = np.clip(r, -1.0, 1.0)
     np.fill_diagonal(r, np.where(np.isnan(np.diag(r)), np.nan, 1.0))
     return r, n

@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from terrapanel.plans import panel_queries, profile_queries  # noqa: F401
+from terrapanel.plans import feature_queries, panel_queries, profile_queries, ranking_queries, spatial_queries  # noqa: F401
 from terrapanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
