@@ -89,7 +89,8 @@ def _range_index(value: Column, cuts: Sequence[float]) -> Column:
     """Number of cut points below ``value``."""
     if len(cuts) <= 32:  # plain comparisons compile; a lambda over an array does not
         return sum(((value > F.lit(float(c))).cast("int") for c in cuts), F.lit(0))
-    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda c: c < value))
+    array = F.expr("array(" + ", ".join(f"{float(c)!r}D" for c in cuts) + ")")
+    return F.size(F.filter(array, lambda c: c < value))
 
 
 def significance_table(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

@@ -1,6 +1,13 @@
 """Importing this module registers every query."""
 
-from terrapanel.plans import feature_queries, panel_queries, profile_queries, ranking_queries, spatial_queries  # noqa: F401
+from terrapanel.plans import (  # noqa: F401
+    feature_queries,
+    model_queries,
+    panel_queries,
+    profile_queries,
+    ranking_queries,
+    spatial_queries,
+)
 from terrapanel.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
