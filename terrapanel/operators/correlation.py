@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from terrapanel.functions.distributions import stars, t_two_sided_p
+from terrapanel.functions.scalars import complete_rows
 from terrapanel.operators.moments import pairwise_correlation
 from terrapanel.operators.quantiles import exact_quantiles
 
@@ -97,7 +98,7 @@ def significance_table(df: DataFrame, columns: Sequence[str], method: str = "pea
     """Pairs with r, n, two-sided p and stars. Spearman ranks rows complete in ``columns``."""
     data = df.select(*columns)
     if method == "spearman":
-        data = average_ranks(data.dropna(), columns)
+        data = average_ranks(complete_rows(data), columns)
     r, n = pairwise_correlation(data, columns)
     rows = []
     for i, a in enumerate(columns):

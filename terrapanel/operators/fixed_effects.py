@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.distributions import stars, t_two_sided_p
+from terrapanel.functions.scalars import complete_rows
 from terrapanel.operators.conley import spatial_meat
 from terrapanel.operators.moments import gram
 from terrapanel.session import checkpointed
@@ -46,7 +47,7 @@ class FixedEffectsFit:
     def rows(self, model: str) -> list[tuple]:
         out = []
         for t, b, s in zip(self.terms, self.estimates, self.errors):
-            p = t_two_sided_p(b / s, self.degrees) if s > 0 else math.nan
+            p = t_two_sided_p(float(b / s), self.degrees) if s > 0 else math.nan
             out.append((model, t, float(b), float(s), None if math.isnan(p) else p, stars(p)))
         out += [(model, t, None, None, None, "") for t in self.dropped]
         return out
@@ -166,7 +167,9 @@ def fixed_effects_ols(
         *[F.col(f"`{c}`").cast("double").alias(a) for c, a in alias.items()],
         *[F.col(e).alias(a) for e, a in effect_alias.items()],
         *[F.col(c).alias(f"x_{c}") for c in extra],
-    ).dropna()
+    )
+    # Written once: every later pass reads this narrow table, not the joins behind it.
+    base = checkpointed(complete_rows(base))
 
     first_pass = base.agg(
         F.count(F.lit(1)).alias("n"),
@@ -264,10 +267,10 @@ def fixed_effects_ols(
         n=n,
         parameters=parameters,
         r2=1.0 - rss / (n * first_pass["v"]) if first_pass["v"] else math.nan,
-        within_r2=1.0 - rss / null_rss if null_rss > 0 else math.nan,
+        within_r2=float(1.0 - rss / null_rss) if null_rss > 0 else math.nan,
         effects=list(effects),
         vcov=vcov,
         covariance=block,
-        degrees=degrees,
+        degrees=float(degrees),
         levels=levels,
     )

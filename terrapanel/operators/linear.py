@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.functions.scalars import complete_rows
 from terrapanel.operators.moments import column_means, sum_over_partitions
 
 
@@ -80,7 +81,7 @@ class FoldMoments:
 def fold_moments(df: DataFrame, features: Sequence[str], target: str, fold: str | None = None, k: int = 1) -> FoldMoments:
     """Cross products of each fold in one pass; rows with a missing value are left out."""
     cols = [*features, target]
-    ready = df.dropna(subset=cols)
+    ready = complete_rows(df, cols)
     shift = column_means(ready, cols)
     p = len(cols) + 1
 

@@ -16,6 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.functions.scalars import complete_rows
 from terrapanel.session import ensure_checkpoint_dir
 
 
@@ -35,7 +36,7 @@ def pipeline(kind: str, features: Sequence[str], target: str, **params) -> Pipel
 
 
 def fit_ensemble(df: DataFrame, features: Sequence[str], target: str, kind: str = "forest", **params) -> PipelineModel:
-    ready = df.select(*features, target).dropna()
+    ready = complete_rows(df.select(*features, target))
     return pipeline(kind, features, target, **params).fit(ready)
 
 
@@ -57,7 +58,7 @@ def search_ensemble(
         foldCol=fold,
         parallelism=parallelism,
     )
-    fitted = cv.fit(df.select(*features, target, fold).dropna())
+    fitted = cv.fit(complete_rows(df.select(*features, target, fold)))
     names = [{p.name: v for p, v in m.items()} for m in cv.getEstimatorParamMaps()]
     return fitted.bestModel, list(zip(names, fitted.avgMetrics))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrapanel.functions.scalars import complete_rows
 from terrapanel.operators import attribution as A
 from terrapanel.operators import fixed_effects as FE
 from terrapanel.operators import folds as FO
@@ -102,7 +103,7 @@ def lasso(spark, sf):
 
 @query("lasso_all")
 def lasso_all(spark, sf):
-    df = _data(spark, sf).dropna()
+    df = complete_rows(_data(spark, sf))
     scaled = L.Standardizer(T.PREDICTORS).fit(df).transform(df)
     return _terms(spark, L.fit_linear(scaled, T.PREDICTORS, "ln_elec_kwh", "lasso", 0.01))
 
@@ -131,7 +132,7 @@ def ridge_grid_search(spark, sf):
 @query("penalty_search")
 def penalty_search(spark, sf):
     """Ridge and lasso over their full penalty grids on all predictors, from one pass."""
-    df = FO.entity_folds(_data(spark, sf), "grid_id", 5).dropna()
+    df = complete_rows(FO.entity_folds(_data(spark, sf), "grid_id", 5))
     scaled = L.Standardizer(T.PREDICTORS).fit(df).transform(df)
     moments = L.fold_moments(scaled, T.PREDICTORS, "ln_elec_kwh", "fold", 5)
     rows = []
@@ -367,7 +368,7 @@ def average_importance(spark, sf):
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    df = temporal_split(_data(spark, sf), T.YEARS).select(*KEYS, *T.PREDICTORS, "ln_elec_kwh", "split").dropna()
+    df = complete_rows(temporal_split(_data(spark, sf), T.YEARS).select(*KEYS, *T.PREDICTORS, "ln_elec_kwh", "split"))
     train = df.filter(F.col("split") == "train")
     folds = FO.entity_folds(train, "grid_id", 5)
     scored, cv = {}, {}
