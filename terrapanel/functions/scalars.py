@@ -230,7 +230,7 @@ class AlbersProjection:
         rho2 = px * px + py * py
         q = (F.lit(c) - rho2 * F.lit((n / self.semi_major) ** 2)) / F.lit(n)
         # Latitude as a series in the authalic latitude: no iteration nested in the
-        # expression tree, so the plan stays small. Error is below a millimetre.
+        # expression tree, so the plan stays small. Error is a few millimetres at most.
         qp = (1 - e2) * (1 / (1 - e2) - math.log((1 - e) / (1 + e)) / (2 * e))
         beta = F.asin(F.greatest(F.least(q / F.lit(qp), F.lit(1.0)), F.lit(-1.0)))
         a2 = e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GATHER_LIMIT = 200_000
 SKETCH_ACCURACY = 10_000
@@ -189,7 +190,7 @@ def exact_quantiles_by(
         q = exact_quantiles(part, columns, probs, limit)
         rows.append(tuple(row[k] for k in keys) + tuple(q[c] for c in columns))
     for c in columns:
-        schema = schema.add(c, "array<double>")
+        schema = schema.add(c, T.ArrayType(T.DoubleType()))
     hot = spark.createDataFrame(rows, schema)
     return clean.filter(~is_big).groupBy(*keys).agg(*quantile).unionByName(hot)
 
