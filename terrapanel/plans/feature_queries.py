@@ -22,6 +22,7 @@ from terrapanel.operators import timeseries as TS
 from terrapanel.operators.rollup import rollup
 from terrapanel.plans import tables as T
 from terrapanel.plans.registry import query
+from terrapanel.session import checkpointed
 
 KEYS = ["grid_id", "year", "month"]
 _K = "grid_id, year, month"
@@ -71,10 +72,10 @@ def _train(df):
     return df.filter(F.col("year") <= 1999)
 
 
-def _categories(spark, sf, source=None):
+def _categories(spark, sf):
     """Category columns with cut points learned on the training years only."""
-    binner = E.CategoryBinner().fit(_train(T.panel(spark, sf)))
-    return binner.transform(T.panel(spark, sf) if source is None else source)
+    panel = T.stored_panel(spark, sf)
+    return E.CategoryBinner().fit(_train(panel)).transform(panel)
 
 
 @query("humidity_bins", f"SELECT {_K}, {_HUM} AS humidity_category, {_HUM_PLAIN} AS humidity_plain FROM panel")
@@ -110,7 +111,7 @@ def canopy_bins(spark, sf):
 
 @query("tertile_bins", f", {_CUTS} SELECT {_K}, {_GDP} AS gdp_category, {_POP} AS population_category FROM panel, cuts")
 def tertile_bins(spark, sf):
-    df = T.panel(spark, sf)
+    df = T.stored_panel(spark, sf)
     gdp = E.QuantileBinner("gdp_per_capita", E.GDP_LABELS).fit(_train(df))
     pop = E.QuantileBinner("population", E.POPULATION_LABELS).fit(_train(df))
     return df.select(*KEYS, gdp.expression().alias("gdp_category"), pop.expression().alias("population_category"))
@@ -124,7 +125,7 @@ def tertile_bins(spark, sf):
 )
 def tertile_bins_per_split(spark, sf):
     """Cut points learned anew on each split, for comparison with results made that way."""
-    df = P.temporal_split(T.panel(spark, sf).select(*KEYS, "gdp_per_capita"), T.YEARS)
+    df = P.temporal_split(T.stored_panel(spark, sf).select(*KEYS, "gdp_per_capita"), T.YEARS)
     out = None
     for split in T.YEARS:
         part = df.filter(F.col("split") == split)
@@ -135,7 +136,7 @@ def tertile_bins_per_split(spark, sf):
 
 @query("zero_inflated_bins", f", {_CUTS} SELECT {_K}, {_LIGHT} AS nightlight_category FROM panel, cuts")
 def zero_inflated_bins(spark, sf):
-    df = T.panel(spark, sf)
+    df = T.stored_panel(spark, sf)
     return E.ZeroInflatedBinner("nightlight").fit(_train(df)).transform(df, "nightlight_category").select(*KEYS, "nightlight_category")
 
 
@@ -146,7 +147,7 @@ def zero_inflated_bins(spark, sf):
     FROM panel, q""",
 )
 def canopy_level(spark, sf):
-    df = T.panel(spark, sf)
+    df = T.stored_panel(spark, sf)
     return E.QuantileBinner("canopy_share", ("Low", "Medium", "High")).fit(df).transform(df, "canopy_level", "High").select(
         *KEYS, "canopy_level"
     )
@@ -270,7 +271,7 @@ def grid_encoder() -> E.OneHot:
 @query("engineered_grid_features", _GRID_SQL, " ".join(["extreme_cold_share", "extreme_hot_share", "moderate_temp_share", *_GRID_DOUBLES]))
 def engineered_grid_features(spark, sf):
     keys = ["grid_id", "year", "month"]
-    panel = T.panel(spark, sf)
+    panel = T.stored_panel(spark, sf)
     binner = E.CategoryBinner().fit(_train(panel))
     joined = panel.join(T.days(spark, sf), keys, "left")
     out = engineer_grid(joined, binner, grid_encoder())
@@ -299,7 +300,7 @@ def engineered_city_features(spark, sf):
     }
     city = rollup(P.require_key(joined), ["city_name", "year", "month"], how)
     # means over a few rows may differ in the last bit between engines
-    city = city.withColumns({c: F.round(c, 9) for c in ("rhu", "prec", "canopy_share", "gdp_per_capita", "nightlight")})
+    city = checkpointed(city.withColumns({c: F.round(c, 9) for c in ("rhu", "prec", "canopy_share", "gdp_per_capita", "nightlight")}))
     binner = E.CategoryBinner().fit(_train(city))
     out = binner.transform(city.withColumn("ln_elec_kwh", F.log1p("elec_kwh")))
     out = E.category_crosses(out)

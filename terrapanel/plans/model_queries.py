@@ -21,7 +21,7 @@ _Y = "ln(elec_kwh)"
 
 
 def _data(spark, sf):
-    return T.panel(spark, sf).withColumn("ln_elec_kwh", F.log("elec_kwh"))
+    return T.stored_panel(spark, sf).withColumn("ln_elec_kwh", F.log("elec_kwh"))
 
 
 # --- scaling and folds ------------------------------------------------------------------
@@ -34,7 +34,7 @@ def _data(spark, sf):
     "rhu prec",
 )
 def standardize(spark, sf):
-    df = T.panel(spark, sf).select(*KEYS, "rhu", "prec")
+    df = T.stored_panel(spark, sf).select(*KEYS, "rhu", "prec")
     return L.Standardizer(["rhu", "prec"]).fit(df).transform(df)
 
 

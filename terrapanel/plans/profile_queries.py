@@ -50,7 +50,7 @@ def missing_profile(spark, sf):
     "min max mean std q25 q75", 6,
 )
 def range_profile(spark, sf):
-    return PR.range_profile(T.panel(spark, sf), _RANGE)
+    return PR.range_profile(T.stored_panel(spark, sf), _RANGE)
 
 
 @query(
@@ -63,7 +63,7 @@ def range_profile(spark, sf):
     "max min mean sd median p25 p75", 6,
 )
 def summary_table(spark, sf):
-    return PR.summary_table(T.panel(spark, sf).select(*_RANGE))
+    return PR.summary_table(T.stored_panel(spark, sf).select(*_RANGE))
 
 
 @query(
@@ -165,17 +165,17 @@ FROM (SELECT {expr} AS v FROM panel {where}), (SELECT min({expr}) AS lo, max({ex
 
 @query("histogram_counts", _HIST.format(bins=50, expr="rhu", where=""))
 def histogram_counts(spark, sf):
-    return PR.histogram_counts(T.panel(spark, sf), F.col("rhu"), 50)
+    return PR.histogram_counts(T.stored_panel(spark, sf), F.col("rhu"), 50)
 
 
 @query("histogram_log10", _HIST.format(bins=30, expr="log10(population + 1)", where=""))
 def histogram_log10(spark, sf):
-    return PR.histogram_counts(T.panel(spark, sf), F.log10(F.col("population") + 1), 30)
+    return PR.histogram_counts(T.stored_panel(spark, sf), F.log10(F.col("population") + 1), 30)
 
 
 @query("histogram_positive", _HIST.format(bins=30, expr="canopy_share", where="WHERE canopy_share > 0"))
 def histogram_positive(spark, sf):
-    positive = T.panel(spark, sf).filter(F.col("canopy_share") > 0)
+    positive = T.stored_panel(spark, sf).filter(F.col("canopy_share") > 0)
     return PR.histogram_counts(positive, F.col("canopy_share"), 30)
 
 
@@ -199,7 +199,7 @@ _BOX = ["elec_kwh", "prec", "rhu"]
     "q25 median q75 whisker_low whisker_high", 6,
 )
 def box_statistics(spark, sf):
-    return PR.box_statistics(T.panel(spark, sf), _BOX)
+    return PR.box_statistics(T.stored_panel(spark, sf), _BOX)
 
 
 @query(
@@ -229,7 +229,7 @@ def unpivot_days(spark, sf):
     "elec_kwh:6",
 )
 def outliers_to_median(spark, sf):
-    return PR.replace_outliers(T.panel(spark, sf), ["elec_kwh"]).select("grid_id", "year", "month", "elec_kwh")
+    return PR.replace_outliers(T.stored_panel(spark, sf), ["elec_kwh"]).select("grid_id", "year", "month", "elec_kwh")
 
 
 @query(
@@ -314,7 +314,7 @@ def median_neighbours(spark, sf):
 @query("sample_rows")
 def sample_rows(spark, sf):
     keys = ["grid_id", "year", "month"]
-    return S.sample_rows(T.panel(spark, sf).select(*keys, "elec_kwh"), keys, 2000)
+    return S.sample_rows(T.stored_panel(spark, sf).select(*keys, "elec_kwh"), keys, 2000)
 
 
 @query("sample_fraction")

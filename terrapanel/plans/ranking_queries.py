@@ -37,7 +37,7 @@ def _pair_sql(source: str, columns) -> str:
 
 @query("corr_matrix", _pair_sql("panel", _COLS), "r")
 def corr_matrix(spark, sf):
-    return C.correlation_pairs(T.panel(spark, sf), _COLS)
+    return C.correlation_pairs(T.stored_panel(spark, sf), _COLS)
 
 
 _GAPPY = """, j AS (SELECT b.elec_kwh, s.rhu, CASE WHEN b.month > 3 THEN b.gdp_per_capita END AS gdp_per_capita
@@ -59,12 +59,12 @@ def corr_matrix_pairwise(spark, sf):
 
 @query("corr_significance")
 def corr_significance(spark, sf):
-    return C.significance_table(T.panel(spark, sf), _COLS)
+    return C.significance_table(T.stored_panel(spark, sf), _COLS)
 
 
 @query("corr_formatted")
 def corr_formatted(spark, sf):
-    return C.formatted_matrix(C.significance_table(T.panel(spark, sf), _COLS), _COLS, keep="upper")
+    return C.formatted_matrix(C.significance_table(T.stored_panel(spark, sf), _COLS), _COLS, keep="upper")
 
 
 _RANKED = ["elec_kwh", "rhu", "nightlight"]
@@ -80,7 +80,7 @@ _RANKED = ["elec_kwh", "rhu", "nightlight"]
     "r",
 )
 def spearman_matrix(spark, sf):
-    return C.significance_table(T.panel(spark, sf), _RANKED, "spearman").select("x", "y", "r", "n")
+    return C.significance_table(T.stored_panel(spark, sf), _RANKED, "spearman").select("x", "y", "r", "n")
 
 
 @query(
@@ -90,7 +90,7 @@ def spearman_matrix(spark, sf):
     "r",
 )
 def strongest_partner(spark, sf):
-    return C.strongest_partner(C.correlation_pairs(T.panel(spark, sf), _COLS), _X)
+    return C.strongest_partner(C.correlation_pairs(T.stored_panel(spark, sf), _COLS), _X)
 
 
 _BINS = 8
@@ -113,7 +113,7 @@ _BINS = 8
     "importance",
 )
 def mutual_information(spark, sf):
-    return C.mutual_information(T.panel(spark, sf), _X, "elec_kwh", bins=_BINS)
+    return C.mutual_information(T.stored_panel(spark, sf), _X, "elec_kwh", bins=_BINS)
 
 
 # --- consensus --------------------------------------------------------------------------

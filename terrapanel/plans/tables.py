@@ -14,6 +14,7 @@ from terrapanel.functions.bins import TEMPERATURE_BINS, Bin
 from terrapanel.functions.scalars import kelvin_to_celsius
 from terrapanel.operators.panel import add_canopy_products
 from terrapanel.operators.timeseries import local_daily_max, monthly_bin_counts
+from terrapanel.session import checkpointed
 
 YEARS = {"train": range(1990, 2000), "validation": (2000,), "test": (2001,)}
 MEASURES = ["elec_kwh", "rhu", "prec", "canopy_share", "population", "gdp_per_capita", "nightlight"]
@@ -51,6 +52,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written once, for plans that pass over it several times.
+
+    It is far smaller than the line items it is made from, so later passes start there.
+    """
+    return checkpointed(panel(spark, sf_dir))
+
+
 def daily(spark: SparkSession, sf_dir: str, strict_month: bool = False) -> DataFrame:
     """Daily maximum temperature per grid cell, in local time."""
     kelvin = F.col("l_quantity") * 1.3 + 253.15
