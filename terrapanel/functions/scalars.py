@@ -168,7 +168,7 @@ def row_entropy(columns: Sequence[str], total: Column, floor: float = 1e-6) -> C
 
 
 def products_with(columns: Sequence[str], factor: str, suffix: str) -> dict[str, Column]:
-    return {f"{c}{suffix}": F.col(c) * F.col(factor) for c in columns}
+    return {f"{c}{suffix}": F.expr(f"`{c}` * `{factor}`") for c in columns}
 
 
 # --- coordinates -----------------------------------------------------------------

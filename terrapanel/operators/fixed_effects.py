@@ -174,14 +174,14 @@ def fixed_effects_ols(
     first_pass = base.agg(
         F.count(F.lit(1)).alias("n"),
         F.var_pop("v0").alias("v"),
-        *[F.count_distinct(a).alias(a) for a in effect_alias.values()],
-        *[F.var_pop(a).alias(f"s_{a}") for a in alias.values()],
         *[F.avg(F.col(a) * F.col(a)).alias(f"q_{a}") for a in alias.values()],
     ).first()
     n = first_pass["n"]
     if not n:
         raise ValueError("no complete rows")
-    levels = {e: first_pass[a] for e, a in effect_alias.items()}
+    # Several distinct counts copy each row once per count, so only the effects take part.
+    sizes = base.select(*effect_alias.values()).agg(*[F.count_distinct(a).alias(a) for a in effect_alias.values()]).first()
+    levels = {e: sizes[a] for e, a in effect_alias.items()}
     large = [effects[0]] + [e for e in effects[1:] if levels[e] > SMALL_EFFECT_LEVELS]
     small = [e for e in effects[1:] if e not in large]
 

@@ -133,8 +133,10 @@ def entity_coverage(df: DataFrame, entity: str = "grid_id", others: Sequence[str
     )
     if not others:
         return base
-    # both sides are single rows
-    return base.join(df.agg(*[F.count_distinct(c).alias(f"unique_{c}") for c in others]), F.lit(True))
+    more = df.agg(*[F.count_distinct(c).alias(f"unique_{c}") for c in others])
+    # two single rows, laid over each other
+    both = base.unionByName(more, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def group_size_range(df: DataFrame, key: str) -> DataFrame:

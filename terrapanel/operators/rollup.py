@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalars import columns_matching, month_label
@@ -34,31 +34,32 @@ def rollup(
     """
     keys = list(keys)
     labels = [c for c, h in how.items() if h == "first"]
-    sums: dict[str, Column] = {}
+    unknown = set(how.values()) - {"sum", "mean", "first"}
+    if unknown:
+        raise ValueError(f"unknown rules: {sorted(unknown)}")
+    # Expression text instead of column objects: these lists are long.
+    parts = []
     for c, h in how.items():
         if h == "sum":
-            sums[f"s_{c}"] = F.sum(c)
+            parts.append(f"sum(`{c}`) AS `s_{c}`")
         elif h == "mean":
-            sums[f"s_{c}"] = F.sum(F.col(c).cast("double"))
-            sums[f"n_{c}"] = F.count(c)
-        elif h != "first":
-            raise ValueError(h)
+            parts += [f"sum(cast(`{c}` AS double)) AS `s_{c}`", f"count(`{c}`) AS `n_{c}`"]
     if count_as:
-        sums["n_rows"] = F.count(F.lit(1))
+        parts.append("count(1) AS n_rows")
+    out = df.groupBy(*keys, *labels).agg(*map(F.expr, parts))
 
-    parts = df.groupBy(*keys, *labels).agg(*[v.alias(n) for n, v in sums.items()])
+    again = "sum" if labels else ""  # a second, tiny aggregation merges the labels of a group
     final = []
     for c, h in how.items():
         if h == "first":
-            final.append(F.min(c).alias(c))
+            final.append(f"min(`{c}`) AS `{c}`")
         elif h == "sum":
-            final.append(F.sum(f"s_{c}").alias(c) if labels else F.col(f"s_{c}").alias(c))
+            final.append(f"{again}(`s_{c}`) AS `{c}`")
         else:
-            s, n = (F.sum(f"s_{c}"), F.sum(f"n_{c}")) if labels else (F.col(f"s_{c}"), F.col(f"n_{c}"))
-            final.append(F.when(n > 0, s / n).alias(c))
+            final.append(f"try_divide({again}(`s_{c}`), {again}(`n_{c}`)) AS `{c}`")
     if count_as:
-        final.append((F.sum("n_rows") if labels else F.col("n_rows")).alias(count_as))
-    out = parts.groupBy(*keys).agg(*final) if labels else parts.select(*keys, *final)
+        final.append(f"{again}(n_rows) AS `{count_as}`")
+    out = out.groupBy(*keys).agg(*map(F.expr, final)) if labels else out.selectExpr(*[f"`{k}`" for k in keys], *final)
 
     for name, column in (distinct or {}).items():
         seen = df.groupBy(*keys).agg(F.count_distinct(column).alias(name))
@@ -79,14 +80,22 @@ def panel_rollup_rules(df: DataFrame) -> dict[str, str]:
     return rules
 
 
-def city_month_panel(grid_panel: DataFrame, keys: Sequence[str] = ("city_name", "year", "month")) -> DataFrame:
+def city_month_panel(
+    grid_panel: DataFrame, keys: Sequence[str] = ("city_name", "year", "month"), unique_rows: bool = False
+) -> DataFrame:
     """Grid panel to city panel.
 
     Grouping by name alone merges cities that share one; pass
-    ``("city_id", "city_name", "year", "month")`` to keep them apart.
+    ``("city_id", "city_name", "year", "month")`` to keep them apart. Set ``unique_rows``
+    when no grid cell occurs twice in a city and month, as after an integration keyed on
+    (grid, year, month): counting rows then counts cells, without a second pass.
     """
     mapped = require_key(grid_panel, "city_name")
-    out = rollup(mapped, keys, panel_rollup_rules(mapped), distinct={"grid_count": "grid_id"})
+    rules = panel_rollup_rules(mapped)
+    if unique_rows:
+        out = rollup(mapped, keys, rules, count_as="grid_count")
+    else:
+        out = rollup(mapped, keys, rules, distinct={"grid_count": "grid_id"})
     return out.withColumn("year_month", month_label())
 
 

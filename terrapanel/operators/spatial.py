@@ -236,8 +236,8 @@ def point_in_polygon(
 ) -> DataFrame:
     """Left join of points to the polygons that strictly contain them.
 
-    ``polygons`` holds ``attributes`` and ``edges``. A point in two polygons yields two
-    rows; a point in none keeps NULL attributes.
+    ``polygons`` holds ``attributes`` and ``edges``; ``key`` must be unique among the points.
+    A point in two polygons yields two rows; a point in none keeps NULL attributes.
     """
     cells = polygon_cells(polygons.select(*attributes, "edges"), size)
     located = points.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})

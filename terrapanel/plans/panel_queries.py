@@ -24,7 +24,7 @@ _CITY_ROUND = "elec_kwh:4 " + " ".join(_MEANS).replace("gdp_per_capita", "gdp_pe
 
 @query("city_month_rollup", _CITY_SQL.format(keys="city_name"), _CITY_ROUND)
 def city_month_rollup(spark, sf):
-    return R.city_month_panel(T.grid_panel(spark, sf))
+    return R.city_month_panel(T.grid_panel(spark, sf), unique_rows=True)
 
 
 @query("city_month_rollup_by_id", _CITY_SQL.format(keys="city_id, city_name"), _CITY_ROUND)
