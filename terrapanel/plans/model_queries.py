@@ -249,6 +249,24 @@ def fe_ols_one_regressor(spark, sf):
     return _estimates(spark, _one(spark, sf))
 
 
+@query(
+    "fe_ols_two_regressors",
+    f""", d AS (SELECT {_Y} - avg({_Y}) OVER w AS y, rhu - avg(rhu) OVER w AS a, gdp_per_capita - avg(gdp_per_capita) OVER w AS b,
+      grid_id FROM panel WINDOW w AS (PARTITION BY grid_id)),
+    s AS (SELECT count(*) AS n, count(DISTINCT grid_id) AS g, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb,
+      sum(a * y) AS ay, sum(b * y) AS by_, sum(y * y) AS yy FROM d),
+    f AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS b1,
+      (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS b2 FROM s),
+    v AS (SELECT *, (yy - b1 * ay - b2 * by_) / (n - g - 2) AS s2 FROM f)
+    SELECT 'rhu' AS term, b1 AS estimate, sqrt(s2 * bb / det) AS std_error FROM v UNION ALL
+    SELECT 'gdp_per_capita', b2, sqrt(s2 * aa / det) FROM v""",
+    "estimate:12 std_error:12",
+)
+def fe_ols_two_regressors(spark, sf):
+    fit = FE.fixed_effects_ols(_data(spark, sf), "ln_elec_kwh", ["rhu", "gdp_per_capita"], ["grid_id"])
+    return _estimates(spark, fit)
+
+
 @query(
     "fe_ols_statistics",
     _FE + """SELECT 'grid_id' AS effects, n, g + 1 AS parameters,

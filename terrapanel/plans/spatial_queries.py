@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalars import AlbersProjection, grid_key, pixel_center
@@ -41,7 +43,24 @@ def grid_reference(spark, sf):
     )
 
 
-@query("albers_to_lonlat")
+def _albers_sql() -> str:
+    """The inverse projection written out with its constants."""
+    p = AlbersProjection()
+    e, e2, n, c, rho0 = p._shape()
+    qp = (1 - e2) * (1 / (1 - e2) - math.log((1 - e) / (1 + e)) / (2 * e))
+    a2, a4, a6 = (
+        e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040,
+        23 * e2**2 / 360 + 251 * e2**3 / 3780,
+        761 * e2**3 / 45360,
+    )
+    return f""", m AS (SELECT DISTINCT "row", "col", ("col" - 62) * 40000.0::DOUBLE AS x,
+      {rho0!r}::DOUBLE - (110 - "row") * 50000.0::DOUBLE AS y FROM cells),
+    b AS (SELECT *, asin(({c!r}::DOUBLE - (x * x + y * y) * ({n / p.semi_major!r}::DOUBLE) ** 2) / {n!r}::DOUBLE / {qp!r}::DOUBLE) AS beta FROM m)
+    SELECT "row", "col", 105 + degrees(atan2(x, y) / {n!r}::DOUBLE) AS lon,
+    degrees(beta + {a2!r}::DOUBLE * sin(2 * beta) + {a4!r}::DOUBLE * sin(4 * beta) + {a6!r}::DOUBLE * sin(6 * beta)) AS lat FROM b"""
+
+
+@query("albers_to_lonlat", _albers_sql(), "lon lat")
 def albers_to_lonlat(spark, sf):
     """Cell centres of a metre grid turned into longitude and latitude."""
     lon, lat = AlbersProjection().to_lonlat(F.col("x"), F.col("y"))
