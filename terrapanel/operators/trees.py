@@ -134,25 +134,27 @@ def base_value(leaves: Sequence[Leaf]) -> float:
     return float(sum(leaf.value * leaf.ratio.prod() for leaf in leaves))
 
 
-def leaf_attributions(x: np.ndarray, leaves: Sequence[Leaf], width: int) -> np.ndarray:
+def leaf_attributions(x: np.ndarray, leaves: Sequence[tuple], width: int) -> np.ndarray:
     """Shapley values of tree predictions under path-dependent expectations.
 
+    ``leaves`` holds (value, features, low, high, ratio) tuples.
+
     Averaging over feature subsets equals integrating, over t in (0,1), the product of
     (1-t) * ratio + t * inside across the other features of a leaf. The integrand is a
     polynomial in t, so Gauss-Legendre quadrature gives it exactly.
     """
     phi = np.zeros((len(x), width))
-    for leaf in leaves:
-        m = len(leaf.features)
+    for value, used, low, high, ratio in leaves:
+        m = len(used)
         if m == 0:
             continue
-        values = x[:, leaf.features]
-        inside = ((values > leaf.low) & (values <= leaf.high)).astype(float)
+        seen = x[:, used]
+        inside = ((seen > low) & (seen <= high)).astype(float)
         nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
         t, w = (nodes + 1) / 2, weights / 2
-        factors = (1 - t)[None, None, :] * leaf.ratio[None, :, None] + t[None, None, :] * inside[:, :, None]
+        factors = (1 - t)[None, None, :] * ratio[None, :, None] + t[None, None, :] * inside[:, :, None]
         others = factors.prod(axis=1)[:, None, :] / factors
-        phi[:, leaf.features] += leaf.value * (inside - leaf.ratio) * (others @ w)
+        phi[:, used] += value * (inside - ratio) * (others @ w)
     return phi
 
 
@@ -161,7 +163,9 @@ def tree_attributions(
 ) -> DataFrame:
     """Keys, one attribution per feature, and the base value; they sum to the prediction."""
     leaves = model_leaves(model, df)
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    # plain tuples: a broadcast value is unpickled where this package may be absent
+    plain = [(leaf.value, leaf.features, leaf.low, leaf.high, leaf.ratio) for leaf in leaves]
+    shared = df.sparkSession.sparkContext.broadcast(plain)
     base = base_value(leaves)
     names, key_names = list(features), list(keys)
     data = df.select(*key_names, *[F.col(c).cast("double").alias(c) for c in names])

@@ -369,7 +369,7 @@ def weighted_score(spark, sf):
 def impute_median(spark, sf):
     base = T.panel(spark, sf).select(*KEYS, "elec_kwh")
     gaps = T.sparse(T.panel(spark, sf)).select(*KEYS, "rhu", "gdp_per_capita", "population")
-    df = base.join(gaps, KEYS, "left").withColumn("tag", F.when(F.col("grid_id") % 4 != 1, "kept"))
+    df = checkpointed(base.join(gaps, KEYS, "left").withColumn("tag", F.when(F.col("grid_id") % 4 != 1, "kept")))
     imputer = E.Imputer(exempt=("elec_kwh", *KEYS)).fit(_train(df))
     return imputer.transform(df)
 

@@ -12,6 +12,7 @@ from terrapanel.operators import sampling as S
 from terrapanel.plans import tables as T
 from terrapanel.plans.panel_queries import integrate_star_left_join
 from terrapanel.plans.registry import query
+from terrapanel.session import checkpointed
 
 _RANGE = ["elec_kwh", "canopy_share", "gdp_per_capita", "population", "nightlight", "prec", "rhu"]
 
@@ -122,7 +123,7 @@ def rule_violations(spark, sf):
     shifted = joined.withColumn(
         "elec_kwh", F.when(F.col("month") == 1, 0.0).otherwise(F.col("elec_kwh") - 20000 * F.col("month"))
     )
-    return PR.rule_violations(shifted, low_days=2, high_days=9)
+    return PR.rule_violations(checkpointed(shifted), low_days=2, high_days=9)
 
 
 @query(

@@ -1,9 +1,12 @@
 import itertools
 import math
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -216,3 +219,9 @@ def test_local_explanations_keep_the_largest(spark):
     df = spark.createDataFrame([(1, 0.1, -5.0, 2.0)], "k int, a double, b double, c double")
     got = [(r.feature, r.place) for r in A.local_explanations(df, ["a", "b", "c"], ["k"], top=2).orderBy("place").collect()]
     assert got == [("b", 1), ("c", 2)]
+
+
+def test_task_functions_need_no_package_on_executors():
+    data = cloudpickle.dumps(TR.leaf_attributions)
+    code = "import sys, pickle; assert callable(pickle.loads(sys.stdin.buffer.read())); assert 'terrapanel' not in sys.modules"
+    subprocess.run([sys.executable, "-I", "-c", code], input=data, cwd="/", check=True)
