@@ -43,14 +43,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
     That cuts the lineage, survives lost executors and, unlike a plain checkpoint, lets
-    later passes read only the columns they need.
+    later passes read only the columns they need. ``release`` removes the table.
     """
     spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``checkpointed`` that no later plan reads."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path is None:
+            continue
+        jvm = t.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
