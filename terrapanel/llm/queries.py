@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import anchors, html, packing, token_store
+from terrapanel.llm import anchors, html, packing, token_store, winnowing
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,16 @@ def html_text(spark, sf_dir):
 def substring_dedup(spark, sf_dir):
     kept = anchors.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_benchmark_decontamination", winnowing.ORACLE)
+def benchmark_decontamination(spark, sf_dir):
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        winnowing.is_contaminated().alias("contaminated"),
+    )
