@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import anchors, html, packing, token_store, winnowing
+from terrapanel.llm import anchors, html, lines, packing, token_store, winnowing
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def benchmark_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         winnowing.is_contaminated().alias("contaminated"),
     )
+
+
+@query("op6_line_dedup", lines.ORACLE)
+def line_dedup(spark, sf_dir):
+    kept = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
