@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import anchors, html, lines, packing, token_store, toxicity, winnowing
+from terrapanel.llm import anchors, html, jaccard, lines, packing, token_store, toxicity, winnowing
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def line_dedup(spark, sf_dir):
 def toxicity_scores(spark, sf_dir):
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
+
+
+@query("op7_ngram_jaccard_join")
+def ngram_jaccard_join(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
