@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import anchors, html, jaccard, lines, packing, token_store, toxicity, winnowing
+from terrapanel.llm import anchors, html, jaccard, lines, mtree, packing, token_store, toxicity, winnowing
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def toxicity_scores(spark, sf_dir):
 @query("op7_ngram_jaccard_join")
 def ngram_jaccard_join(spark, sf_dir):
     return jaccard.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op8_exact_top_k", mtree.ORACLE)
+def exact_top_k(spark, sf_dir):
+    vectors = mtree.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return mtree.top_k(vectors, vectors.filter(F.col("id") % 100 == 0))

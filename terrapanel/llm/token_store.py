@@ -13,18 +13,20 @@ nulls come first. Spark's committer makes the files, so a lost task leaves no pa
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm.tokens import DEFAULT_TOKENIZER, END_ID, PartEncoder, encoded
+from terrapanel.llm.words import from_planes, planes
+from terrapanel.session import checkpointed, release
 
 #: Tokens in a block (a longer document gets a block of its own) and in a shard, roughly.
 BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 1 << 24
+#: Bytes of output a task holds before it passes a batch on.
+HELD_BYTES = 4 << 20
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
@@ -51,24 +53,44 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Occurrences of every id over all documents, end ids included."""
-    def count(batches):
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def document_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and ``ids`` of every row, the end id included, as byte planes."""
+    end = np.array([END_ID], dtype="<u4").tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+
+    def encode(batches):
         encoder = PartEncoder.of_worker(tokenizer)
-        total = np.zeros(encoder.vocabulary_size, dtype=np.int64)
         for b in batches:
-            for ids in encoded(encoder, (x.as_py() for x in b.column(0))):
-                part = np.frombuffer(ids, "<u4")
-                if len(part) < len(total):
-                    np.add.at(total, part, 1) if len(part) < 64 else total.__iadd__(np.bincount(part, minlength=len(total)))
-                else:
-                    total += np.bincount(part, minlength=len(total))
-                total[END_ID] += 1
+            rows, size = [], 0
+            for key, ids in zip(b.column(0).to_pylist(), encoded(encoder, (x.as_py() for x in b.column(1)))):
+                rows.append((key, planes(np.frombuffer(ids + end, "<u4"))))
+                size += len(ids)
+                if size > HELD_BYTES:
+                    yield _batch(rows, schema)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows, schema)
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, ids binary")
+
+
+def token_counts(stored: DataFrame) -> DataFrame:
+    """Occurrences of every id over all documents."""
+    def count(batches):
+        total = np.zeros(0, dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                part = np.bincount(np.concatenate([from_planes(x.as_py(), "<u4") for x in b.column(0)]))
+                total = np.pad(total, (0, max(0, len(part) - len(total))))
+                total[: len(part)] += part
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token_id", "n"])
 
-    each = docs.select(F.col("text").cast("string")).mapInArrow(count, "token_id bigint, n bigint")
-    return each.groupBy("token_id").agg(F.sum("n").alias("n"))
+    return stored.select("ids").mapInArrow(count, "token_id bigint, n bigint").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER, partitions: int | None = None) -> None:
@@ -78,8 +100,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
     side by side. No rows give a store without blocks.
     """
     spark = docs.sparkSession
+    stored = checkpointed(document_ids(docs, tokenizer))
     # bounded by the vocabulary
-    counted = token_counts(docs, tokenizer).orderBy(F.desc("n"), "token_id").collect()
+    counted = token_counts(stored).orderBy(F.desc("n"), "token_id").collect()
     order = np.array([r["token_id"] for r in counted], dtype=np.int64)
     spark.createDataFrame(
         [(i, int(t)) for i, t in enumerate(order)], "rank int, token_id bigint"
@@ -90,25 +113,23 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
     shards = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARD_TOKENS))
     # one bound per shard, whatever the number of documents
     inner = [k / shards for k in range(1, shards)]
-    cuts = docs.approxQuantile("doc_id", inner, 0.2 / shards) if shards > 1 else []
+    cuts = stored.approxQuantile("doc_id", inner, 0.2 / shards) if shards > 1 else []
     bounds = np.array(sorted(set(cuts)), dtype=np.float64)
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def code(batches):
-        encoder = PartEncoder.of_worker(tokenizer)
         schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
         for b in batches:
-            keys = b.column(0).to_pylist()
-            rows = []
-            for key, ids in zip(keys, encoded(encoder, (x.as_py() for x in b.column(1)))):
-                ranks = rank[np.frombuffer(ids + end, "<u4")]
+            rows, size = [], 0
+            for key, ids in zip(b.column(0).to_pylist(), b.column(1)):
+                ranks = rank[from_planes(ids.as_py(), "<u4")]
                 shard = 0 if key is None else int(np.searchsorted(bounds, key, side="left"))
                 rows.append((key, shard, len(ranks), *encode_ranks(ranks)))
-                if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                    rows = []
+                size += len(ranks)
+                if size > HELD_BYTES:
+                    yield _batch(rows, schema)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                yield _batch(rows, schema)
 
     def to_blocks(batches):
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -123,7 +144,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
             state["block"] += 1
             state["start"] += sum(ns)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types)], schema=schema)
+            return _batch([row], schema)
 
         size = 0
         for b in batches:
@@ -138,7 +159,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
         if held:
             yield flush()
 
-    coded = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
+    coded = stored.mapInArrow(
         code, "doc_id bigint, shard int, n bigint, control binary, data binary"
     )
     (
@@ -147,6 +168,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
         .mapInArrow(to_blocks, "shard int, block int, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, control binary, data binary")
         .write.option("compression", "zstd").parquet(f"{path}/blocks")
     )
+    release(stored)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -155,31 +177,27 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     order = spark.read.parquet(f"{path}/dictionary").orderBy("rank").collect()
     token_of = np.array([r["token_id"] for r in order], dtype="<u4")
     blocks = spark.read.parquet(f"{path}/blocks")
-    totals = blocks.groupBy("shard").agg(F.max(F.col("start") + F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
-    # one row per shard
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    size = F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    # one row per shard, of millions of tokens each
+    totals = blocks.groupBy("shard").agg(F.max(F.col("start") + size).alias("total")).orderBy("shard").collect()
+    before = dict(zip((r["shard"] for r in totals), np.cumsum([0, *(r["total"] for r in totals)]).tolist()))
 
     def decode(batches):
-        schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         for b in batches:
             for i in range(b.num_rows):
                 shard, start, keys, ns, control, data = (c[i].as_py() for c in b.columns)
-                rows, c0, d0 = [], 0, 0
+                rows, c0, d0, start = [], 0, 0, start + before[shard]
                 for key, n in zip(keys, ns):
                     c1 = c0 + -(-n // 4)
                     sizes = _LENGTHS[np.frombuffer(control[c0:c1], np.uint8)].reshape(-1)[:n]
                     d1 = d0 + int(sizes.sum())
                     ids = token_of[decode_ranks(control[c0:c1], data[d0:d1], n)]
-                    rows.append((shard, key, start, n, ids.tobytes()))
+                    rows.append((key, start, n, ids.tobytes()))
                     start, c0, d0 = start + n, c1, d1
-                    if len(rows) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                        rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    yield _batch(rows, schema)
 
-    read = blocks.select("shard", "start", "doc_ids", "n_tokens", "control", "data").mapInArrow(
-        decode, "shard int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
+    return blocks.select("shard", "start", "doc_ids", "n_tokens", "control", "data").mapInArrow(
+        decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary"
     )
-    return read.join(shards, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
