@@ -56,7 +56,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     in id and text are one document.
     """
     each = docs.select("doc_id", *identity("doc_id", "text"), "text")
-    chunks = line_chunks(each).select("doc_id", *_IDENTITY, F.explode("chunks").alias("c")).select("doc_id", *_IDENTITY, "c.*")
+    # every text has a chunk; a plain explode would infer a filter that derives all of them again
+    chunks = line_chunks(each).select("doc_id", *_IDENTITY, F.explode_outer("chunks").alias("c")).select("doc_id", *_IDENTITY, "c.*")
     chunks = chunks.filter((F.col("n") >= LEAST_LINES) & _several(F.col("body"))).withColumn("hash", F.xxhash64("body"))
     # hashes that occur more than once, found on narrow rows and combined before they are shuffled
     seen = checkpointed(chunks.select("hash", "doc_id", *_IDENTITY, "start", "n"))
