@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import anchors, html, jaccard, lines, mtree, packing, token_store, toxicity, winnowing
+from terrapanel.llm import anchors, html, jaccard, lines, mtree, packing, token_counts, token_store, toxicity, winnowing
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def ngram_jaccard_join(spark, sf_dir):
 def exact_top_k(spark, sf_dir):
     vectors = mtree.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return mtree.top_k(vectors, vectors.filter(F.col("id") % 100 == 0))
+
+
+@query("op3_token_counts")
+def edited_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.counts_after_edits(docs, token_counts.example_edits(docs))
+    return counted.select(
+        "doc_id", "n_before", "n_tokens", "n_edits", "chars_encoded", F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
