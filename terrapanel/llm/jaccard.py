@@ -258,12 +258,31 @@ def link(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, recall
     facts = checkpointed(facts.withColumn("component", F.coalesce("component", "node")))
     least = facts.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     facts = facts.join(least, "component").select(
-        "h1", "h2", "node", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+        "h1", "h2", "node", "component", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )
     return signed.select("doc_id", *_IDENTITY, "h1", "h2").join(facts, ["h1", "h2"], "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
         F.col("node").alias("set_id"),
+        "component",
         *_IDENTITY,
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class: that of the least id (null last), and all without words.
+
+    All columns pass through. Of repeated rows one stays, if they have words.
+    """
+    linked = checkpointed(link(docs, **options).filter(F.col("component").isNotNull()).select("component", "doc_id", *_IDENTITY))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *_IDENTITY)
+    first = linked.groupBy("component").agg(F.min(rank).alias("first")).select("component", "first.*")
+    first = first.select("component", F.col("_key_a").alias("_a"), F.col("_key_b").alias("_b"))
+    gone = linked.join(first, "component").filter("_key_a != _a OR _key_b != _b").select(*_IDENTITY).distinct()
+    kept = docs.select("*", *identity("doc_id", "text")).join(checkpointed(gone), _IDENTITY, "left_anti")
+    twice = checkpointed(linked.groupBy(*_IDENTITY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*_IDENTITY))
+    if not twice.isEmpty():
+        repeated = kept.join(twice, _IDENTITY, "left_semi").dropDuplicates(_IDENTITY)
+        kept = kept.join(twice, _IDENTITY, "left_anti").unionByName(repeated)
+    return kept.drop(*_IDENTITY)

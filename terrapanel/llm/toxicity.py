@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrapanel.llm.winnowing import identity
 from terrapanel.session import checkpointed
 
 #: Labelled documents that a model is fitted on, about; a documented bound, the rest is not needed.
@@ -204,14 +205,14 @@ _PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("sc
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, evidence and the significant passages (in words) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("evidence", pa.float64()), ("passages", _PASSAGES)])
+    """doc_id, identity, n_words, evidence and the significant passages (in words) of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("_key_a", pa.int64()), ("_key_b", pa.int64()), ("n_words", pa.int64()), ("evidence", pa.float64()), ("passages", _PASSAGES)])
 
     def scan(batches):
         scores = _Scores(model)
         for b in batches:
             rows = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for *key, text in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3)):
                 if len(scores) > REMEMBERED_WORDS:
                     scores.clear()
                 words = _WORD.findall((text.as_py() or "").lower())
@@ -223,12 +224,13 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
                     if math.exp(-min(bits, 700.0)) <= LARGEST_E:
                         found.append({"start": start, "end": end, "score": score, "e_value": math.exp(-min(bits, 700.0))})
                         evidence += bits
-                rows.append((key, len(words), evidence, found))
+                rows.append((*key, len(words), evidence, found))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    ddl = "doc_id bigint, n_words bigint, evidence double, passages array<struct<start:int,end:int,score:double,e_value:double>>"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(scan, ddl)
+    ddl = "doc_id bigint, _key_a bigint, _key_b bigint, n_words bigint, evidence double, passages array<struct<start:int,end:int,score:double,e_value:double>>"
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *identity("doc_id", "text"), F.col("text").cast("string"))
+    return read.mapInArrow(scan, ddl)
 
 
 def calibrate(model: Model, scored: DataFrame, sample: DataFrame) -> Model:
@@ -278,4 +280,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "n_words",
         "evidence",
         "passages",
+        "_key_a",
+        "_key_b",
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    keys = ["_key_a", "_key_b"]
+    bad = checkpointed(score(docs, labels).filter("predicted = 1").select(*keys).distinct())
+    return docs.select("*", *identity("doc_id", "text")).join(bad, keys, "left_anti").drop(*keys)
