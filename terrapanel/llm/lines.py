@@ -1,8 +1,9 @@
 """Removal of repeated runs of lines, in DataFrame operations only.
 
 A line ends a chunk where a rolling hash over the hashes of it and the line before meets a
-condition. Boundaries so depend on two lines of content, not on their place: a passage moved
-within or between documents is cut alike after its first boundary. Chunks of several lines that
+condition that the line before did not meet, so chunks have two lines at least. Boundaries
+depend on three lines of content, not on their place: a passage moved within or between
+documents is cut alike after its first boundary. Chunks of several lines that
 occur more than once are then compared byte by byte, and all but the first occurrence go.
 """
 
@@ -11,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.winnowing import identity
+from terrapanel.llm.winnowing import identity, with_identity
 from terrapanel.session import checkpointed
 
-#: One line in so many ends a chunk, on average.
-SPACING = 3
+#: One line in so many meets the condition, on average.
+SPACING = 2
 #: Lines with more than blanks that a chunk needs to be looked at.
 LEAST_LINES = 2
 # Multiplier and modulus of the rolling hash.
@@ -32,9 +33,10 @@ def line_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``lines`` and ``chunks`` (start, n, body), which cover all lines in order."""
     cut = docs.withColumn("lines", split_lines(F.col(text)))
     cut = cut.withColumn("h", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("bigint")))
+    meets = "(h[{0} - 2] * %d + h[{0} - 1]) %% %d %% %d = 0" % (_TIMES, _MODULUS, SPACING)
     starts = (
-        f"filter(sequence(0, size(lines) - 1), i -> i = 0 OR (i > 1 AND "
-        f"(h[i - 2] * {_TIMES} + h[i - 1]) % {_MODULUS} % {SPACING} = 0))"
+        f"filter(sequence(0, size(lines) - 1), i -> i = 0 OR (i > 1 AND {meets.format('i')} "
+        f"AND (i = 2 OR NOT {meets.format('(i - 1)')})))"
     )
     cut = cut.withColumn("starts", F.expr(starts))
     chunks = (
@@ -71,27 +73,32 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return gone.groupBy(*_IDENTITY).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("gone"))
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     """``docs`` with the remaining lines as ``text``, and with ``n_lines`` and ``n_removed``.
 
-    Needs doc_id and text; other columns pass through. A null text stays null and an empty one
+    Needs doc_id and text; other columns pass through, but the two counts replace columns of
+    their names (``counts=False`` leaves them out). A null text stays null and an empty one
     empty; a document whose lines all go keeps its row with an empty text.
     """
     gone = checkpointed(repeated_chunks(docs))
-    marked = docs.select("*", *identity("doc_id", "text")).join(gone, _IDENTITY, "left").drop(*_IDENTITY)
-    lines = split_lines(F.col("text"))
+    marked = with_identity(docs).join(gone, _IDENTITY, "left").withColumn("lines", split_lines(F.col("row.text")))
     kept = (
-        "flatten(transform(sequence(0, size(gone)), j -> slice(_lines, "
+        "flatten(transform(sequence(0, size(gone)), j -> slice(lines, "
         "CASE WHEN j = 0 THEN 1 ELSE gone[j - 1].start + gone[j - 1].n + 1 END, "
-        "CASE WHEN j = size(gone) THEN size(_lines) ELSE gone[j].start END - "
+        "CASE WHEN j = size(gone) THEN size(lines) ELSE gone[j].start END - "
         "CASE WHEN j = 0 THEN 0 ELSE gone[j - 1].start + gone[j - 1].n END)))"
     )
-    out = marked.withColumn("_lines", lines)
-    out = out.withColumn("n_lines", F.size("_lines").cast("bigint"))
+    left = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.expr(kept), "\n"))
+    columns = [left.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    if not counts:
+        return marked.select(*columns)
     removed = F.aggregate("gone", F.lit(0).cast("bigint"), lambda a, g: a + g["n"])
-    out = out.withColumn("n_removed", F.coalesce(removed, F.lit(0).cast("bigint")))
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr(kept), "\n"))
-    return out.withColumn("text", left).drop("_lines", "gone")
+    names = ("n_lines", "n_removed")
+    return marked.select(
+        *(x for x, c in zip(columns, docs.columns) if c not in names),
+        F.size("lines").cast("bigint").alias("n_lines"),
+        F.coalesce(removed, F.lit(0).cast("bigint")).alias("n_removed"),
+    )
 
 
 ORACLE = f"""
@@ -99,10 +106,11 @@ WITH l AS (
   SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, text, generate_subscripts(lines, 1) - 1 AS i, unnest(lines) AS line FROM l),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM x),
-b AS (
-  SELECT *, CASE WHEN i = 0 THEN 1
-    WHEN i > 1 AND (lag(h, 2) OVER w * {_TIMES} + lag(h) OVER w) % {_MODULUS} % {SPACING} = 0 THEN 1 ELSE 0 END AS b
+m AS (
+  SELECT *, i > 1 AND (lag(h, 2) OVER w * {_TIMES} + lag(h) OVER w) % {_MODULUS} % {SPACING} = 0 AS m
   FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+b AS (
+  SELECT *, CASE WHEN i = 0 OR (m AND NOT lag(m) OVER (PARTITION BY doc_id, text ORDER BY i)) THEN 1 ELSE 0 END AS b FROM m),
 g AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, text ORDER BY i) AS k FROM b),
 c AS (
   SELECT doc_id, text, k, min(i) AS s, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body,
