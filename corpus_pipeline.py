@@ -20,11 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without runs of lines that occur before; n_chars follows the text."""
-    left = lines.remove_repeated_lines(docs)
-    if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        left = left.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    left = lines.remove_repeated_lines(docs, counts=False)
+    if "n_chars" not in docs.columns:
+        return left
+    n_chars = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.withColumn("n_chars", n_chars)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

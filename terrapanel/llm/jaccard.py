@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.components import components
-from terrapanel.llm.winnowing import identity
+from terrapanel.llm.winnowing import identity, with_identity
 from terrapanel.llm.words import WordHashes, mixed, window_hash
 from terrapanel.llm.words import REMEMBERED_WORDS
 from terrapanel.session import checkpointed
@@ -280,9 +280,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = linked.groupBy("component").agg(F.min(rank).alias("first")).select("component", "first.*")
     first = first.select("component", F.col("_key_a").alias("_a"), F.col("_key_b").alias("_b"))
     gone = linked.join(first, "component").filter("_key_a != _a OR _key_b != _b").select(*_IDENTITY).distinct()
-    kept = docs.select("*", *identity("doc_id", "text")).join(checkpointed(gone), _IDENTITY, "left_anti")
+    kept = with_identity(docs).join(checkpointed(gone), _IDENTITY, "left_anti")
     twice = checkpointed(linked.groupBy(*_IDENTITY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*_IDENTITY))
     if not twice.isEmpty():
         repeated = kept.join(twice, _IDENTITY, "left_semi").dropDuplicates(_IDENTITY)
         kept = kept.join(twice, _IDENTITY, "left_anti").unionByName(repeated)
-    return kept.drop(*_IDENTITY)
+    return kept.select("row.*")

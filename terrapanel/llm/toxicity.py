@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.llm.winnowing import identity
+from terrapanel.llm.winnowing import identity, with_identity
 from terrapanel.session import checkpointed
 
 #: Labelled documents that a model is fitted on, about; a documented bound, the rest is not needed.
@@ -289,4 +289,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     keys = ["_key_a", "_key_b"]
     bad = checkpointed(score(docs, labels).filter("predicted = 1").select(*keys).distinct())
-    return docs.select("*", *identity("doc_id", "text")).join(bad, keys, "left_anti").drop(*keys)
+    return with_identity(docs).join(bad, keys, "left_anti").select("row.*")

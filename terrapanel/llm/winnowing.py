@@ -24,6 +24,11 @@ _PLACE_BITS = 30
 _IDENTITY = ["_key_a", "_key_b"]
 
 
+def with_identity(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names) beside the row's identity."""
+    return docs.select(F.struct("*").alias("row"), *identity("doc_id", "text"))
+
+
 def words(text: Column) -> Column:
     """Words of a text; a null text has none."""
     lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _UPPER.lower())
@@ -67,12 +72,10 @@ def fingerprints(texts: DataFrame, sizes: list[int], gram: int = GRAM, window: i
     )
     prints = [F.expr(_fingerprints("hashes", gram, window))]
     for size in sizes:
-        prints.append(
-            F.transform(
-                grams(F.col("words"), size),
-                lambda h, i, size=size: F.struct(h.alias("hash"), i.alias("place"), F.lit(size).alias("size")),
-            )
-        )
+        prints.append(F.expr(
+            f"transform(CASE WHEN size(words) >= {size} THEN sequence(0, size(words) - {size}) ELSE array() END, "
+            f"i -> named_struct('hash', xxhash64(slice(words, i + 1, {size})), 'place', i, 'size', {size}))"
+        ))
     return packed.withColumn("prints", F.concat(*prints)).drop("hashes", "packed")
 
 
@@ -158,8 +161,7 @@ def is_contaminated(share: int = 20) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     bad = contamination(docs, items).filter(is_contaminated()).select(*_IDENTITY).distinct()
-    marked = docs.select("*", *identity("doc_id", "text"))
-    return marked.join(checkpointed(bad), _IDENTITY, "left_anti").drop(*_IDENTITY)
+    return with_identity(docs).join(checkpointed(bad), _IDENTITY, "left_anti").select("row.*")
 
 
 ORACLE = f"""
