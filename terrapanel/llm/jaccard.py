@@ -232,7 +232,7 @@ def link(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, recall
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = members.select("node", "doc_id", "h1", "h2")
     # a class's text is any row with its least id; rows of that id with another set are told apart by the hash
-    sets = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "h1", "h2", "text")
+    sets = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "h1", "h2", "text")
 
     def grams_of(batches):
         known = WordHashes()
@@ -280,7 +280,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = linked.groupBy("component").agg(F.min(rank).alias("first")).select("component", "first.*")
     first = first.select("component", F.col("_key_a").alias("_a"), F.col("_key_b").alias("_b"))
     gone = linked.join(first, "component").filter("_key_a != _a OR _key_b != _b").select(*_IDENTITY).distinct()
-    kept = with_identity(docs).join(checkpointed(gone), _IDENTITY, "left_anti")
+    kept = with_identity(docs).join(checkpointed(gone).hint("merge"), _IDENTITY, "left_anti")
     twice = checkpointed(linked.groupBy(*_IDENTITY).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*_IDENTITY))
     if not twice.isEmpty():
         repeated = kept.join(twice, _IDENTITY, "left_semi").dropDuplicates(_IDENTITY)

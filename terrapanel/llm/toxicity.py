@@ -289,4 +289,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     keys = ["_key_a", "_key_b"]
     bad = checkpointed(score(docs, labels).filter("predicted = 1").select(*keys).distinct())
-    return with_identity(docs).join(bad, keys, "left_anti").select("row.*")
+    return with_identity(docs).join(bad.hint("merge"), keys, "left_anti").select("row.*")
