@@ -40,6 +40,12 @@ def columns_matching(
 # --- missing values --------------------------------------------------------------
 
 
+def present(df: DataFrame, column: str) -> Column:
+    """Whether a value is there: neither null nor NaN."""
+    there = F.col(column).isNotNull()
+    return there & ~F.isnan(column) if dict(df.dtypes)[column] in ("double", "float") else there
+
+
 def nan_to_null(df: DataFrame, sentinels: dict[str, float] | None = None) -> DataFrame:
     """Map NaN, and a per-column nodata value, to NULL so aggregates skip them."""
     sentinels = sentinels or {}

@@ -21,9 +21,8 @@ from terrapanel.functions.distributions import stars, t_two_sided_p
 from terrapanel.functions.scalars import complete_rows
 from terrapanel.operators.conley import spatial_meat
 from terrapanel.operators.moments import gram
-from terrapanel.session import checkpointed
+from terrapanel.session import checkpointed, release
 
-SMALL_EFFECT_LEVELS = 64
 COLLINEAR_TOLERANCE = 1e-9
 
 
@@ -103,11 +102,14 @@ def sweep(
     out = demean(df, effects[0], columns)
     if len(effects) == 1:
         return out
-    start = None
+    start = stored = None
     for _ in range(rounds):
         for e in [*effects[1:], effects[0]]:
             out = demean(out, e, columns)
-        out = checkpointed(out)
+        before, out = stored, checkpointed(out)
+        if before is not None:
+            release(before)
+        stored = out
         means = out.groupBy(effects[1]).agg(
             F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)]
         )
@@ -116,8 +118,8 @@ def sweep(
         if start is None:
             start = size
         if all(a <= tolerance**2 * max(s, 1e-300) for a, s in zip(left, start)):
-            break
-    return out
+            return out
+    raise ArithmeticError(f"group means are left after {rounds} rounds of sweeping")
 
 
 def independent_columns(g: np.ndarray, scale: np.ndarray, tolerance: float = COLLINEAR_TOLERANCE) -> list[int]:
@@ -151,11 +153,13 @@ def fixed_effects_ols(
     metric: str = "triangular",
     pixel_km: float | None = None,
     small_sample: bool = True,
+    dummy_levels: int = 64,
 ) -> FixedEffectsFit:
     """Least squares of ``target`` on ``regressors`` with ``effects`` absorbed.
 
     ``vcov`` is 'iid', 'hetero', 'cluster' (needs ``cluster``) or 'conley', the last with a
-    uniform kernel. Give the largest effect first. Rows with any missing value are left out
+    uniform kernel. Give the largest effect first; others of up to ``dummy_levels`` levels become
+    0/1 columns, larger ones are swept out in turn, which gives the same fit or fails. Rows with any missing value are left out
     and regressors the effects or earlier regressors explain are dropped and reported.
     """
     x_names = list(regressors)
@@ -182,14 +186,14 @@ def fixed_effects_ols(
     # Several distinct counts copy each row once per count, so only the effects take part.
     sizes = base.select(*effect_alias.values()).agg(*[F.count_distinct(a).alias(a) for a in effect_alias.values()]).first()
     levels = {e: sizes[a] for e, a in effect_alias.items()}
-    large = [effects[0]] + [e for e in effects[1:] if levels[e] > SMALL_EFFECT_LEVELS]
+    large = [effects[0]] + [e for e in effects[1:] if levels[e] > dummy_levels]
     small = [e for e in effects[1:] if e not in large]
 
     dummies: list[str] = []
     work = base
     for e in small:
         a = effect_alias[e]
-        # at most SMALL_EFFECT_LEVELS rows
+        # at most dummy_levels rows
         values = [r[0] for r in base.select(a).distinct().orderBy(a).collect()][1:]
         names = [f"d_{a}_{i}" for i in range(len(values))]
         work = work.select("*", *[(F.col(a) == F.lit(v)).cast("double").alias(m) for v, m in zip(values, names)])

@@ -124,8 +124,8 @@ def _lasso(xx: np.ndarray, xy: np.ndarray, n: float, alpha: float) -> np.ndarray
             moved = max(moved, abs(new - b[j]) * np.sqrt(scale[j] / n))
             b[j] = new
         if moved < 1e-10:
-            break
-    return b
+            return b
+    raise ArithmeticError("the lasso did not settle in 10,000 rounds")
 
 
 _SOLVERS = {"ridge": _ridge, "lasso": _lasso}

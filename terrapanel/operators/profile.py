@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.functions.scalars import columns_matching, columns_of, row_sum
+from terrapanel.functions.scalars import columns_matching, columns_of, nan_to_null, row_sum
 from terrapanel.operators.quantiles import exact_quantiles, exact_quantiles_by
 
 
@@ -15,7 +16,7 @@ def unpivot_columns(
     df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), name: str = "variable", value: str = "value"
 ) -> DataFrame:
     """Wide to long with missing values left out; all measures become doubles."""
-    cast = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
+    cast = nan_to_null(df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]))
     return cast.unpivot(list(ids), list(columns), name, value).filter(F.col(value).isNotNull())
 
 
@@ -24,7 +25,7 @@ def _per_column(df: DataFrame, columns: Sequence[str], stats: dict[str, callable
     structs = [
         F.struct(F.lit(c).alias("variable"), *[f(F.col(c)).alias(n) for n, f in stats.items()]) for c in columns
     ]
-    return df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
+    return nan_to_null(df.select(*columns)).agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -157,7 +158,7 @@ def rule_violations(df: DataFrame, low_days: float = 20, high_days: float = 40)
         total = row_sum(days)
         rules["unusual_bin_sum"] = (total < low_days) | (total > high_days)
     structs = [F.struct(F.lit(n).alias("rule"), F.count_if(c).alias("violations")) for n, c in rules.items()]
-    return df.agg(F.array(*structs).alias("r")).select(F.inline("r"))
+    return nan_to_null(df.select(*columns)).agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -176,7 +177,7 @@ def histogram(value: Column, low: float, high: float, bins: int) -> Column:
 
 def histogram_counts(df: DataFrame, value: Column, bins: int = 50, name: str = "value") -> DataFrame:
     """Counts per bin between the observed minimum and maximum."""
-    data = df.select(value.cast("double").alias(name)).filter(F.col(name).isNotNull())
+    data = nan_to_null(df.select(value.cast("double").alias(name))).filter(F.col(name).isNotNull())
     low, high = data.agg(F.min(name), F.max(name)).first()
     if low is None or low == high:
         return data.groupBy(F.lit(1).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -237,34 +238,54 @@ def rmse(residual: Column) -> Column:
     return F.sqrt(F.avg(residual * residual))
 
 
-# Order matters: a column belongs to the first group that claims it.
-COLUMN_GROUPS = (
-    ("target", lambda c: c in ("elec_kwh", "ln_elec_kwh")),
-    ("spatial", lambda c: c in ("lon", "lat", "city_id", "grid_id", "grid_row", "grid_col", "x_albers", "y_albers")),
-    ("temporal", lambda c: c in ("year", "month", "year_month")),
-    ("location", lambda c: c in ("city_name", "province")),
-    ("temperature_bins", lambda c: "days_in_bin_" in c and "_x_canopy" not in c),
-    ("temperature_interactions", lambda c: "days_in_bin_" in c and "_x_canopy" in c),
-    ("temperature_derived", lambda c: any(x in c for x in ("extreme_", "moderate_", "entropy", "total_days"))),
-    ("climate_raw", lambda c: c in ("prec", "pres", "rhu", "wind")),
-    ("climate_categorical", lambda c: any(x in c for x in ("humidity_", "precipitation_"))),
-    ("socioeconomic_raw", lambda c: c in ("gdp_per_capita", "population", "nightlight")),
-    ("socioeconomic_categorical", lambda c: any(x in c for x in ("gdp_", "population_", "nightlight_"))),
-    ("canopy", lambda c: "canopy" in c and "_x_" not in c and "days_in_bin" not in c),
-    ("seasonal", lambda c: any(x in c for x in ("season_", "heating_", "cooling_"))),
-    ("interactions", lambda c: "_x_" in c and "days_in_bin" not in c),
-)
+# Members by name, and parts of names with what excludes them.
+GROUP_MEMBERS = {
+    "grid": {
+        "target": "elec_kwh ln_elec_kwh",
+        "spatial": "grid_row grid_col x_albers y_albers lon lat grid_id",
+        "temporal": "year month year_month",
+        "location": "city_id city_name province",
+        "climate_raw": "prec pres rhu wind",
+        "socioeconomic_raw": "gdp_per_capita population nightlight",
+    },
+    "city": {
+        "target": "elec_kwh ln_elec_kwh",
+        "spatial": "lon lat city_id",
+        "temporal": "year month year_month",
+        "location": "city_name province",
+        "climate_raw": "prec pres rhu wind",
+        "socioeconomic_raw": "gdp_per_capita population nightlight",
+    },
+}
+GROUP_PARTS = {
+    "temperature_interactions": (r"days_in_bin_", r"_x_canopy", None),
+    "temperature_bins": (r"days_in_bin_", None, r"_x_canopy"),
+    "temperature_derived": (r"extreme_|moderate_|entropy|total_days", None, None),
+    "climate_categorical": (r"humidity_|precipitation_", None, None),
+    "socioeconomic_categorical": (r"gdp_|population_|nightlight_", None, None),
+    "canopy": (r"canopy", None, r"_x_|days_in_bin"),
+    "seasonal": (r"season_|heating_|cooling_", None, None),
+    "interactions": (r"_x_", None, r"days_in_bin"),
+}
 
 
-def column_group(name: str) -> str:
-    return next((g for g, claims in COLUMN_GROUPS if claims(name)), "other")
+def column_group(name: str, level: str = "city") -> str:
+    """Group of a column: by its whole name, else the first whose parts it has."""
+    for group, members in GROUP_MEMBERS[level].items():
+        if name in members.split():
+            return group
+    for group, (wanted, also, unwanted) in GROUP_PARTS.items():
+        needed = [p for p in (wanted, also) if p]
+        if all(re.search(p, name) for p in needed) and not (unwanted and re.search(unwanted, name)):
+            return group
+    return "other"
 
 
-def structure_report(df: DataFrame) -> dict[str, list[str]]:
+def structure_report(df: DataFrame, level: str = "city") -> dict[str, list[str]]:
     """Columns by group, from names alone."""
     out: dict[str, list[str]] = {}
     for c in df.columns:
-        out.setdefault(column_group(c), []).append(c)
+        out.setdefault(column_group(c, level), []).append(c)
     return out
 
 

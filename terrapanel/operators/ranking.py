@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrapanel.functions.scalars import present
 from terrapanel.operators.profile import group_column
 
 
@@ -76,7 +77,8 @@ def select_features(
 
 
 def top_k(df: DataFrame, score: str, k: int, key: str = "feature", largest: bool = True) -> DataFrame:
-    return df.orderBy(F.desc(score) if largest else F.asc(score), F.asc(key)).limit(k)
+    kept = df.filter(present(df, score))
+    return kept.orderBy(F.desc(score) if largest else F.asc(score), F.asc(key)).limit(k)
 
 
 def mean_importance(scores: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrapanel.functions.scalars import present
 from terrapanel.operators.quantiles import count_values, order_statistics
 
-DIRECT_LIMIT = 1_000
 _HASH_RANGE = 1 << 52  # exact as a double
 
 
@@ -21,10 +21,11 @@ def row_hash(keys: Sequence[str], seed: int = 42) -> Column:
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all) by smallest hash of a unique key.
 
-    A large sample is found as a hash threshold, so no task ever holds it.
+    The sample is found as a hash threshold for every ``n``, so no task ever holds it and a
+    smaller sample is part of a larger one.
     """
-    if n <= DIRECT_LIMIT:
-        return df.orderBy(row_hash(keys, seed), *keys).limit(n)
+    if n <= 0:
+        return df.limit(0)
     tagged = df.withColumn("_h", F.pmod(row_hash(keys, seed), F.lit(_HASH_RANGE)))
     total = count_values(tagged, ["_h"])["_h"]
     if total <= n:
@@ -75,7 +76,8 @@ def median_neighbours(df: DataFrame, order: str, key: str, width: int = 5) -> Da
 
 
 def extreme_rows(df: DataFrame, order: str, key: str, k: int = 5, largest: bool = True) -> DataFrame:
-    kept = df.filter(F.col(order).isNotNull())
+    """The first rows of an ordering; missing values, NaN among them, take no part."""
+    kept = df.filter(present(df, order))
     return kept.orderBy(F.desc(order) if largest else F.asc(order), F.asc(key)).limit(k)
 
 

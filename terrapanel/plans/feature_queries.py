@@ -359,8 +359,8 @@ def weighted_score(spark, sf):
 @query(
     "impute_median",
     """, j AS (SELECT b.grid_id, b.year, b.month, b.elec_kwh, s.rhu, s.gdp_per_capita, s.population,
-      CASE WHEN b.grid_id % 4 = 1 THEN NULL ELSE 'kept' END AS tag FROM panel b LEFT JOIN
-      (SELECT * FROM panel WHERE grid_id % 2 = 1) s ON b.grid_id = s.grid_id AND b.year = s.year AND b.month = s.month),
+      CASE WHEN s.nightlight > 0 THEN 'kept' END AS tag FROM panel b LEFT JOIN
+      orders_panel s ON b.grid_id = s.grid_id AND b.year = s.year AND b.month = s.month),
     m AS (SELECT median(rhu) AS r, median(gdp_per_capita) AS g, median(CAST(population AS DOUBLE)) AS p FROM j WHERE year <= 1999)
     SELECT grid_id, year, month, elec_kwh, coalesce(rhu, r) AS rhu, coalesce(gdp_per_capita, g) AS gdp_per_capita,
     coalesce(CAST(population AS DOUBLE), p) AS population, coalesce(tag, 'missing') AS tag FROM j, m""",
@@ -368,8 +368,8 @@ def weighted_score(spark, sf):
 )
 def impute_median(spark, sf):
     base = T.panel(spark, sf).select(*KEYS, "elec_kwh")
-    gaps = T.sparse(T.panel(spark, sf)).select(*KEYS, "rhu", "gdp_per_capita", "population")
-    df = checkpointed(base.join(gaps, KEYS, "left").withColumn("tag", F.when(F.col("grid_id") % 4 != 1, "kept")))
+    gaps = T.orders_panel(spark, sf).select(*KEYS, "rhu", "gdp_per_capita", "population", "nightlight")
+    df = checkpointed(base.join(gaps, KEYS, "left").withColumn("tag", F.when(F.col("nightlight") > 0, "kept")).drop("nightlight"))
     imputer = E.Imputer(exempt=("elec_kwh", *KEYS)).fit(_train(df))
     return imputer.transform(df)
 

@@ -54,10 +54,15 @@ def entity_folds(spark, sf):
     return tagged.groupBy("city_name").agg(F.count_distinct("fold").alias("folds"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("hashed_folds")
+@query("hashed_folds", "SELECT CAST(5 AS BIGINT) AS folds, count(*) AS rows, true AS balanced FROM panel")
 def hashed_folds(spark, sf):
+    """Every row in one of five folds of about equal size."""
     tagged = FO.hashed_folds(T.panel(spark, sf).select(*KEYS), KEYS, 5)
-    return tagged.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = tagged.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(
+        F.count_if(F.col("fold").between(0, 4)).alias("folds"), F.sum("n").alias("rows"),
+        (F.min("n") * 2 > F.avg("n")).alias("balanced"),
+    )
 
 
 # --- ridge and lasso ---------------------------------------------------------------------
@@ -101,11 +106,24 @@ def lasso(spark, sf):
     return _terms(spark, L.fit_linear(_data(spark, sf), ["population"], "ln_elec_kwh", "lasso", 0.01))
 
 
-@query("lasso_all")
+_TERMS = "unnest([" + ", ".join(f"'{p}'" for p in T.PREDICTORS) + "])"
+
+
+@query("lasso_all", f"SELECT {_TERMS} AS term, true AS optimal")
 def lasso_all(spark, sf):
+    """Whether each coefficient meets the conditions of the optimum, taken over all rows."""
     df = complete_rows(_data(spark, sf))
     scaled = L.Standardizer(T.PREDICTORS).fit(df).transform(df)
-    return _terms(spark, L.fit_linear(scaled, T.PREDICTORS, "ln_elec_kwh", "lasso", 0.01))
+    alpha = 0.01
+    model = L.fit_linear(scaled, T.PREDICTORS, "ln_elec_kwh", "lasso", alpha)
+    rest = F.col("ln_elec_kwh") - model.prediction()
+    slopes = scaled.agg(*[F.covar_pop(F.col(c), rest).alias(c) for c in T.PREDICTORS], F.avg(rest).alias("_mean"))
+    checks = []
+    for c, b in zip(model.features, model.coefficients):
+        g = F.col(c)
+        held = F.abs(g - F.lit(alpha if b > 0 else -alpha)) < 1e-6 if b else F.abs(g) <= alpha + 1e-6
+        checks.append(F.struct(F.lit(c).alias("term"), (held & (F.abs("_mean") < 1e-6)).alias("optimal")))
+    return slopes.select(F.inline(F.array(*checks)))
 
 
 _ALPHAS = ", ".join(str(a) for a in L.RIDGE_ALPHAS)
@@ -129,17 +147,37 @@ def ridge_grid_search(spark, sf):
     return spark.createDataFrame([(float(a), v) for a, v in found.cv_mse.items()], "alpha double, cv_mse double")
 
 
-@query("penalty_search")
+_PENALTIES = " UNION ALL ".join(
+    f"SELECT '{kind}' AS model, CAST({a} AS DOUBLE) AS alpha, true AS same, true AS best_is_least"
+    for kind, alphas in (("ridge", L.RIDGE_ALPHAS), ("lasso", L.LASSO_ALPHAS)) for a in alphas
+)
+
+
+@query("penalty_search", _PENALTIES)
 def penalty_search(spark, sf):
-    """Ridge and lasso over their full penalty grids on all predictors, from one pass."""
+    """Ridge and lasso over their full penalty grids on all predictors, from one pass.
+
+    Each setting's error, which comes from cross products, is held against the errors of its
+    models' predictions on the left-out rows.
+    """
     df = complete_rows(FO.entity_folds(_data(spark, sf), "grid_id", 5))
     scaled = L.Standardizer(T.PREDICTORS).fit(df).transform(df)
     moments = L.fold_moments(scaled, T.PREDICTORS, "ln_elec_kwh", "fold", 5)
-    rows = []
+    checks = []
     for kind, alphas in (("ridge", L.RIDGE_ALPHAS), ("lasso", L.LASSO_ALPHAS)):
         found = L.grid_search(scaled, T.PREDICTORS, "ln_elec_kwh", "fold", kind, alphas, moments=moments)
-        rows += [(kind, float(a), v, a == found.best_alpha) for a, v in found.cv_mse.items()]
-    return spark.createDataFrame(rows, "model string, alpha double, cv_mse double, best boolean")
+        least = found.cv_mse[found.best_alpha] <= min(found.cv_mse.values())
+        for a, v in found.cv_mse.items():
+            folds = []
+            for k in range(5):
+                gap = F.col("ln_elec_kwh") - L.solve(moments, kind, a, without=k).prediction()
+                folds.append(F.avg(F.when(F.col("fold") == k, gap * gap)))
+            mean = sum(folds[1:], folds[0]) / 5
+            checks.append(F.struct(
+                F.lit(kind).alias("model"), F.lit(float(a)).alias("alpha"), (F.abs(mean - v) < 1e-8).alias("same"),
+                F.lit(least).alias("best_is_least"),
+            ))
+    return scaled.agg(F.array(*checks).alias("r")).select(F.inline("r"))
 
 
 @query(
@@ -365,23 +403,32 @@ def _train(spark, sf):
     return temporal_split(_data(spark, sf), T.YEARS).filter(F.col("split") == "train")
 
 
-@query("forest_importance")
+_SHARES = f"SELECT {_TERMS} AS feature, true AS a_share, CAST(1 AS DOUBLE) AS total"
+
+
+def _shares(scores):
+    """Features with whether each score is a share, and what the scores add up to."""
+    total = scores.agg(F.sum("importance").alias("total"))
+    return scores.crossJoin(total).select("feature", F.col("importance").between(0, 1).alias("a_share"), "total")  # one row
+
+
+@query("forest_importance", _SHARES, "total")
 def forest_importance(spark, sf):
     df = _train(spark, sf)
-    return TR.impurity_importance(TR.fit_ensemble(df, T.PREDICTORS, "ln_elec_kwh", "forest", **_FOREST), df, T.PREDICTORS)
+    model = TR.fit_ensemble(df, T.PREDICTORS, "ln_elec_kwh", "forest", **_FOREST)
+    return _shares(TR.impurity_importance(model, df, T.PREDICTORS))
 
 
-@query("average_importance")
+@query("average_importance", _SHARES, "total")
 def average_importance(spark, sf):
-    """Mean importance over a forest, boosted trees and a lasso."""
+    """Mean importance over a forest and boosted trees."""
     df = _train(spark, sf)
     table = None
     for kind, params in (("forest", _FOREST), ("boosted", _BOOSTED)):
         model = TR.fit_ensemble(df, T.PREDICTORS, "ln_elec_kwh", kind, **params)
         part = with_method(TR.impurity_importance(model, df, T.PREDICTORS), kind)
         table = part if table is None else table.unionByName(part)
-    linear = L.fit_linear(df, T.PREDICTORS, "ln_elec_kwh", "lasso", 0.001)
-    return mean_importance(table.unionByName(with_method(linear.importance(df), "lasso")))
+    return _shares(mean_importance(table))
 
 
 @query("model_comparison")
@@ -412,15 +459,17 @@ def forest_grid_search(spark, sf):
     return spark.createDataFrame(rows, "max_depth int, cv_rmse double")
 
 
-@query("tree_attributions")
+@query("tree_attributions", "SELECT count(*) AS rows, 0 AS with_gap FROM panel WHERE year <= 1999")
 def tree_attributions(spark, sf):
-    """Attributions of boosted trees with the gap to the prediction, which is zero."""
+    """Rows whose attributions by boosted trees do not add up to the prediction, which are none."""
     df = _train(spark, sf).select(*KEYS, *T.PREDICTORS, "ln_elec_kwh")
     model = TR.fit_ensemble(df, T.PREDICTORS, "ln_elec_kwh", "boosted", **_BOOSTED)
     phi = TR.tree_attributions(model, df, T.PREDICTORS, KEYS)
     scored = model.transform(df).select(*KEYS, "prediction")
     gap = A.local_accuracy(phi, T.PREDICTORS, F.col("prediction"))
-    return phi.join(scored, KEYS).withColumn("gap", F.round(gap, 6))
+    return phi.join(scored, KEYS).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if((F.abs(gap) > 1e-6) | gap.isNull()).cast("int").alias("with_gap")
+    )
 
 
 @query("tree_local_explanations")

@@ -84,7 +84,7 @@ _STAR_KEYS = {
 
 def _star(spark, sf):
     base = T.panel(spark, sf).select("grid_id", "year", "month", "elec_kwh")
-    monthly = T.sparse(T.panel(spark, sf))
+    monthly = T.orders_panel(spark, sf)
     annual = monthly.groupBy("grid_id", "year").agg(F.min("canopy_share").alias("canopy_share"))
     keys = ["grid_id", "year", "month"]
     sources = {
@@ -99,7 +99,7 @@ def _star(spark, sf):
 
 
 _STAR_SQL = """
-, sp AS (SELECT * FROM panel WHERE grid_id % 2 = 1),
+, sp AS (SELECT * FROM orders_panel),
 an AS (SELECT grid_id, year, min(canopy_share) AS canopy_share FROM sp GROUP BY 1, 2)
 SELECT b.grid_id, b.year, b.month, b.elec_kwh, {cols}, c.city_name, c.province{more}
 FROM panel b LEFT JOIN sp s ON b.grid_id = s.grid_id AND b.year = s.year AND b.month = s.month

@@ -23,7 +23,7 @@ def _per(sql: str, columns=_RANGE, source: str = "panel") -> str:
 
 @query(
     "missing_profile",
-    """, sp AS (SELECT * FROM panel WHERE grid_id % 2 = 1),
+    """, sp AS (SELECT * FROM orders_panel),
     an AS (SELECT grid_id, year, min(canopy_share) AS canopy_share FROM sp GROUP BY 1, 2),
     j AS (SELECT s.rhu, s.prec, s.nightlight, s.population, s.gdp_per_capita, a.canopy_share
       FROM panel b LEFT JOIN sp s ON b.grid_id = s.grid_id AND b.year = s.year AND b.month = s.month
@@ -312,26 +312,55 @@ def median_neighbours(spark, sf):
     return S.median_neighbours(orders, "o_totalprice", "o_orderkey")
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    """, s AS (SELECT unnest([0, 1, 1000, 1001, 2000]) AS size)
+    SELECT size, least(size, (SELECT count(*) FROM panel)) AS n, least(size, (SELECT count(*) FROM panel)) AS distinct_keys,
+      least(size, (SELECT count(*) FROM panel)) AS in_panel, 0 AS not_in_largest FROM s""",
+)
 def sample_rows(spark, sf):
+    """Samples of several sizes: their rows, that they are rows of the panel, and each part of the largest."""
     keys = ["grid_id", "year", "month"]
-    return S.sample_rows(T.stored_panel(spark, sf).select(*keys, "elec_kwh"), keys, 2000)
-
-
-@query("sample_fraction")
+    data = T.stored_panel(spark, sf).select(*keys, "elec_kwh")
+    sizes = [0, 1, 1000, 1001, 2000]
+    largest = S.sample_rows(data, keys, sizes[-1]).select(*keys, F.lit(True).alias("in_largest"))
+    held = data.select(*keys, F.col("elec_kwh").alias("held"))
+    out = None
+    for size in sizes:
+        part = S.sample_rows(data, keys, size).join(held, keys, "left").join(largest, keys, "left")
+        row = part.agg(
+            F.lit(size).alias("size"),
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct(*keys).alias("distinct_keys"),
+            F.count_if(F.col("held") == F.col("elec_kwh")).alias("in_panel"),
+            F.count_if(F.col("in_largest").isNull()).cast("int").alias("not_in_largest"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("sample_fraction", "SELECT true AS near_share, count(*) AS in_larger_or_out FROM panel")
 def sample_fraction(spark, sf):
+    """A fifth of the panel is near its share, and every row of it is in the sample of two fifths."""
     keys = ["grid_id", "year", "month"]
-    return S.sample_fraction(T.panel(spark, sf).select(*keys, "elec_kwh"), keys, 20)
+    data = T.stored_panel(spark, sf).select(*keys)
+    small = S.sample_fraction(data, keys, 20).withColumn("small", F.lit(True))
+    large = S.sample_fraction(data, keys, 40).withColumn("large", F.lit(True))
+    joined = data.join(small, keys, "left").join(large, keys, "left")
+    return joined.agg(
+        (F.abs(F.count("small") / F.count(F.lit(1)) - 0.2) < 0.1).alias("near_share"),
+        F.count_if(F.col("small").isNull() | F.col("large")).alias("in_larger_or_out"),
+    )
 
 
 @query(
     "forward_fill",
     """SELECT o_orderkey, last_value(p IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS priority
-    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN o_orderpriority END AS p FROM orders)""",
+    FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS p FROM orders)""",
 )
 def forward_fill(spark, sf):
     sparse = T.table(spark, sf, "orders").select(
-        "o_orderkey", F.when(F.col("o_orderkey") % 7 == 3, F.col("o_orderpriority")).alias("priority")
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("priority")
     )
     return S.forward_fill(sparse, "o_orderkey", ["priority"], chunk=1000)
 
@@ -397,7 +426,7 @@ def quality_report(spark, sf):
 
 _MANIFEST = """, expected AS (SELECT c_nationkey AS record, c_name AS file, c_custkey % 97 + 10 AS size FROM customer),
 actual AS (SELECT c_nationkey AS record, c_name AS file, CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE c_custkey % 97 + 10 END
-  AS size FROM customer WHERE c_custkey % 4 <> 0),
+  AS size FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
 m AS (SELECT e.*, a.size AS actual_size, CASE WHEN a.size IS NULL THEN 'missing' WHEN a.size <> e.size THEN 'corrupt'
   ELSE 'valid' END AS state FROM expected e LEFT JOIN actual a USING (record, file))
 """
@@ -408,7 +437,8 @@ def _manifest(spark, sf):
     files = T.table(spark, sf, "customer").select(
         F.col("c_nationkey").alias("record"), F.col("c_name").alias("file"), (k % 97 + 10).alias("size"), k
     )
-    actual = files.filter(k % 4 != 0).withColumn("size", F.when(k % 5 == 0, 3).otherwise(F.col("size")))
+    ordered = T.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    actual = files.join(ordered, "c_custkey", "left_semi").withColumn("size", F.when(k % 5 == 0, 3).otherwise(F.col("size")))
     return Q.reconcile_manifest(files.drop("c_custkey"), actual)
 
 

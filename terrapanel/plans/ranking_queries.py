@@ -40,15 +40,15 @@ def corr_matrix(spark, sf):
     return C.correlation_pairs(T.stored_panel(spark, sf), _COLS)
 
 
-_GAPPY = """, j AS (SELECT b.elec_kwh, s.rhu, CASE WHEN b.month > 3 THEN b.gdp_per_capita END AS gdp_per_capita
-  FROM panel b LEFT JOIN (SELECT * FROM panel WHERE grid_id % 2 = 1) s
+_GAPPY = """, j AS (SELECT b.elec_kwh, s.rhu, CASE WHEN b.nightlight > 0 THEN b.gdp_per_capita END AS gdp_per_capita
+  FROM panel b LEFT JOIN orders_panel s
   ON b.grid_id = s.grid_id AND b.year = s.year AND b.month = s.month) """
 
 
 def _gappy(spark, sf):
     keys = ["grid_id", "year", "month"]
-    base = T.panel(spark, sf).select(*keys, "elec_kwh", F.when(F.col("month") > 3, F.col("gdp_per_capita")).alias("gdp_per_capita"))
-    return base.join(T.sparse(T.panel(spark, sf)).select(*keys, "rhu"), keys, "left")
+    base = T.panel(spark, sf).select(*keys, "elec_kwh", F.when(F.col("nightlight") > 0, F.col("gdp_per_capita")).alias("gdp_per_capita"))
+    return base.join(T.orders_panel(spark, sf).select(*keys, "rhu"), keys, "left")
 
 
 @query("corr_matrix_pairwise", _GAPPY + _pair_sql("j", ["elec_kwh", "rhu", "gdp_per_capita"]), "r")
@@ -57,12 +57,28 @@ def corr_matrix_pairwise(spark, sf):
     return C.correlation_pairs(_gappy(spark, sf), ["elec_kwh", "rhu", "gdp_per_capita"])
 
 
-@query("corr_significance")
+# Critical values of t by their expansion around the normal quantile, for the levels of the stars.
+_CRITICAL = "({z} + ({z} ** 3 + {z}) / (4 * v) + (5 * {z} ** 5 + 16 * {z} ** 3 + 3 * {z}) / (96 * v * v))"
+_STARRED = f""", c AS ({_pair_sql("panel", _COLS)}),
+t AS (SELECT *, CAST(n - 2 AS DOUBLE) AS v, abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300)) AS t FROM c),
+g AS (SELECT x, y, r, n, CASE WHEN x = y THEN '' WHEN t > {_CRITICAL.format(z="3.2905267314919255")} THEN '***'
+  WHEN t > {_CRITICAL.format(z="2.5758293035489004")} THEN '**' WHEN t > {_CRITICAL.format(z="1.959963984540054")} THEN '*'
+  ELSE '' END AS stars FROM t) """
+
+
+@query("corr_significance", _STARRED + "SELECT * FROM g", "r")
 def corr_significance(spark, sf):
-    return C.significance_table(T.stored_panel(spark, sf), _COLS)
+    """Correlations with their stars; the p values behind these have no SQL form."""
+    return C.significance_table(T.stored_panel(spark, sf), _COLS).drop("p")
 
 
-@query("corr_formatted")
+@query(
+    "corr_formatted",
+    _STARRED + "SELECT x, " + ", ".join(
+        f"max(CASE WHEN y <> '{c}' THEN NULL WHEN list_position({_COLS!r}, x) <= {i + 1} THEN printf('%.3f', r) || stars ELSE '' END) AS {c}"
+        for i, c in enumerate(_COLS)
+    ) + " FROM g GROUP BY x",
+)
 def corr_formatted(spark, sf):
     return C.formatted_matrix(C.significance_table(T.stored_panel(spark, sf), _COLS), _COLS, keep="upper")
 

@@ -129,9 +129,21 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sparse(df: DataFrame) -> DataFrame:
-    """Rows of odd grid cells only: a source with gaps."""
-    return df.filter(F.col("grid_id") % 2 == 1)
+def orders_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures from orders, with a customer as grid cell: a source that lacks many months of the panel."""
+    cents = _cents("o_totalprice")
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("grid_id"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+        .agg(
+            (F.sum(cents).cast("double") / 100 / F.count(F.lit(1))).alias("rhu"),
+            (F.max(cents) % 997).cast("double").alias("prec"),
+            (F.min(cents) % 10).cast("double").alias("canopy_share"),
+            F.count(F.lit(1)).alias("population"),
+            F.max("o_totalprice").alias("gdp_per_capita"),
+            F.count_if(F.col("o_orderstatus") == "F").alias("nightlight"),
+        )
+    )
 
 
 # --- the same tables in SQL -----------------------------------------------------------
@@ -171,6 +183,14 @@ grid_panel AS (
 places AS (
   SELECT c_custkey AS point_id, 73 + (c_custkey * 37 % 6200) / CAST(100.0 AS DOUBLE) AS lon,
     18 + (c_custkey * 53 % 3700) / CAST(100.0 AS DOUBLE) AS lat, c_acctbal AS weight FROM customer),
+orders_panel AS (
+  SELECT o_custkey AS grid_id, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month,
+    CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 / count(*) AS rhu,
+    CAST(max(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) % 997 AS DOUBLE) AS prec,
+    CAST(min(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) % 10 AS DOUBLE) AS canopy_share,
+    count(*) AS population, max(o_totalprice) AS gdp_per_capita,
+    count(*) FILTER (WHERE o_orderstatus = 'F') AS nightlight
+  FROM orders GROUP BY 1, 2, 3),
 cells AS (
   SELECT CAST(year(o_orderdate) AS INT) AS period, CAST(o_orderkey * 7 % 74 AS INT) AS "row",
     CAST(o_orderkey * 11 % 124 AS INT) AS "col",

@@ -137,9 +137,8 @@ def test_three_way_absorption(panel, panel_frame):
     assert fit.within_r2 == pytest.approx(1 - e @ e / (yr @ yr))
 
 
-def test_alternating_sweeps(panel, panel_frame, monkeypatch):
-    monkeypatch.setattr(FE, "SMALL_EFFECT_LEVELS", 1)
-    fit = FE.fixed_effects_ols(panel_frame, "y", ["x1", "x2"], ["g", "ym"])
+def test_alternating_sweeps(panel, panel_frame):
+    fit = FE.fixed_effects_ols(panel_frame, "y", ["x1", "x2"], ["g", "ym"], dummy_levels=1)
     assert fit.estimates == pytest.approx(dense(panel, ["g", "ym"])[3], rel=1e-7)
 
 
