@@ -60,16 +60,23 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     each = docs.select("doc_id", *identity("doc_id", "text"), "text")
     # every text has a chunk; a plain explode would infer a filter that derives all of them again
     chunks = line_chunks(each).select("doc_id", *_IDENTITY, F.explode_outer("chunks").alias("c")).select("doc_id", *_IDENTITY, "c.*")
-    chunks = chunks.filter((F.col("n") >= LEAST_LINES) & _several(F.col("body"))).withColumn("hash", F.xxhash64("body"))
+    chunks = chunks.filter((F.col("n") >= LEAST_LINES) & _several(F.col("body")))
     # hashes that occur more than once, found on narrow rows and combined before they are shuffled
-    seen = checkpointed(chunks.select("hash", "doc_id", *_IDENTITY, "start", "n"))
-    often = checkpointed(seen.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash"))
-    alike = chunks.join(often, "hash", "left_semi")
+    seen = checkpointed(chunks.select(F.xxhash64("body").alias("hash"), *_IDENTITY, "start", "n"))
+    often = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
+    asked = seen.join(often, "hash", "left_semi").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("start", "n", "hash")).alias("asked"))
+    asked = checkpointed(asked)
+    # bodies of these alone are read again; both sides grow with the corpus, so neither is broadcast
+    bodies = each.join(asked.hint("merge"), _IDENTITY).select("doc_id", *_IDENTITY, split_lines(F.col("text")).alias("lines"), "asked")
+    # two uses of the lines keep the optimizer from splitting the text again for every chunk
+    cut = "named_struct('start', c.start, 'n', c.n, 'hash', c.hash, 'body', array_join(slice(lines, c.start + 1, least(c.n, size(lines))), '\n'))"
+    bodies = bodies.select("doc_id", *_IDENTITY, F.explode_outer(F.expr(f"transform(asked, c -> {cut})")).alias("c"))
+    alike = checkpointed(bodies.select("doc_id", *_IDENTITY, "c.*"))
     # bytes decide: the group is the body itself
     place = F.struct("doc_id", "start")
-    first = alike.groupBy("body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = checkpointed(first.filter(~F.col("first").eqNullSafe(F.col("last"))).select("body", "first"))
-    gone = alike.join(first, "body").filter(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
+    first = alike.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = checkpointed(first.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "body", "first"))
+    gone = alike.join(first, ["hash", "body"]).filter(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
     return gone.groupBy(*_IDENTITY).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("gone"))
 
 
@@ -81,7 +88,7 @@ def remove_repeated_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
     empty; a document whose lines all go keeps its row with an empty text.
     """
     gone = checkpointed(repeated_chunks(docs))
-    marked = with_identity(docs).join(gone, _IDENTITY, "left").withColumn("lines", split_lines(F.col("row.text")))
+    marked = with_identity(docs).join(gone.hint("merge"), _IDENTITY, "left").withColumn("lines", split_lines(F.col("row.text")))
     kept = (
         "flatten(transform(sequence(0, size(gone)), j -> slice(lines, "
         "CASE WHEN j = 0 THEN 1 ELSE gone[j - 1].start + gone[j - 1].n + 1 END, "
