@@ -25,7 +25,8 @@ from terrapanel.functions.bins import (
 from terrapanel.functions.scalars import joined_label, month_flag, season_of
 from terrapanel.operators.quantiles import exact_quantiles
 
-MAX_LEVELS = 1000
+# Columns of more levels than this are refused unless the caller asks for more.
+MOST_LEVELS = 1000
 
 
 @dataclass
@@ -85,14 +86,20 @@ class ZeroInflatedBinner:
         )
 
 
-def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted levels of several columns in one pass; refuses unbounded columns."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if row[c] > MAX_LEVELS]
+def category_levels(df: DataFrame, columns: Sequence[str], most: int = MOST_LEVELS) -> dict[str, list[str]]:
+    """Sorted levels of several columns in one pass; refuses columns of more than ``most`` exactly counted levels."""
+    levels = (
+        df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+        .unpivot([], list(columns), "column", "level").filter(F.col("level").isNotNull()).distinct()
+    )
+    sizes = {r["column"]: r["count"] for r in levels.groupBy("column").count().collect()}
+    wide = [c for c in columns if sizes.get(c, 0) > most]
     if wide:
         raise ValueError(f"too many levels to one-hot encode: {wide}")
-    row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]).first()
-    return {c: list(row[c]) for c in columns}
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in levels.orderBy("column", "level").collect():  # at most ``most`` a column
+        out[r["column"]].append(r["level"])
+    return out
 
 
 @dataclass
@@ -299,11 +306,11 @@ class Imputer:
 class LabelCodes:
     """Alphabetical integer codes over every split; unseen labels get the next code.
 
-    Columns with more than ``max_levels`` levels are dropped.
+    Columns with more than ``max_levels`` levels are dropped and named in ``dropped``; None keeps all.
     """
 
     columns: Sequence[str]
-    max_levels: int = 10
+    max_levels: int | None = 10
     levels: dict[str, list[str]] = field(default_factory=dict)
     dropped: list[str] = field(default_factory=list)
 
@@ -311,7 +318,7 @@ class LabelCodes:
         data = splits[0].select(*self.columns)
         for other in splits[1:]:
             data = data.unionByName(other.select(*self.columns))
-        # Only max_levels + 1 levels per column are ever brought back.
+        # Only columns of up to max_levels levels are brought back.
         distinct = (
             data.select(*[F.col(c).cast("string").alias(c) for c in self.columns])
             .unpivot([], list(self.columns), "column", "level")
@@ -319,7 +326,7 @@ class LabelCodes:
             .distinct()
         )
         sizes = {r["column"]: r["count"] for r in distinct.groupBy("column").count().collect()}
-        self.dropped = [c for c in self.columns if sizes.get(c, 0) > self.max_levels]
+        self.dropped = [c for c in self.columns if self.max_levels is not None and sizes.get(c, 0) > self.max_levels]
         small = [c for c in self.columns if c not in self.dropped]
         self.levels = {c: [] for c in small}
         for r in distinct.filter(F.col("column").isin(*small)).orderBy("column", "level").collect():

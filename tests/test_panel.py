@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from terrapanel.operators import panel as P
 from terrapanel.operators import profile as PR
 from terrapanel.operators import quality as Q
+from terrapanel.operators import ranking as RK
 from terrapanel.operators import rollup as R
+from terrapanel.operators import sampling as S
 from terrapanel.operators import timeseries as TS
 
 
@@ -85,6 +87,19 @@ def test_column_groups_take_the_first_match():
     assert PR.column_group("gdp_high_gdp") == "socioeconomic_categorical"
     assert PR.column_group("canopy_share") == "canopy"
     assert PR.column_group("something") == "other"
+    assert PR.column_group("city_id", "grid") == "location" and PR.column_group("city_id") == "spatial"
+    assert PR.column_group("days_in_bin_0_5") == "temperature_bins"
+    assert PR.column_group("canopy_x_gdp") == "interactions"
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, 5.0), (4, None)], "k int, v double")
+    assert [r.k for r in S.extreme_rows(df, "v", "k").collect()] == [3, 1]
+    assert [r.k for r in S.extreme_rows(df, "v", "k", largest=False).collect()] == [1, 3]
+    assert [r.k for r in RK.top_k(df, "v", 1, key="k").collect()] == [3]
+    assert sum(r.n for r in PR.histogram_counts(df, F.col("v"), bins=4).collect()) == 2
+    assert PR.missing_profile(df).first().null_count == 2
+    assert PR.range_profile(df, ["v"]).first()["max"] == 5.0
 
 
 def test_shared_columns(spark):

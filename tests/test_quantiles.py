@@ -86,3 +86,9 @@ def test_folds(spark):
     blocked = FO.entity_folds(df, "city", 5, nulls="block")
     assert blocked.groupBy("city").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
     assert blocked.count() == 103 and FO.entity_folds(df, "city", 5).count() == 92
+
+
+def test_samples_of_neighbouring_sizes_are_nested(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    small, large = ({r.k for r in S.sample_rows(df, ["k"], n).collect()} for n in (1000, 1001))
+    assert len(small) == 1000 and len(large) == 1001 and small < large
