@@ -33,11 +33,18 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit ranks."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
     code = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    code[: len(ranks)] = size - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
+    more = code[: len(ranks)]
+    width = 1
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        above = ranks > limit
+        if not above.any():
+            break
+        more += above
+        width += 1
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) <= more[:, None]]
+    code = code.reshape(-1, 4)
+    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
     return control.tobytes(), data.tobytes()
 
 
@@ -57,7 +64,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
-def document_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
+def id_type(tokenizer: str) -> str:
+    """The narrowest type that holds every id."""
+    return "<u2" if PartEncoder(tokenizer).vocabulary_size <= 1 << 16 else "<u4"
+
+
+def document_ids(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
     """doc_id and ``ids`` of every row, the end id included, as byte planes."""
     end = np.array([END_ID], dtype="<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -67,7 +79,7 @@ def document_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in batches:
             rows, size = [], 0
             for key, ids in zip(b.column(0).to_pylist(), encoded(encoder, (x.as_py() for x in b.column(1)))):
-                rows.append((key, planes(np.frombuffer(ids + end, "<u4"))))
+                rows.append((key, planes(np.frombuffer(ids + end, "<u4").astype(kind, copy=False))))
                 size += len(ids)
                 if size > HELD_BYTES:
                     yield _batch(rows, schema)
@@ -78,13 +90,13 @@ def document_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, ids binary")
 
 
-def token_counts(stored: DataFrame) -> DataFrame:
+def token_counts(stored: DataFrame, kind: str) -> DataFrame:
     """Occurrences of every id over all documents."""
     def count(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
             if b.num_rows:
-                part = np.bincount(np.concatenate([from_planes(x.as_py(), "<u4") for x in b.column(0)]))
+                part = np.bincount(np.concatenate([from_planes(x.as_py(), kind) for x in b.column(0)]))
                 total = np.pad(total, (0, max(0, len(part) - len(total))))
                 total[: len(part)] += part
         used = np.flatnonzero(total)
@@ -100,9 +112,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
     side by side. No rows give a store without blocks.
     """
     spark = docs.sparkSession
-    stored = checkpointed(document_ids(docs, tokenizer))
+    kind = id_type(tokenizer)
+    stored = checkpointed(document_ids(docs, tokenizer, kind))
     # bounded by the vocabulary
-    counted = token_counts(stored).orderBy(F.desc("n"), "token_id").collect()
+    counted = token_counts(stored, kind).orderBy(F.desc("n"), "token_id").collect()
     order = np.array([r["token_id"] for r in counted], dtype=np.int64)
     spark.createDataFrame(
         [(i, int(t)) for i, t in enumerate(order)], "rank int, token_id bigint"
@@ -121,7 +134,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
         for b in batches:
             rows, size = [], 0
             for key, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                ranks = rank[from_planes(ids.as_py(), "<u4")]
+                ranks = rank[from_planes(ids.as_py(), kind)]
                 shard = 0 if key is None else int(np.searchsorted(bounds, key, side="left"))
                 rows.append((key, shard, len(ranks), *encode_ranks(ranks)))
                 size += len(ranks)
