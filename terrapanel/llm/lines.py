@@ -5,6 +5,9 @@ condition that the line before did not meet, so chunks have two lines at least.
 depend on three lines of content, not on their place: a passage moved within or between
 documents is cut alike after its first boundary. Chunks of several lines that
 occur more than once are then compared byte by byte, and all but the first occurrence go.
+
+A chunk needs both of its cuts inside the repeated passage. With ``whole`` every two neighbouring
+lines are looked at besides the chunks, so a passage goes up to its last equal line.
 """
 
 from __future__ import annotations
@@ -46,23 +49,47 @@ def line_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut.withColumn("chunks", F.expr(chunks)).drop("h", "starts")
 
 
+def line_windows(docs: DataFrame) -> DataFrame:
+    """Add ``windows`` (start, n): any two lines with more than blanks that have at most blank lines between them.
+
+    A run of lines that occurs before is made of windows that occur before, wherever its cuts are.
+    """
+    cut = docs.withColumn("full", F.expr("filter(sequence(0, size(lines) - 1), i -> trim(lines[i]) <> '')"))
+    windows = "transform(slice(full, 2, size(full)), (e, j) -> named_struct('start', full[j], 'n', e - full[j] + 1))"
+    return cut.withColumn("windows", F.expr(windows)).drop("full")
+
+
 def _several(body: Column) -> Column:
     """Whether the chunk has enough lines that are not blank."""
     return F.size(F.filter(F.split(body, "\n", -1), lambda x: F.trim(x) != "")) >= LEAST_LINES
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def _hashed(docs: DataFrame, whole: bool) -> DataFrame:
+    """hash, identity, start and n of all runs of lines that are looked at."""
+    # every text has a chunk; a plain explode would infer a filter that derives all of them again
+    cut = line_chunks(docs)
+    chunks = cut.select("doc_id", *_IDENTITY, F.explode_outer("chunks").alias("c")).select("doc_id", *_IDENTITY, "c.*")
+    chunks = chunks.filter((F.col("n") >= LEAST_LINES) & _several(F.col("body")))
+    chunks = chunks.select(F.xxhash64("body").alias("hash"), *_IDENTITY, "start", "n")
+    if not whole:
+        return chunks
+    # hashed before they become rows, so that no line is copied into two of them
+    each = "transform(windows, w -> named_struct('hash', xxhash64(array_join(slice(lines, w.start + 1, w.n), '\n')), 'start', w.start, 'n', w.n))"
+    windows = line_windows(docs.withColumn("lines", split_lines(F.col("text")))).select(*_IDENTITY, F.explode_outer(F.expr(each)).alias("w"))
+    windows = windows.filter("w IS NOT NULL").select("w.hash", *_IDENTITY, "w.start", "w.n")
+    return chunks.unionByName(windows)
+
+
+def repeated_chunks(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Occurrences to remove: the row's identity and ``gone``, its runs (start, n) in order.
 
     The first occurrence, by document id (null first) and then by place, stays. Rows that agree
-    in id and text are one document.
+    in id and text are one document. With ``whole`` the runs may overlap, one that overlaps its own
+    first occurrence stays, and documents of one id are ordered by their identity.
     """
     each = docs.select("doc_id", *identity("doc_id", "text"), "text")
-    # every text has a chunk; a plain explode would infer a filter that derives all of them again
-    chunks = line_chunks(each).select("doc_id", *_IDENTITY, F.explode_outer("chunks").alias("c")).select("doc_id", *_IDENTITY, "c.*")
-    chunks = chunks.filter((F.col("n") >= LEAST_LINES) & _several(F.col("body")))
     # hashes that occur more than once, found on narrow rows and combined before they are shuffled
-    seen = checkpointed(chunks.select(F.xxhash64("body").alias("hash"), *_IDENTITY, "start", "n"))
+    seen = checkpointed(_hashed(each, whole))
     often = seen.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
     asked = seen.join(often, "hash", "left_semi").groupBy(*_IDENTITY).agg(F.collect_set(F.struct("start", "n", "hash")).alias("asked"))
     asked = checkpointed(asked)
@@ -73,21 +100,29 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     bodies = bodies.select("doc_id", *_IDENTITY, F.explode_outer(F.expr(f"transform(asked, c -> {cut})")).alias("c"))
     alike = checkpointed(bodies.select("doc_id", *_IDENTITY, "c.*"))
     # bytes decide: the group is the body itself
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", *(_IDENTITY if whole else ()), "start")
     first = alike.groupBy("hash", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = checkpointed(first.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "body", "first"))
-    gone = alike.join(first, ["hash", "body"]).filter(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
+    stays = place.eqNullSafe(F.col("first"))
+    if whole:
+        same = [F.col(k) == F.col(f"first.{k}") for k in _IDENTITY]
+        stays = same[0] & same[1] & (F.col("start") < F.col("first.start") + F.col("n"))
+    gone = alike.join(first, ["hash", "body"]).filter(~stays)
     return gone.groupBy(*_IDENTITY).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("gone"))
 
 
-def remove_repeated_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, counts: bool = True, whole: bool = False) -> DataFrame:
     """``docs`` with the remaining lines as ``text``, and with ``n_lines`` and ``n_removed``.
 
     Needs doc_id and text; other columns pass through, but the two counts replace columns of
     their names (``counts=False`` leaves them out). A null text stays null and an empty one
-    empty; a document whose lines all go keeps its row with an empty text.
+    empty; a document whose lines all go keeps its row with an empty text. ``whole`` removes any
+    run of two lines or more that occurs before, not only those that are chunks.
     """
-    gone = checkpointed(repeated_chunks(docs))
+    gone = checkpointed(repeated_chunks(docs, whole))
+    if whole:  # overlapping runs become runs of one line each
+        each_line = "sort_array(array_distinct(flatten(transform(gone, g -> sequence(g.start, g.start + g.n - 1)))))"
+        gone = gone.withColumn("gone", F.expr(f"transform({each_line}, i -> named_struct('start', i, 'n', 1))"))
     marked = with_identity(docs).join(gone.hint("merge"), _IDENTITY, "left").withColumn("lines", split_lines(F.col("row.text")))
     kept = (
         "flatten(transform(sequence(0, size(gone)), j -> slice(lines, "

@@ -71,6 +71,12 @@ def line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op6_line_dedup_whole")
+def line_dedup_whole(spark, sf_dir):
+    kept = lines.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op1_toxicity")
 def toxicity_scores(spark, sf_dir):
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

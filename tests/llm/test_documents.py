@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on a table of awkward rows and on an empty one."""
 
 import hashlib
+import random
 
 import helpers as H
 import public_tokenizers
@@ -103,6 +104,45 @@ def test_moved_lines_are_found(spark):
     assert got[1].n_removed == 0 and got[2].n_removed >= 20
 
 
+def whole_runs_left(rows):
+    """Brute force without cuts or hashes: pairs of lines, where blank lines may lie between, that occur before."""
+    first, found = {}, []
+    for doc_id, text in sorted(rows):
+        lines_ = text.split("\n")
+        full = [i for i, x in enumerate(lines_) if x.strip(" ")]
+        gone = set()
+        for a, b in zip(full, full[1:]):
+            at = first.setdefault(tuple(lines_[a : b + 1]), (doc_id, a))
+            if at[0] != doc_id or a >= at[1] + b - a + 1:
+                gone.update(range(a, b + 1))
+        found.append((doc_id, [x for i, x in enumerate(lines_) if i not in gone]))
+    return found
+
+
+def test_short_passages_between_unlike_lines_go_whole(spark):
+    rnd, rows = random.Random(4), []
+    passages = [[f"passage {p} line {i}" for i in range(2 + p % 9)] for p in range(45)]
+    for d in range(3):
+        for p, passage in enumerate(passages):
+            own = [f"own {d} {p} {i}" for i in range(rnd.randint(1, 4))]
+            cut = passage[: len(passage) // 2 + 1] + ["", ""] + passage[len(passage) // 2 + 1 :] if p % 3 == 0 else passage
+            rows.append((d * 1000 + p, "\n".join([*own, *cut, f"end {d} {p}"])))
+    rows += [(9000, "\n".join(["round"] * 7)), (9001, "a\nb\na\nb\na"), (9002, "one line"), (9003, ""), (9004, " \n\n ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    full = lambda text: [x for x in text.split("\n") if x.strip(" ")]  # noqa: E731  chunks may take the blank lines at their ends along
+    got = {r.doc_id: full(r.text) for r in lines.remove_repeated_lines(docs, whole=True).collect()}
+    assert got == {d: full("\n".join(left)) for d, left in whole_runs_left(rows)}
+    assert all(len(got[d * 1000 + p]) == len([x for x in got[d * 1000 + p] if x.startswith(("own", "end"))]) for d in (1, 2) for p in range(45))
+    by_cuts = {r.doc_id: full(r.text) for r in lines.remove_repeated_lines(docs).collect()}
+    assert sum(map(len, got.values())) < sum(map(len, by_cuts.values()))
+
+
+def test_copies_of_one_id_keep_one_occurrence(spark):
+    rows = [(None, f"shared one\nshared two\nown {i}") for i in range(3)] + [(5, "x y\ny z\nleft"), (5, "x y\ny z\nright")]
+    got = [r.text for r in lines.remove_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), whole=True).collect()]
+    assert sum("shared one" in t for t in got) == 1 and sum("x y" in t for t in got) == 1 and len(got) == 5
+
+
 def test_packing(awkward, nothing):
     rows, _, docs = awkward
     got = packing.pack(checkpointed(packing.token_pieces(docs, with_ids=True))).collect()
