@@ -4,8 +4,9 @@ The page is cut into blocks at block-level tags. The first pass decides each blo
 stands, its length, the density of its links and of stop words; short or middling blocks stay
 open. In the second pass an open block takes the label of the nearest decided block of its own
 region, so a short paragraph follows the text around it. Elements that hold menus, forms,
-adverts, notices or comments (by tag, role, class or id) form no blocks at all, and where a page
-marks an article, text outside it is not part of it.
+adverts, notices or comments (by tag, role, class or id) form no blocks at all. Standing in an
+article or main element lowers the limits of the first pass, unless the rest of the page holds
+more decided text than these elements.
 """
 
 from __future__ import annotations
@@ -69,7 +70,10 @@ class Rules:
     high_stop_density: float = 0.30
     low_stop_density: float = 0.12
     high_link_density: float = 0.5
-    #: Inside a marked article only a block that is nearly all links is dropped.
+    #: Inside a marked article the limits are lower.
+    article_stop_density: float = 0.02
+    #: Stop words that an article's block without any would have at the density of its page.
+    article_missing_words: float = 8
     article_link_density: float = 0.9
     article_link_count: int = 2
 
@@ -162,50 +166,75 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def decide(text: str, block: Block, rules: Rules) -> bool | None:
-    """First pass: text (True), not text (False) or open (None)."""
-    density = block.link_chars / max(1, len(text))
-    if block.inside:
-        if block.links >= rules.article_link_count and density >= rules.article_link_density:
-            return False
-        return True if len(text) >= rules.short_chars else None
-    if density > rules.high_link_density:
-        return False
+def _stop_density(text: str) -> float:
     words = _WORD.findall(text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def decide(text: str, block: Block, rules: Rules, inside: bool, usual: float) -> bool | None:
+    """First pass: text (True), not text (False) or open (None). ``usual`` is the density of stop words in the page."""
+    if _all_links(text, block, rules, inside):
+        return False
     if len(text) < rules.short_chars:
         return None
-    if stop >= rules.high_stop_density and len(text) >= rules.long_chars:
+    stop = _stop_density(text)
+    long = len(text) >= rules.long_chars
+    # pages of other languages hold hardly any of the stop words, so these decide nothing there
+    if usual < rules.low_stop_density / 2:
+        return True if inside or long else None
+    if inside:
+        missing = usual * len(_WORD.findall(text)) >= rules.article_missing_words
+        return False if stop < rules.article_stop_density and missing else True if stop >= rules.low_stop_density else None
+    if stop >= rules.high_stop_density and long:
         return True
     if stop < rules.low_stop_density:
         return False
-    return True if len(text) >= rules.long_chars else None
+    return True if long else None
+
+
+def _all_links(text: str, block: Block, rules: Rules, inside: bool) -> bool:
+    density = block.link_chars / max(1, len(text))
+    if inside:
+        return block.links >= rules.article_link_count and density >= rules.article_link_density
+    return density > rules.high_link_density
+
+
+def _follow(found: list[tuple[Block, str]], labels: list[bool | None], at: list[int], rules: Rules, inside: bool, default: bool) -> None:
+    """Second pass over the blocks ``at`` of one region: the nearest decided block, the next one if two are equally near."""
+    decided = [i for i in at if labels[i] is not None]
+    # a list of links beside it says nothing of an article's block without links
+    prose = [i for i in decided if not (inside and _all_links(found[i][1], found[i][0], rules, inside))]
+    told = dict(zip(decided, (labels[i] for i in decided)))
+    k = {False: 0, True: 0}
+    for i in at:
+        if i in told:
+            continue
+        plain = found[i][0].links == 0
+        use = prose if plain else decided
+        while k[plain] < len(use) and use[k[plain]] < i:
+            k[plain] += 1
+        near = [use[j] for j in (k[plain], k[plain] - 1) if 0 <= j < len(use)]
+        labels[i] = told[min(near, key=lambda j: abs(j - i))] if near else default
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    """Text of the article, one block a line; empty for a null or empty page."""
+    """Main text of the page, one block a line; empty for a null or empty page."""
     if not page:
         return ""
     found = [(b, _SPACE.sub(" ", "".join(b.texts)).strip()) for b in blocks_of(page)]
     found = [(b, t) for b, t in found if t]
-    if any(b.inside for b, _ in found):
-        found = [(b, t) for b, t in found if b.inside]
-    labels = [decide(t, b, rules) for b, t in found]
-    decided = [i for i, label in enumerate(labels) if label is not None]
-    kept, k = [], 0
-    for i, (_, t) in enumerate(found):
-        label = labels[i]
-        if label is None:
-            # second pass: the nearest decided block, the next one if two are equally near
-            while k < len(decided) and decided[k] < i:
-                k += 1
-            near = [decided[j] for j in (k, k - 1) if 0 <= j < len(decided)]
-            label = labels[min(near, key=lambda j: abs(j - i))] if near else True
-            if found[i][0].inside and not label:
-                label = found[i][0].links == 0
-        if label:
-            kept.append(t)
-    return "\n".join(kept)
+    usual = _stop_density(" ".join(t for _, t in found))
+    labels = [decide(t, b, rules, b.inside, usual) for b, t in found]
+    text_in = [sum(len(t) for (b, t), label in zip(found, labels) if label and b.inside == side) for side in (False, True)]
+    if text_in[0] > text_in[1]:
+        # the marked part is a teaser or a comment: all blocks are judged alike
+        labels = [decide(t, b, rules, False, usual) for b, t in found]
+        _follow(found, labels, list(range(len(found))), rules, False, True)
+    else:
+        marked = any(b.inside for b, _ in found)
+        for side in (False, True):
+            _follow(found, labels, [i for i, (b, _) in enumerate(found) if b.inside == side], rules, side, side or not marked)
+    return "\n".join(t for (_, t), label in zip(found, labels) if label)
 
 
 def extract(pages: DataFrame, html_column: str = "html", rules: Rules = Rules()) -> DataFrame:

@@ -204,6 +204,20 @@ def test_main_text(inner, expected):
     assert html.main_text(PAGE % inner) == expected
 
 
+PROSE = ("The river of the town is in the valley and it was there that they had been for all of the day. " * 4).strip()
+LISTED = "Megapixel zoom titanium bracket waterproof aluminium tripod discount voucher bundle premium gadget outlet warehouse clearance shipping"
+LISTED += " " + LISTED
+
+
+def test_an_article_is_one_feature_of_a_block():
+    teaser = f"<div><p>{PROSE}</p><p>{PROSE}</p></div><article><p>The next of the posts.</p></article>"
+    assert html.main_text(teaser).startswith(f"{PROSE}\n{PROSE}")
+    # stop words decide inside too, but not in a language of which none are known
+    assert html.main_text(f"<main><p>{PROSE}</p><p>{LISTED}</p><p>{PROSE}</p></main>") == f"{PROSE}\n{PROSE}"
+    assert html.main_text(f"<main><p>{LISTED}</p></main>") == LISTED
+    assert html.main_text(f"<article><p>{PROSE}</p><p>So it was.</p></article><div>A short line.</div>") == f"{PROSE}\nSo it was."
+
+
 def test_odd_pages(spark):
     assert [html.main_text(p) for p in (None, "", "   ", "<", "<p", "plain", "a < b & c", "<script>x", "<p>x</p", "<div><div><p>deep")] == [
         "", "", "", "<", "", "plain", "a < b & c", "", "x", "deep",
