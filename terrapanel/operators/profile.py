@@ -158,7 +158,8 @@ def rule_violations(df: DataFrame, low_days: float = 20, high_days: float = 40)
         total = row_sum(days)
         rules["unusual_bin_sum"] = (total < low_days) | (total > high_days)
     structs = [F.struct(F.lit(n).alias("rule"), F.count_if(c).alias("violations")) for n, c in rules.items()]
-    return nan_to_null(df.select(*columns)).agg(F.array(*structs).alias("r")).select(F.inline("r"))
+    read = [c for c in ("elec_kwh", "gdp_per_capita") if c in df.columns]
+    return nan_to_null(df.select(*read, *days)).agg(F.array(*structs).alias("r")).select(F.inline("r"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
