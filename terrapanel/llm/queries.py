@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import anchors, html, jaccard, lines, mtree, packing, token_counts, token_store, toxicity, winnowing
+from terrapanel.llm import alignment, anchors, html, jaccard, lines, mtree, packing, token_counts, token_store, toxicity, winnowing
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def edited_token_counts(spark, sf_dir):
         "doc_id", "n_before", "n_tokens", "n_edits", "chars_encoded", F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query("op12_token_alignment")
+def token_alignment(spark, sf_dir):
+    return alignment.align_corpus(table(spark, sf_dir, "documents"))[0]
