@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import alignment, anchors, html, jaccard, lines, mtree, packing, token_counts, token_store, toxicity, winnowing
+from terrapanel.llm import alignment, anchors, conversations, html, jaccard, lines, mtree, packing, token_counts, token_store, toxicity, winnowing
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,17 @@ def edited_token_counts(spark, sf_dir):
 @query("op12_token_alignment")
 def token_alignment(spark, sf_dir):
     return alignment.align_corpus(table(spark, sf_dir, "documents"))[0]
+
+
+@query("op13_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    whole, parts = conversations.repair(conversations.damaged(turns))
+    whole = whole.withColumn("sha256", F.sha2(conversations.joined(F.col("turns")), 256))
+    ids = turns.select(F.col("conv_id").cast("bigint")).distinct()
+    out = ids.join(whole.withColumnRenamed("conv_id", "_w"), F.col("conv_id").eqNullSafe(F.col("_w")), "left")
+    digests = conversations.part_digests(parts).select(F.col("conv_id").alias("_p"), F.col("sha256").alias("_digest"))
+    out = out.join(digests, F.col("conv_id").eqNullSafe(F.col("_p")), "left")
+    zeros = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("sha256", "_digest", F.sha2(F.lit("").cast("binary"), 256))
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
