@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,10 +31,12 @@ BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Documents and characters of a block, whichever is reached first. A place is 16 bits.
 BLOCK_DOCS = 1 << 13
-BLOCK_CHARS = 16 << 20
-#: Parts remembered by a worker before it starts afresh, and the longest part remembered.
-REMEMBERED_PARTS = 400_000
-LONGEST_PART = 64
+BLOCK_CHARS = 4 << 20
+#: Parts encoded in one string.
+TOGETHER = 256
+#: Parts, and bytes of parts, that a worker remembers before it starts afresh.
+REMEMBERED_PARTS = 250_000
+REMEMBERED_BYTES = 8 << 20
 _BLANK = "▁"
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")
 
@@ -52,35 +54,8 @@ def parts_of(text: str) -> list[str]:
     return [pieces[0], *[" " + p for p in pieces[1:]]]
 
 
-@dataclass
-class Part:
-    """What alignment says of one part; ``bad`` where a tokenizer does not give its bytes back."""
-
-    bad: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: np.ndarray  # a << 32 | b, one entry a link
-
-
-def align(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[int]]:
-    """Groups of ids between the offsets where both end, and the links of overlapping tokens."""
-    groups, links = [], []
-    i = j = i0 = j0 = 0
-    while i < len(a) and j < len(b):
-        links.append(a[i] << 32 | b[j])
-        ea, eb = a_ends[i], b_ends[j]
-        i += ea <= eb
-        j += eb <= ea
-        if ea == eb:
-            groups.append((a[i0:i], b[j0:j]))
-            i0, j0 = i, j
-    return groups, links
-
-
 class Aligner:
-    """Both tokenizers, with the parts a worker has met."""
+    """Both tokenizers, with what a worker has worked out of the parts it has met."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -90,14 +65,19 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         letters = byte_level_alphabet()
-        self.bytes_a = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        known_a = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        self.bytes_a = [known_a.get(i, b"") for i in range(max(self.a.get_vocab().values()) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         as_byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(p)) else p.replace(_BLANK, " ").encode() for p in pieces]
         # Only where no piece goes on past a blank do parts encode alone.
         self.divisible = not any(re.search(f"[^{_BLANK}]{_BLANK}", p) for p in pieces)
-        self.known: dict[str, Part] = {}
+        self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
+        ids = max(len(self.bytes_a), len(self.bytes_b))
+        # How an id is shown inside a group, and as the last of its side.
+        self.shown_as = [np.array([f"{i}{mark}" for i in range(ids)], object) for mark in (",", "|", ";")]
+        self.forget()
 
     @classmethod
     def of_worker(cls, path_a: str, path_b: str) -> Aligner:
@@ -106,45 +86,115 @@ class Aligner:
             shelf["aligner", path_a, path_b] = cls(path_a, path_b)
         return shelf["aligner", path_a, path_b]
 
-    def _work_out(self, parts: list[str]) -> dict[str, Part]:
-        found_a = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        found_b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        out = {}
-        for p, ea, b in zip(parts, found_a, found_b):
-            a, raw = ea.ids, p.encode()
-            la, lb = [self.bytes_a.get(x, b"") for x in a], [self.bytes_b[x] for x in b]
-            if b"".join(la) != raw or b"".join(lb) != raw:
-                out[p] = Part(True, 0, 0, 0, "", np.zeros(0, np.int64))
-                continue
-            groups, links = align(a, np.cumsum([len(x) for x in la]).tolist(), b, np.cumsum([len(x) for x in lb]).tolist())
-            shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-            out[p] = Part(False, len(a), len(b), len(groups), shown, np.array(links, np.int64))
+    def forget(self) -> None:
+        """Numbers of parts, and by number: counts (a, b, groups, links, bad), groups, and links as numbers of pairs."""
+        self.number: dict[str, int] = {}
+        self.counts = np.zeros((0, 5), np.int64)
+        self.shown: list[str] = []
+        self.links = np.zeros(0, np.int32)
+        self.pair_number: dict[int, int] = {}
+        self.held = 0
+
+    def _bad(self, parts: list[bytes], ids: np.ndarray, sizes: np.ndarray, table: list[bytes]) -> np.ndarray:
+        """Which parts their tokens do not give back byte for byte."""
+        out, ends = np.zeros(len(parts), bool), np.cumsum(sizes).tolist()
+        for k, (raw, lo, hi) in enumerate(zip(parts, [0, *ends], ends)):
+            out[k] = b"".join([table[i] for i in ids[lo:hi].tolist()]) != raw
         return out
 
-    def texts(self, texts: list[str | None]) -> list[list[Part] | None]:
-        """The parts of each text; None where it has no tokens."""
+    def _learn(self, parts: list[str]) -> None:
+        raw = [p.encode() for p in parts]
+        at = np.cumsum([len(x) for x in raw])
+        # Parts are cut where tokens end, so several in a row encode as each alone, unless one ends in a blank.
+        stops = sorted({*range(0, len(parts), TOGETHER), *(k + 1 for k, p in enumerate(parts) if p[-1].isspace()), len(parts)})
+        found_a = self.a.encode_batch_fast(["".join(parts[i:j]) for i, j in zip(stops, stops[1:])], add_special_tokens=False)
+        a = np.fromiter(chain.from_iterable(e.ids for e in found_a), np.int64)
+        n_a = np.diff(np.searchsorted(np.cumsum(self.size_a[a]), at, side="right"), prepend=0)
+        found_b = self.b.encode([p[1:] for p in parts], num_threads=1)
+        b = np.fromiter(chain.from_iterable(found_b), np.int64)
+        n_b = np.array([len(x) for x in found_b], np.int64)
+        whole = b"".join(raw)
+        bad = np.zeros(len(parts), bool)
+        for ids, n, size, table in ((a, n_a, self.size_a, self.bytes_a), (b, n_b, self.size_b, self.bytes_b)):
+            ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum(n)]
+            if not np.array_equal(ends, at) or b"".join([table[i] for i in ids.tolist()]) != whole:
+                bad |= self._bad(raw, ids, n, table)
+        a, b = a[~np.repeat(bad, n_a)], b[~np.repeat(bad, n_b)]
+        n_a[bad] = n_b[bad] = 0
+        of_a, of_b = (np.repeat(np.arange(len(parts)), n) for n in (n_a, n_b))
+        first_a, first_b, pair_part, last_a, last_b = align(self.size_a[a], self.size_b[b], of_a)
+        numbers = self._pair_numbers(a[first_a] << 32 | b[first_b])
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
+        show = np.concatenate([
+            np.where(last_a, self.shown_as[1][a], self.shown_as[0][a]), np.where(last_b, self.shown_as[2][b], self.shown_as[0][b])
+        ])[np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([group_a, group_b])))].tolist()
+        ends = np.cumsum(n_a + n_b).tolist()
+        self.number.update(zip(parts, range(len(self.shown), len(self.shown) + len(parts))))
+        self.shown += ["".join(show[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+        n_groups = np.bincount(of_a[last_a], minlength=len(parts))
+        n_links = np.bincount(pair_part, minlength=len(parts))
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links, bad], 1)])
+        self.links = np.concatenate([self.links, numbers])
+        self.held += len(whole)
+
+    def _pair_numbers(self, pairs: np.ndarray) -> np.ndarray:
+        distinct, which = np.unique(pairs, return_inverse=True)
+        numbers = [self.pair_number.setdefault(p, len(self.pair_number)) for p in distinct.tolist()]
+        return np.array(numbers, np.int32)[which.reshape(-1)] if len(pairs) else np.zeros(0, np.int32)
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Per text its counts (a, b, groups, links) and its groups as shown; and all links, text by text, with their pairs.
+
+        Links are numbers of entries of the last array. Without tokens a text has zeros and no links.
+        """
+        if len(self.number) > REMEMBERED_PARTS or self.held > REMEMBERED_BYTES:
+            self.forget()
         split = [(parts_of(" " + t) if self.divisible else [" " + t]) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED_PARTS:
-            self.known.clear()
-        missing = list({p for parts in split for p in parts}.difference(self.known))
-        fresh = self._work_out(missing) if missing else {}
-        self.known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST_PART)
-        looked = [[self.known.get(p) or fresh[p] for p in parts] for parts in split]
-        return [None if not parts or any(x.bad for x in parts) else parts for parts in looked]
-
-
-def postings(links: list[np.ndarray], docs: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes | None]]:
-    """Pairs of a block in ascending order, their document counts, sets and planes.
-
-    ``links`` has one array of pairs a document. Equal pairs of a document are one member with a
-    multiplicity; its bits beyond the lowest (multiplicity less one) lie in planes.
+        missing = list(set(chain.from_iterable(split)).difference(self.number))
+        if missing:
+            self._learn(missing)
+        sizes = np.array([len(x) for x in split], np.int64)
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        bad = np.zeros(len(texts), bool)
+        bad[text_of[self.counts[which, 4] > 0]] = True
+        keep = ~bad[text_of]
+        which, text_of = which[keep], text_of[keep]
+        counts = np.stack([np.bincount(text_of, self.counts[which, k], len(texts)).astype(np.int64) for k in range(4)], 1)
+        shown = ["" if bad[k] else "".join(map(self.shown.__getitem__, map(self.number.__getitem__, x)))[:-1] for k, x in enumerate(split)]
+        ends = np.cumsum(self.counts[:, 3])
+        n = self.counts[which, 3]
+        links = self.links[np.repeat(ends[which] - np.cumsum(n), n) + np.arange(n.sum())]
+        return counts, shown, links, np.fromiter(self.pair_number, np.int64, len(self.pair_number))
+
+
+def align(size_a: np.ndarray, size_b: np.ndarray, part_of_a: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Links and groups of two rows of tokens over the same bytes, given the tokens' sizes.
+
+    Returns the two sides of every link, its part, and which tokens of either side are the last of a group.
+    """
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    first = np.searchsorted(end_b, end_a - size_a, side="right")
+    last = np.searchsorted(end_b, end_a, side="left")
+    n = last - first + 1
+    link_a = np.repeat(np.arange(len(end_a)), n)
+    link_b = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    last_a = end_b[last] == end_a if len(end_a) else np.zeros(0, bool)
+    last_b = np.zeros(len(end_b), bool)
+    last_b[last[last_a]] = True
+    return link_a, link_b, part_of_a[link_a], last_a, last_b
+
+
+def postings(links: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes | None]]:
+    """Numbers of the pairs linked in a block, their document counts, sets and planes.
+
+    ``links`` has the pairs of one document after the other, ``sizes`` their number in each. Equal pairs of
+    a document are one member with a multiplicity; the bits of its links beyond the first lie in planes.
     """
-    sizes = np.array([len(x) for x in links], np.int64)
-    pair = np.concatenate(links) if len(links) else np.zeros(0, np.int64)
-    distinct, which = np.unique(pair, return_inverse=True)
-    member, times = np.unique(which.reshape(-1) * docs + np.repeat(np.arange(docs), sizes), return_counts=True)
+    docs = len(sizes)
+    member, times = np.unique(links.astype(np.int64) * docs + np.repeat(np.arange(docs), sizes), return_counts=True)
+    distinct, counts = np.unique(member // max(docs, 1), return_counts=True)
     place = (member % docs).astype("<u2")
-    counts = np.bincount(member // docs, minlength=len(distinct))
     ends = np.cumsum(counts)
     raw = place.tobytes()
     sets = [raw[2 * (e - n) : 2 * e] for e, n in zip(ends.tolist(), counts.tolist())]
@@ -207,25 +257,18 @@ def _blocks(path_a: str, path_b: str, block_docs: int, block_chars: int):
             nonlocal made
             key = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            facts, links = [], []
-            for parts in aligner.texts(texts):
-                if parts is None:
-                    facts.append((0, 0, 0, 0, ""))
-                    links.append(np.zeros(0, np.int64))
-                    continue
-                mine = np.concatenate([p.links for p in parts])
-                shown = hashlib.sha256(";".join([p.groups for p in parts]).encode()).hexdigest()
-                facts.append((sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), len(mine), shown))
-                links.append(mine)
-            n_a, n_b, n_groups, n_links, shown = zip(*facts)
+            counts, groups, links, pairs = aligner.texts(texts)
+            shown = [hashlib.sha256(x.encode()).hexdigest() if n else "" for x, n in zip(groups, counts[:, 0].tolist())]
+            n_a, n_b, n_groups, n_links = counts.T
             yield rows(
                 block=[key] * len(ids), place=range(len(ids)), doc_id=ids, n_a=n_a, n_b=n_b, n_groups=n_groups,
                 n_links=n_links, groups_sha256=shown,
             )
-            pair, counts, sets, planes = postings(links, len(ids))
+            found, n_docs, sets, planes = postings(links, n_links)
+            pair = pairs[found]
             for at in range(0, len(pair), 50_000):
                 to = at + 50_000
-                yield rows(block=[key] * len(pair[at:to]), pair=pair[at:to], n_docs=counts[at:to], docs=sets[at:to], planes=planes[at:to])
+                yield rows(block=[key] * len(pair[at:to]), pair=pair[at:to], n_docs=n_docs[at:to], docs=sets[at:to], planes=planes[at:to])
 
         ids, texts, total = [], [], 0
         for b in batches:

@@ -92,7 +92,7 @@ def test_alignment(awkward, nothing, spark, block_docs):
 def test_postings_hold_every_member_and_multiplicity():
     rng = np.random.default_rng(3)
     links = [rng.integers(0, 40, rng.integers(0, 200)).astype(np.int64) ** 2 for _ in range(90)] + [np.array([7, 8, 8, 8])]
-    pair, counts, sets, planes = alignment.postings(links, len(links))
+    pair, counts, sets, planes = alignment.postings(np.concatenate(links), np.array([len(x) for x in links]))
     got = {}
     for k, p in enumerate(pair.tolist()):
         place, times = alignment.members(sets[k], int(counts[k]), planes[k])
