@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import alignment, anchors, conversations, html, jaccard, lines, mtree, packing, token_counts, token_store, toxicity, winnowing
+from terrapanel.llm import (
+    alignment, anchors, conversations, html, jaccard, lines, mtree, packing, suffixes, token_counts, token_store, toxicity,
+    winnowing,
+)
 from terrapanel.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +124,9 @@ def conversation_repair(spark, sf_dir):
     zeros = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     digest = F.coalesce("sha256", "_digest", F.sha2(F.lit("").cast("binary"), 256))
     return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
+
+
+@query("op11_suffix_array_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
