@@ -3,8 +3,9 @@
 Places are gathered into nested cells. A pair of cells that lies wholly within the
 cutoff contributes the product of its two sums without being expanded, a pair wholly
 outside contributes nothing, and only pairs on the border split into smaller cells.
-Points sharing a coordinate are added up first. The result is exact; pairs of single
-places are formed only along the border of the cutoff circle.
+Points sharing a coordinate are added up first. Small border cells are held as arrays of
+places, so a row is always a pair of cells. The result is exact; single places are compared
+only along the border of the cutoff circle.
 """
 
 from __future__ import annotations
@@ -16,25 +17,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.functions.scalars import EARTH_RADIUS_KM, KM_PER_DEGREE, haversine_km
-from terrapanel.operators.moments import sum_over_partitions
+from terrapanel.functions.scalars import EARTH_RADIUS_KM, KM_PER_DEGREE
+from terrapanel.operators.moments import sum_of_vectors, sum_over_partitions
 from terrapanel.session import checkpointed
 
-LEAF_PRODUCT = 1024
+#: Most pairs of places that a pair of border cells is compared over; larger ones split.
+LEAF_PRODUCT = 1 << 14
 MAX_LEVELS = 40
 
 
-def place_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, metric: str) -> Column:
-    """Great-circle km, or the flat approximation scaled by the cosine of the mean latitude."""
-    if metric == "spherical":
-        return haversine_km(lon1, lat1, lon2, lat2)
-    dlon = F.abs(lon1 - lon2)
-    dlon = F.least(dlon, F.lit(360.0) - dlon)
-    dlat = lat1 - lat2
-    scaled = F.cos(F.radians((lat1 + lat2) / 2)) * dlon
-    return F.sqrt(dlat * dlat + scaled * scaled) * F.lit(KM_PER_DEGREE)
-
-
 def _bound(dlat: Column, dlon: Column, cosine: Column, metric: str) -> Column:
     """Distance for given coordinate gaps and one cosine for both ends."""
     if metric == "spherical":
@@ -189,18 +180,44 @@ def spatial_meat(
 def _leaf_products(
     leaves: DataFrame, points: DataFrame, size: float, names: Sequence[str], cutoff_km: float, metric: str
 ) -> np.ndarray:
-    """Exact place pairs of small border cells."""
-    placed = points.withColumn("cell", _cell(F.col("lon"), F.col("lat"), size))
-    a, b = _side(placed, "a"), _side(placed, "b")
-    near = (
-        leaves.withColumn("same_cell", F.col("a") == F.col("b"))
-        .join(a, F.col("a") == F.col("a_cell"))
-        .join(b, F.col("b") == F.col("b_cell"))
-        .filter(
-            place_distance(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat"), metric) <= F.lit(cutoff_km)
-        )
-        # pairs inside one cell come up in both orders, so they are not mirrored
-        .withColumn("same", F.col("same_cell").cast("double"))
+    """Exact place pairs of small border cells. A row is a pair of cells; places stand in arrays inside it."""
+    k = len(names)
+    wanted = leaves.select("a").union(leaves.select("b")).distinct().select(F.col("a").alias("cell"))
+    placed = points.withColumn("cell", _cell(F.col("lon"), F.col("lat"), size)).join(wanted, "cell", "left_semi")
+    # At most ``leaf_product`` places stand in a cell of a leaf pair.
+    held = placed.groupBy("cell").agg(F.collect_list(F.struct("lon", "lat", F.array(*names).alias("s"))).alias("p"))
+    arrays = held.select("cell", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), F.flatten("p.s").alias("s"))
+    pairs = (
+        leaves.withColumn("same", F.col("a") == F.col("b"))
+        .join(_side(arrays, "a"), F.col("a") == F.col("a_cell"))
+        .join(_side(arrays, "b"), F.col("b") == F.col("b_cell"))
+        .select("same", "a_lon", "a_lat", "a_s", "b_lon", "b_lat", "b_s")
     )
-    return _pair_products(near, len(names))
-
+    near = {"spherical": _haversine, "triangular": _flat}[metric]
+
+    def batch(rows) -> np.ndarray:
+        total = np.zeros((k, k))
+        values, ends = [], []
+        for c in rows.columns[1:]:
+            values.append(c.flatten().to_numpy(zero_copy_only=False))
+            ends.append(np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False)).tolist())
+        for i, same in enumerate(rows.column(0).to_pylist()):
+            lon_a, lat_a, s_a, lon_b, lat_b, s_b = (v[e[i - 1] if i else 0 : e[i]] for v, e in zip(values, ends))
+            inside = near(lon_a[:, None], lat_a[:, None], lon_b, lat_b) <= cutoff_km
+            part = s_a.reshape(-1, k).T @ (inside @ s_b.reshape(-1, k))
+            # a cell with itself already has every pair in both orders
+            total += part if same else part + part.T
+        return total
+
+    return sum_of_vectors(pairs, batch, k * k).reshape(k, k)
+
+
+def _flat(lon1, lat1, lon2, lat2):
+    dlon = np.abs(lon1 - lon2)
+    dlon = np.minimum(dlon, 360.0 - dlon)
+    return np.hypot(lat1 - lat2, np.cos(np.radians((lat1 + lat2) / 2)) * dlon) * KM_PER_DEGREE
+
+
+def _haversine(lon1, lat1, lon2, lat2):
+    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(a, 1.0)))

@@ -1,26 +1,28 @@
 """Fixed-effects least squares with robust standard errors.
 
-One effect (the largest) is swept out by group means; small effects become explicit
-0/1 columns, which by the Frisch-Waugh theorem gives the same answer as absorbing them.
-Further large effects are swept alternately until the means vanish. After that the data
-is needed only for one cross-product matrix and one table of score sums.
+A family of models of one target shares one stored table of complete rows, stacked by the row
+subsets its models use. One effect (the largest) is swept out by group means; small effects become
+explicit 0/1 columns, which by the Frisch-Waugh theorem gives the same answer as absorbing them;
+further large effects are solved for by conjugate gradients over their level means. After that one
+pass gives a cross-product matrix per subset, from whose submatrices every model is solved, and
+one more pass the score sums per place or cluster of all models together.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.distributions import stars, t_two_sided_p
 from terrapanel.functions.scalars import complete_rows
 from terrapanel.operators.conley import spatial_meat
-from terrapanel.operators.moments import gram
+from terrapanel.operators.moments import gram, sum_of_vectors
 from terrapanel.session import checkpointed, release
 
 COLLINEAR_TOLERANCE = 1e-9
@@ -42,6 +44,7 @@ class FixedEffectsFit:
     covariance: np.ndarray
     degrees: float
     levels: dict[str, int] = field(default_factory=dict)
+    rounds: int = 0
 
     def rows(self, model: str) -> list[tuple]:
         out = []
@@ -86,40 +89,97 @@ def interaction(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[DataFr
     return df.withColumns({n: F.col(a) * F.col(b) for n, (a, b) in zip(names, pairs)}), names
 
 
-def demean(df: DataFrame, effect: str, columns: Sequence[str]) -> DataFrame:
+def demean(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Subtract group means. Aggregate and join: a window would hold a whole group in one task."""
-    means = df.groupBy(effect).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
     keep = [c for c in df.columns if c not in columns]
-    return df.join(means, effect).select(
+    return df.join(means, list(keys)).select(
         *keep, *[(F.col(f"`{c}`") - F.col(f"_m{i}")).alias(c) for i, c in enumerate(columns)]
     )
 
 
 def sweep(
-    df: DataFrame, effects: Sequence[str], columns: Sequence[str], tolerance: float = 1e-10, rounds: int = 200
-) -> DataFrame:
-    """Remove several large effects by alternating group-mean subtraction."""
+    df: DataFrame, effects: Sequence[Sequence[str]], columns: Sequence[str], tolerance: float = 1e-10, rounds: int = 500
+) -> tuple[DataFrame, int]:
+    """Remove several large effects, each given by its key columns; return also the rounds it took.
+
+    The first effect goes by group means. The others' level coefficients solve the normal equations
+    that remain; conjugate gradients, scaled by the levels' sizes, find them for all columns at
+    once. A round passes over the table of effect combinations with their row counts, never over
+    the columns themselves, and the vectors it keeps have one row per level.
+    """
     out = demean(df, effects[0], columns)
     if len(effects) == 1:
-        return out
-    start = stored = None
-    for _ in range(rounds):
-        for e in [*effects[1:], effects[0]]:
-            out = demean(out, e, columns)
-        before, out = stored, checkpointed(out)
-        if before is not None:
-            release(before)
-        stored = out
-        means = out.groupBy(effects[1]).agg(
-            F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)]
-        )
-        left = means.agg(*[F.sum(F.col("_n") * F.col(f"_m{i}") ** 2) for i in range(len(columns))]).first()
-        size = out.agg(*[F.sum(F.col(f"`{c}`") ** 2) for c in columns]).first()
-        if start is None:
-            start = size
-        if all(a <= tolerance**2 * max(s, 1e-300) for a, s in zip(left, start)):
-            return out
-    raise ArithmeticError(f"group means are left after {rounds} rounds of sweeping")
+        return out, 0
+    k = len(columns)
+    rows = checkpointed(out)
+    keys = list(dict.fromkeys(c for e in effects for c in e))
+    combos = checkpointed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    base, others = list(effects[0]), [list(e) for e in effects[1:]]
+
+    def stored(tables: list[DataFrame], before: list[DataFrame]) -> list[DataFrame]:
+        kept = [checkpointed(t) for t in tables]
+        release(*before)
+        return kept
+
+    def total(tables: list[DataFrame], term) -> np.ndarray:
+        """Sums over all levels of all effects, one per column."""
+        sums = np.zeros(k)
+        for t in tables:
+            sums += [v or 0.0 for v in t.agg(*[F.sum(term(i)) for i in range(k)]).first()]
+        return sums
+
+    def named(t: DataFrame, tag: str) -> list:
+        return [F.col(f"{tag}{i}") for i in range(k)]
+
+    state = [
+        rows.groupBy(*e).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(f"`{c}`")).alias(f"r{i}") for i, c in enumerate(columns)])
+        .select("*", *[F.lit(0.0).alias(f"x{i}") for i in range(k)], *[(F.col(f"r{i}") / F.col("_n")).alias(f"p{i}") for i in range(k)])
+        for e in others
+    ]
+    state = stored(state, [])
+    rho = total(state, lambda i: F.col(f"r{i}") ** 2 / F.col("_n"))
+    start = np.maximum(rho, 1e-300)
+    done = 0
+    while (rho > tolerance**2 * start).any():
+        if done == rounds:
+            raise ArithmeticError(f"level means are left after {rounds} rounds")
+        done += 1
+        v = combos
+        for j, (e, t) in enumerate(zip(others, state)):
+            v = v.join(t.select(*e, *[F.col(f"p{i}").alias(f"_p{j}_{i}") for i in range(k)]), e)
+        v = v.select(*keys, "_n", *[sum((F.col(f"_p{j}_{i}") for j in range(1, len(others))), F.col(f"_p0_{i}")).alias(f"v{i}") for i in range(k)])
+        means = v.groupBy(*base).agg(*[(F.sum(F.col("_n") * F.col(f"v{i}")) / F.sum("_n")).alias(f"m{i}") for i in range(k)])
+        left = v.join(means, base).select(*keys, *[(F.col("_n") * (F.col(f"v{i}") - F.col(f"m{i}"))).alias(f"a{i}") for i in range(k)])
+        applied = [t.join(left.groupBy(*e).agg(*[F.sum(f"a{i}").alias(f"a{i}") for i in range(k)]), e) for e, t in zip(others, state)]
+        applied = stored(applied, state)
+        curve = total(applied, lambda i: F.col(f"p{i}") * F.col(f"a{i}"))
+        active = (rho > tolerance**2 * start) & (curve > 0)
+        alpha = np.where(active, rho / np.where(active, curve, 1.0), 0.0)
+        moved = [
+            t.select(
+                *e, "_n", *[(F.col(f"x{i}") + float(alpha[i]) * F.col(f"p{i}")).alias(f"x{i}") for i in range(k)],
+                *[(F.col(f"r{i}") - float(alpha[i]) * F.col(f"a{i}")).alias(f"r{i}") for i in range(k)], *named(t, "p"),
+            )
+            for e, t in zip(others, applied)
+        ]
+        new = total(moved, lambda i: F.col(f"r{i}") ** 2 / F.col("_n"))
+        beta = np.where(active, new / np.where(rho > 0, rho, 1.0), 0.0)
+        turned = [
+            t.select(
+                *e, "_n", *named(t, "x"), *named(t, "r"),
+                *[(F.col(f"r{i}") / F.col("_n") + float(beta[i]) * F.col(f"p{i}")).alias(f"p{i}") for i in range(k)],
+            )
+            for e, t in zip(others, moved)
+        ]
+        state = stored(turned, applied)
+        rho = np.where(active, new, 0.0)
+    for j, (e, t) in enumerate(zip(others, state)):
+        rows = rows.join(t.select(*e, *[F.col(f"x{i}").alias(f"_x{j}_{i}") for i in range(k)]), e)
+    keep = [c for c in df.columns if c not in columns]
+    gone = [sum((F.col(f"_x{j}_{i}") for j in range(1, len(others))), F.col(f"_x0_{i}")) for i in range(k)]
+    rows = rows.select(*keep, *[(F.col(f"`{c}`") - g).alias(c) for c, g in zip(columns, gone)])
+    return demean(rows, effects[0], columns), done
 
 
 def independent_columns(g: np.ndarray, scale: np.ndarray, tolerance: float = COLLINEAR_TOLERANCE) -> list[int]:
@@ -140,11 +200,90 @@ def independent_columns(g: np.ndarray, scale: np.ndarray, tolerance: float = COL
     return kept
 
 
-def fixed_effects_ols(
+@dataclass(frozen=True)
+class Model:
+    """Regressors of one model of a family, and the name of its row subset (None: all rows)."""
+
+    regressors: tuple[str, ...]
+    rows: str | None = None
+
+
+@dataclass
+class _Solved:
+    """A model solved from its group's cross products, with what its scores need."""
+
+    group: int
+    shown: list[int]  # columns of the estimates
+    dummies: list[int]
+    beta: np.ndarray
+    bread: np.ndarray
+    lead: np.ndarray  # regressors and target on the 0/1 columns
+    rss: float
+    null_rss: float
+
+
+def _present(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.isnan(c)
+
+
+def _solve(g: np.ndarray, group: int, dummies: list[int], xs: list[int], y: int, scale: np.ndarray) -> _Solved:
+    order = [*dummies, *xs]
+    kept = [order[j] for j in independent_columns(g[np.ix_(order, order)], scale[order])]
+    d, x = [j for j in kept if j in set(dummies)], [j for j in kept if j in set(xs)]
+    lead = np.linalg.solve(g[np.ix_(d, d)], g[np.ix_(d, [*x, y])]) if d else np.zeros((0, len(x) + 1))
+    rest = g[np.ix_([*x, y], [*x, y])] - g[np.ix_([*x, y], d)] @ lead
+    xx, xy, yy = rest[:-1, :-1], rest[:-1, -1], float(rest[-1, -1])
+    size = np.sqrt(np.diag(xx))
+    bread = np.linalg.inv(xx / np.outer(size, size)) / np.outer(size, size) if x else np.zeros((0, 0))
+    beta = bread @ xy
+    return _Solved(group, x, d, beta, bread, lead, yy - 2 * float(beta @ xy) + float(beta @ xx @ beta), yy)
+
+
+def _scores(m: np.ndarray, solved: Sequence[_Solved], y: int) -> np.ndarray:
+    """Regressors times residual of every model, side by side; zero in other models' rows. Column 0 is the group."""
+    parts = []
+    for s in solved:
+        part = np.zeros((len(m), len(s.shown)))
+        mine = m[:, 0] == s.group
+        z = m[mine, 1:]
+        rest = z[:, [*s.shown, y]] - z[:, s.dummies] @ s.lead
+        part[mine] = rest[:, :-1] * (rest[:, -1] - rest[:, :-1] @ s.beta)[:, None]
+        parts.append(part)
+    return np.column_stack(parts)
+
+
+def _score_sums(work: DataFrame, keys: Sequence[str], columns: Sequence[str], solved: Sequence[_Solved]) -> tuple[DataFrame, list[str]]:
+    """Scores of all models added up per key, first inside each batch."""
+    names = [f"s{i}" for i in range(sum(len(s.shown) for s in solved))]
+    y = len(columns) - 1
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[len(keys) :]])
+            code = np.zeros(b.num_rows, np.int64)
+            for c in b.columns[: len(keys)]:
+                encoded = c.dictionary_encode()
+                code = code * (len(encoded.dictionary) + 1) + encoded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            sums = np.add.reduceat(_scores(m, solved, y)[order], first, axis=0)
+            held = [c.take(pa.array(order[first])) for c in b.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*held, *[pa.array(v) for v in sums.T]], names=[*keys, *names])
+
+    kinds = dict(work.dtypes)
+    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], *[f"{n} double" for n in names]])
+    part = work.select(*keys, "grp", *columns).mapInArrow(run, ddl)
+    return part.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names]), names
+
+
+def fit_family(
     df: DataFrame,
     target: str,
-    regressors: Sequence[str],
+    models: Mapping[str, Model],
     effects: Sequence[str],
+    subsets: Mapping[str, Column] | None = None,
     vcov: str = "iid",
     cluster: str | None = None,
     lon: str = "lon",
@@ -154,127 +293,198 @@ def fixed_effects_ols(
     pixel_km: float | None = None,
     small_sample: bool = True,
     dummy_levels: int = 64,
-) -> FixedEffectsFit:
-    """Least squares of ``target`` on ``regressors`` with ``effects`` absorbed.
+    count_nested: bool = True,
+) -> dict[str, FixedEffectsFit]:
+    """Least squares of ``target`` for several sets of regressors and rows, with ``effects`` absorbed.
 
     ``vcov`` is 'iid', 'hetero', 'cluster' (needs ``cluster``) or 'conley', the last with a
     uniform kernel. Give the largest effect first; others of up to ``dummy_levels`` levels become
-    0/1 columns, larger ones are swept out in turn, which gives the same fit or fails. Rows with any missing value are left out
-    and regressors the effects or earlier regressors explain are dropped and reported.
+    0/1 columns, larger ones are solved for. A model leaves out rows with any value missing that it
+    uses, and drops and reports regressors that the effects or earlier regressors explain. With
+    ``count_nested`` off, the levels of effects that lie wholly inside clusters do not count as
+    parameters in the small-sample factor of clustered errors.
     """
-    x_names = list(regressors)
+    subsets = dict(subsets or {})
+    x_names = list(dict.fromkeys(x for m in models.values() for x in m.regressors))
     extra = {"cluster": [cluster], "conley": [lon, lat]}.get(vcov, [])
-    inner = [target, *x_names]
-    alias = {c: f"v{i}" for i, c in enumerate(inner)}
+    alias = {c: f"v{i}" for i, c in enumerate([target, *x_names])}
     effect_alias = {e: f"fe{i}" for i, e in enumerate(effects)}
+    keys = [f"x_{c}" for c in extra]
+    # Written once: every later pass reads this narrow table, not the joins behind it.
     base = df.select(
         *[F.col(f"`{c}`").cast("double").alias(a) for c, a in alias.items()],
         *[F.col(e).alias(a) for e, a in effect_alias.items()],
-        *[F.col(c).alias(f"x_{c}") for c in extra],
+        *[F.col(c).alias(k) for c, k in zip(extra, keys)],
+        *[c.alias(f"in{i}") for i, c in enumerate(subsets.values())],
     )
-    # Written once: every later pass reads this narrow table, not the joins behind it.
-    base = checkpointed(complete_rows(base))
-
-    first_pass = base.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.var_pop("v0").alias("v"),
-        *[F.avg(F.col(a) * F.col(a)).alias(f"q_{a}") for a in alias.values()],
-    ).first()
-    n = first_pass["n"]
-    if not n:
-        raise ValueError("no complete rows")
-    # Several distinct counts copy each row once per count, so only the effects take part.
-    sizes = base.select(*effect_alias.values()).agg(*[F.count_distinct(a).alias(a) for a in effect_alias.values()]).first()
-    levels = {e: sizes[a] for e, a in effect_alias.items()}
-    large = [effects[0]] + [e for e in effects[1:] if levels[e] > dummy_levels]
-    small = [e for e in effects[1:] if e not in large]
-
+    base = checkpointed(complete_rows(base, ["v0", *effect_alias.values(), *keys]))
+    try:
+        return _fit(
+            base, target, dict(models), list(effects), list(subsets), alias, effect_alias, keys, vcov, cutoff_km, metric, pixel_km,
+            small_sample, dummy_levels, count_nested,
+        )
+    finally:
+        release(base)
+
+
+def _groups(base: DataFrame, models: dict[str, Model], subsets: list[str], alias: dict[str, str]) -> list[tuple[Column, list[str]]]:
+    """Models that use the same rows: the rows' condition and the models' names."""
+    def condition(rows: str | None, names) -> Column:
+        cond = F.coalesce(F.col(f"in{subsets.index(rows)}"), F.lit(False)) if rows is not None else F.lit(True)
+        for x in names:
+            cond = cond & _present(alias[x])
+        return cond
+
+    by_rows: dict = {}
+    for name, m in models.items():
+        by_rows.setdefault(m.rows, []).append(name)
+    together = {r: condition(r, dict.fromkeys(x for n in names for x in models[n].regressors)) for r, names in by_rows.items()}
+    alone = {n: condition(m.rows, m.regressors) for n, m in models.items()}
+    counts = base.agg(*[F.count_if(c) for c in [*together.values(), *alone.values()]]).first()
+    sizes = dict(zip([*[("all", r) for r in together], *alone], counts))
+    found: list[tuple[Column, list[str]]] = []
+    for r, names in by_rows.items():
+        same = [n for n in names if sizes[n] == sizes["all", r]]
+        if same:
+            found.append((together[r], same))
+        # The others lack values elsewhere; those of equal regressors share their rows.
+        rest: dict = {}
+        for n in names:
+            if n not in same:
+                rest.setdefault(frozenset(models[n].regressors), []).append(n)
+        found += [(alone[n[0]], n) for n in rest.values()]
+    return found
+
+
+def _fit(
+    base, target, models, effects, subsets, alias, effect_alias, keys, vcov, cutoff_km, metric, pixel_km, small_sample, dummy_levels,
+    count_nested,
+) -> dict[str, FixedEffectsFit]:
+    groups = _groups(base, models, subsets, alias)
+    group_of = {n: g for g, (_, names) in enumerate(groups) for n in names}
+    member = F.array_compact(F.array(*[F.when(c, g) for g, (c, _) in enumerate(groups)]))
+    values = list(alias.values())
+    stack = base.select(
+        F.explode(member).alias("grp"), *effect_alias.values(), *keys,
+        *[F.when(_present(v), F.col(v)).otherwise(0.0).alias(v) for v in values],
+    )
+    facts = {
+        r["grp"]: r
+        for r in stack.groupBy("grp").agg(
+            F.count(F.lit(1)).alias("n"), F.var_pop("v0").alias("v"), *[F.avg(F.col(a) * F.col(a)).alias(f"q_{a}") for a in values]
+        ).collect()
+    }
+    if len(facts) < len(groups):
+        raise ValueError("no complete rows for " + ", ".join(n for n, g in group_of.items() if g not in facts))
+    # Distinct (group, effect, level, cluster) first, so that counting needs no row twice.
+    of = F.col(keys[0]).cast("string") if vcov == "cluster" else F.lit("")
+    tall = stack.select("grp", F.explode(F.array(
+        *[F.struct(F.lit(i).alias("e"), F.col(a).cast("string").alias("level"), of.alias("of")) for i, a in enumerate(effect_alias.values())],
+        F.struct(F.lit(-1).alias("e"), of.alias("level"), F.lit("").alias("of")),
+    )).alias("l")).select("grp", "l.*").distinct()
+    sizes = {
+        (r["grp"], r["e"]): (r["n"], r["homes"])
+        for r in tall.groupBy("grp", "e", "level").agg(F.count(F.lit(1)).alias("c")).groupBy("grp", "e")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("homes")).collect()
+    }
+    most = [max(sizes[g, i][0] for g in range(len(groups))) for i in range(len(effects))]
+    large = [0, *[i for i in range(1, len(effects)) if most[i] > dummy_levels]]
     dummies: list[str] = []
-    work = base
-    for e in small:
-        a = effect_alias[e]
-        # at most dummy_levels rows
-        values = [r[0] for r in base.select(a).distinct().orderBy(a).collect()][1:]
-        names = [f"d_{a}_{i}" for i in range(len(values))]
-        work = work.select("*", *[(F.col(a) == F.lit(v)).cast("double").alias(m) for v, m in zip(values, names)])
+    work = stack
+    for i in range(1, len(effects)):
+        if i in large:
+            continue
+        # at most dummy_levels rows for each group
+        a = f"fe{i}"
+        found = [r[0] for r in base.select(a).distinct().orderBy(a).collect()][1:]
+        names = [f"d_{a}_{j}" for j in range(len(found))]
+        work = work.select("*", *[(F.col(a) == F.lit(v)).cast("double").alias(m) for v, m in zip(found, names)])
         dummies += names
+    columns = [*dummies, *values[1:], "v0"]
+    swept_by = [["grp", f"fe{i}"] for i in large]
+    work, rounds = sweep(work.select("grp", *[f"fe{i}" for i in large], *keys, *columns), swept_by, columns)
+    work = checkpointed(work.select("grp", *keys, *columns))
+
+    k, y = len(columns), len(columns) - 1
+    total = len(groups)
+
+    def products(batch) -> np.ndarray:
+        m = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+        out = np.zeros((total, k, k))
+        for g in np.unique(m[:, 0]).astype(int):
+            z = m[m[:, 0] == g, 1:]
+            out[g] = z.T @ z
+        return out
 
-    y, xs = alias[target], [alias[c] for c in x_names]
-    columns = [*dummies, *xs, y]
-    keep = [effect_alias[e] for e in large] + [f"x_{c}" for c in extra]
-    work = sweep(work.select(*keep, *columns), [effect_alias[e] for e in large], columns)
-    work = work.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        g = gram(work, columns)[1:, 1:]
-        scale = np.array(
-            [1.0 * n] * len(dummies) + [n * max(first_pass[f"q_{a}"], 1e-300) for a in xs]
-        )
-        kept = independent_columns(g[:-1, :-1], scale)
-        names = columns[:-1]
-        xx, xy, yy = g[np.ix_(kept, kept)], g[kept, -1], g[-1, -1]
-        d = np.sqrt(np.diag(xx))
-        inverse = np.linalg.inv(xx / np.outer(d, d)) / np.outer(d, d)
-        beta = inverse @ xy
-        rss = float(yy - 2 * beta @ xy + beta @ xx @ beta)
-
-        from_dummies = [i for i, j in enumerate(kept) if j < len(dummies)]
-        shown = [i for i, j in enumerate(kept) if j >= len(dummies)]
-        null_rss = yy
-        if from_dummies:
-            dd = xx[np.ix_(from_dummies, from_dummies)]
-            dy = xy[from_dummies]
-            null_rss = float(yy - dy @ np.linalg.solve(dd, dy))
-        absorbed = sum(levels.values()) - (len(effects) - 1) if effects else 0
-        parameters = absorbed + len(shown)
-        free = max(n - parameters, 1)
-
+    gram_of = sum_of_vectors(work.select("grp", *columns), products, total * k * k).reshape(total, k, k)
+    solved: dict[str, _Solved] = {}
+    for name, m in models.items():
+        g = group_of[name]
+        n = facts[g]["n"]
+        scale = np.array([1.0 * n] * len(dummies) + [n * max(facts[g][f"q_{a}"], 1e-300) for a in values[1:]] + [0.0])
+        xs = [len(dummies) + values.index(alias[x]) - 1 for x in m.regressors]
+        solved[name] = _solve(gram_of[g], g, list(range(len(dummies))), xs, y, scale)
+
+    starts = np.cumsum([0, *[len(s.shown) for s in solved.values()]])
+    every = list(solved.values())
+    meat = None
+    if vcov == "hetero":
+        def outer(batch) -> np.ndarray:
+            m = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+            s = _scores(m, every, y)
+            return s.T @ s
+
+        meat = sum_of_vectors(work.select("grp", *columns), outer, int(starts[-1]) ** 2).reshape(starts[-1], starts[-1])
+    elif vcov in ("cluster", "conley") and starts[-1]:
+        sums, names = _score_sums(work, keys, columns, every)
+        if vcov == "cluster":
+            meat = gram(sums, names)[1:, 1:]
+        else:
+            meat = spatial_meat(sums, names, cutoff_km, *keys, metric=metric, pixel_km=pixel_km)
+    elif vcov not in ("iid", "cluster", "conley"):
+        raise ValueError(vcov)
+    release(work)
+
+    fits = {}
+    for i, (name, s) in enumerate(solved.items()):
+        g, m = s.group, models[name]
+        n = facts[g]["n"]
+        levels = {e: sizes[g, j][0] for j, e in enumerate(effects)}
+        parameters = (sum(levels.values()) - (len(effects) - 1) if effects else 0) + len(s.shown)
+        counted = parameters
+        if vcov == "cluster" and not count_nested:
+            counted -= sum(sizes[g, j][0] - 1 for j in range(len(effects)) if sizes[g, j][1] == sizes[g, j][0])
+        free = max(n - counted, 1)
         degrees = float(free)
         if vcov == "iid":
-            covariance = inverse * (rss / free)
+            covariance = s.bread * (s.rss / free)
         else:
-            used = [names[j] for j in kept]
-            e = F.col(y)
-            for name, b in zip(used, beta):
-                e = e - F.lit(float(b)) * F.col(name)
-            scored = work.select(*[f"x_{c}" for c in extra], *[(F.col(c) * e).alias(c) for c in used])
             adjust = (n - 1) / free if small_sample else 1.0
             if vcov == "hetero":
-                meat = gram(scored, used)[1:, 1:]
                 adjust = n / free if small_sample else 1.0
             elif vcov == "cluster":
-                sums = scored.groupBy(f"x_{cluster}").agg(*[F.sum(c).alias(c) for c in used])
-                full = gram(sums, used)
-                groups = full[0, 0]
-                meat = full[1:, 1:]
-                degrees = max(groups - 1, 1)
+                clusters = sizes[g, -1][0]
+                degrees = float(max(clusters - 1, 1))
                 if small_sample:
-                    adjust *= groups / max(groups - 1, 1)
-            elif vcov == "conley":
-                meat = spatial_meat(
-                    scored, used, cutoff_km, f"x_{lon}", f"x_{lat}", metric=metric, pixel_km=pixel_km
-                )
-            else:
-                raise ValueError(vcov)
-            covariance = inverse @ meat @ inverse * adjust
-    finally:
-        work.unpersist()
-
-    picked = [kept[i] - len(dummies) for i in shown]
-    block = covariance[np.ix_(shown, shown)]
-    variance = np.diag(block)
-    return FixedEffectsFit(
-        target=target,
-        terms=[x_names[j] for j in picked],
-        estimates=beta[shown],
-        errors=np.sqrt(np.where(variance > 0, variance, np.nan)),
-        dropped=[c for i, c in enumerate(x_names) if i not in picked],
-        n=n,
-        parameters=parameters,
-        r2=1.0 - rss / (n * first_pass["v"]) if first_pass["v"] else math.nan,
-        within_r2=float(1.0 - rss / null_rss) if null_rss > 0 else math.nan,
-        effects=list(effects),
-        vcov=vcov,
-        covariance=block,
-        degrees=float(degrees),
-        levels=levels,
-    )
+                    adjust *= clusters / max(clusters - 1, 1)
+            block = slice(starts[i], starts[i + 1])
+            covariance = s.bread @ meat[block, block] @ s.bread * adjust if len(s.shown) else np.zeros((0, 0))
+        shown = [x_names_at(columns[j], alias) for j in s.shown]
+        variance = np.diag(covariance)
+        size = n * facts[g]["v"] if facts[g]["v"] else 0.0
+        fits[name] = FixedEffectsFit(
+            target=target, terms=shown, estimates=s.beta, errors=np.sqrt(np.where(variance > 0, variance, np.nan)),
+            dropped=[c for c in m.regressors if c not in shown], n=n, parameters=parameters,
+            r2=1.0 - s.rss / size if size else math.nan, within_r2=1.0 - s.rss / s.null_rss if s.null_rss > 0 else math.nan,
+            effects=list(effects), vcov=vcov, covariance=covariance, degrees=degrees, levels=levels, rounds=rounds,
+        )
+    return fits
+
+
+def x_names_at(column: str, alias: dict[str, str]) -> str:
+    return next(name for name, a in alias.items() if a == column)
+
+
+def fixed_effects_ols(df: DataFrame, target: str, regressors: Sequence[str], effects: Sequence[str], **options) -> FixedEffectsFit:
+    """One model; see ``fit_family`` for the options."""
+    return fit_family(df, target, {"m": Model(tuple(regressors))}, effects, **options)["m"]

@@ -1,8 +1,8 @@
 """Cross-product matrices over many columns in one distributed pass.
 
-Each Arrow batch is reduced to a small matrix inside its task; each partition emits one
-row of k*k numbers, and Spark adds the rows up element by element. The driver receives
-one k*k matrix whatever the row count.
+Each Arrow batch is reduced to a small matrix inside its task; each partition emits it as one
+row, a fixed number of tasks add these up, and the driver receives so many matrices at most,
+whatever the row count.
 """
 
 from __future__ import annotations
@@ -11,9 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks that add up the vectors of all partitions.
+GATHERS = 16
+
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     """Batch as rows x columns doubles with NULL as NaN."""
@@ -26,24 +30,32 @@ def sum_over_partitions(
 ) -> np.ndarray:
     """Sum of ``reduce_batch(matrix)`` over all batches; the result has ``size`` numbers."""
     data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    return sum_of_vectors(data, lambda batch: reduce_batch(_matrix(batch)), size)
+
+
+def sum_of_vectors(df: DataFrame, reduce_batch: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all Arrow batches of vectors of ``size`` numbers.
+
+    A partition gives one row that holds its vector; ``GATHERS`` tasks add these up as they stream
+    in, and the driver receives at most that many vectors.
+    """
+
+    def added(vectors) -> Iterator[pa.RecordBatch]:
+        total = None
+        for v in vectors:
+            total = v if total is None else total + v
+        if total is not None:
+            row = [pa.array([int(TaskContext.get().partitionId()) % GATHERS], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, names=["gather", "v"])
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        seen = False
-        for batch in batches:
-            if batch.num_rows:
-                total += np.asarray(reduce_batch(_matrix(batch))).ravel()
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(size), pa.int32()), pa.array(total, pa.float64())], names=["i", "v"]
-            )
-
-    parts = data.mapInArrow(partition, "i int, v double")
-    out = np.zeros(size)
-    for row in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():
-        out[row["i"]] = row["v"]
-    return out
+        yield from added(np.asarray(reduce_batch(b), dtype=float).ravel() for b in batches if b.num_rows)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from added(np.frombuffer(x.as_py(), "<f8") for b in batches for x in b.column(1))
+
+    parts = df.mapInArrow(partition, "gather int, v binary").repartition(GATHERS, "gather").mapInArrow(gather, "gather int, v binary")
+    return sum((np.frombuffer(r["v"], "<f8") for r in parts.collect()), np.zeros(size))
 
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
