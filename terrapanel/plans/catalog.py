@@ -6,6 +6,7 @@ from terrapanel.plans import (  # noqa: F401
     panel_queries,
     profile_queries,
     ranking_queries,
+    regression_queries,
     spatial_queries,
 )
 from terrapanel.plans.registry import ORACLES, QUERIES

@@ -200,6 +200,11 @@ cells AS (
 
 
 def with_tables(sql: str) -> str:
-    """Prefix a SELECT (or further CTEs, ``, name AS (...) SELECT``) with the table definitions."""
+    """Prefix a SELECT (or further CTEs, ``, name AS (...) SELECT``) with the table definitions.
+
+    ``, recursive name AS (...)`` starts further CTEs of which the first refers to itself.
+    """
     body = sql.strip()
+    if body.startswith(", recursive "):
+        return f"WITH RECURSIVE {_CTES}, {body.removeprefix(', recursive ')}"
     return f"WITH {_CTES}{body}"
