@@ -56,8 +56,9 @@ def left_join_sources(
     """Left-join each present source on its own keys; return also the names skipped.
 
     No broadcast is forced: the runtime picks one only after it has measured a side.
-    Sources sharing the key list of the base shuffle once and stay co-partitioned, so
-    give monthly sources first.
+    Base and sources stored in the same buckets of the entity (``sources.layout``) join
+    without a shuffle. Other sources that share the key list of the base shuffle once and
+    stay co-partitioned, so give monthly sources first.
     """
     out, skipped = base, []
     for name, src in sources.items():

@@ -10,6 +10,7 @@ from terrapanel.operators import rollup as R
 from terrapanel.operators import timeseries as TS
 from terrapanel.plans import tables as T
 from terrapanel.plans.registry import query
+from terrapanel.sources.layout import bucketed
 
 _MEANS = [*T.DAY_NAMES, "canopy_share", "nightlight", "gdp_per_capita", "prec", "rhu", "lon", "lat",
           *[f"{d}_x_canopy" for d in T.DAY_NAMES]]
@@ -83,16 +84,18 @@ _STAR_KEYS = {
 
 
 def _star(spark, sf):
-    base = T.panel(spark, sf).select("grid_id", "year", "month", "elec_kwh")
-    monthly = T.orders_panel(spark, sf)
-    annual = monthly.groupBy("grid_id", "year").agg(F.min("canopy_share").alias("canopy_share"))
+    """Base and sources of the panel, each stored once in the same buckets of the grid."""
     keys = ["grid_id", "year", "month"]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = bucketed(T.panel(spark, sf).select(*keys, "elec_kwh"), "grid_id", buckets, ("year", "month"))
+    monthly = bucketed(T.orders_panel(spark, sf), "grid_id", buckets, ("year", "month"))
     sources = {
         "climate": monthly.select(*keys, "rhu", "prec"),
         "lights": monthly.select(*keys, "nightlight", "population"),
         "wealth": monthly.select(*keys, "gdp_per_capita"),
-        "canopy": annual,
-        "city": T.cities(spark, sf).select("grid_id", "city_name", "province"),
+        # an aggregation inside the bucket
+        "canopy": monthly.groupBy("grid_id", "year").agg(F.min("canopy_share").alias("canopy_share")),
+        "city": bucketed(T.cities(spark, sf).select("grid_id", "city_name", "province"), "grid_id", buckets),
         "absent": None,
     }
     return base, sources

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.functions.bins import TEMPERATURE_BINS, Bin
-from terrapanel.functions.scalars import kelvin_to_celsius
+from terrapanel.functions.scalars import kelvin_to_celsius, shift_hours
 from terrapanel.operators.panel import add_canopy_products
 from terrapanel.operators.timeseries import local_daily_max, monthly_bin_counts
 from terrapanel.session import checkpointed
+from terrapanel.sources.layout import bucketed
 
 YEARS = {"train": range(1990, 2000), "validation": (2000,), "test": (2001,)}
 MEASURES = ["elec_kwh", "rhu", "prec", "canopy_share", "population", "gdp_per_capita", "nightlight"]
@@ -96,12 +97,51 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the line items per grid, month and local day, in buckets of the grid.
+
+    Panel and day counts both follow from it, each inside its bucket, so the line items are read
+    and shuffled once.
+    """
+    day = F.to_date(shift_hours(F.col("l_shipdate"), 8))
+    sums = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("grid_id"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), day.alias("day"))
+        .agg(
+            F.sum(_cents("l_extendedprice")).alias("price"),
+            F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"),
+            F.sum(_cents("l_tax")).alias("tax"),
+            F.min("l_discount").alias("discount"),
+            F.count(F.lit(1)).alias("n"),
+            F.max("l_extendedprice").alias("highest"),
+            F.count_if(F.col("l_returnflag") == "R").alias("returned"),
+            F.max(kelvin_to_celsius(F.col("l_quantity") * 1.3 + 253.15)).alias("tmax"),
+        )
+    )
+    return bucketed(sums, "grid_id", int(spark.conf.get("spark.sql.shuffle.partitions")), ("year", "month"))
+
+
+def panel_and_days(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The panel and the day counts from stored measurements."""
+    n = F.sum("n")
+    measures = stored.groupBy("grid_id", "year", "month").agg(
+        (F.sum("price").cast("double") / 100).alias("elec_kwh"),
+        (F.sum("quantity").cast("double") / n * 2).alias("rhu"),
+        (F.sum("tax").cast("double") * 10 / n).alias("prec"),
+        (F.min("discount") * 9).alias("canopy_share"),
+        n.alias("population"),
+        F.max("highest").alias("gdp_per_capita"),
+        F.sum("returned").alias("nightlight"),
+    )
+    # A local day may take hours of two months.
+    daily_max = stored.groupBy("grid_id", "day").agg(F.max("tmax").alias("tmax"))
+    return measures, monthly_bin_counts(daily_max, ["grid_id"], "tmax")
+
+
 def grid_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The integrated panel: measures, city, day counts and canopy products."""
-    keys = ["grid_id", "year", "month"]
-    joined = panel(spark, sf_dir).join(days(spark, sf_dir), keys, "left").join(
-        cities(spark, sf_dir), "grid_id", "left"
-    )
+    measures, counts = panel_and_days(measurements(spark, sf_dir))
+    joined = measures.join(counts, ["grid_id", "year", "month"], "left").join(cities(spark, sf_dir), "grid_id", "left")
     return add_canopy_products(joined).withColumn("ln_elec_kwh", F.log("elec_kwh"))
 
 

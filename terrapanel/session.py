@@ -20,6 +20,8 @@ def get_session(app: str = "terrapanel", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Tables in buckets of the entity also join on (entity, year, month) without a shuffle.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.ui.showConsoleProgress": "false",
         # Recording a Python call site per column operation makes wide plans slow to build.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
