@@ -15,7 +15,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from terrapanel.session import checkpointed
 
 GATHER_LIMIT = 200_000
 SKETCH_ACCURACY = 10_000
@@ -158,41 +159,145 @@ def exact_quantiles(
     return out
 
 
+#: Values of a bracket gathered for one group, and columns handled in one set of passes.
+GROUP_LIMIT = 4096
+GROUP_COLUMNS = 8
+#: Equal steps of the sketch that narrows a bracket still too large.
+GRID = 128
+
+
+def _match(keys: Sequence[str], tag: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"l.`{k}`").eqNullSafe(F.col(f"{tag}.`{k}`"))
+    return cond
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on keys that may be null; the columns of ``left`` and those of ``right`` beyond the keys."""
+    more = [c for c in right.columns if c not in keys]
+    joined = left.alias("l").join(right.alias("r"), _match(keys, "r"), "left")
+    return joined.select(*[F.col(f"l.`{c}`").alias(c) for c in left.columns], *[F.col(f"r.`{c}`").alias(c) for c in more])
+
+
+def _ranks(n: Column, probs: Sequence[float]) -> Column:
+    """0-based ranks below and above each wanted position."""
+    at = [F.lit(float(p)) * (n - 1) for p in probs]
+    return F.array(*[f(x).cast("bigint") for x in at for f in (F.floor, F.ceil)])
+
+
+def _narrowed(c: int) -> Column:
+    """The bracket of every rank of column ``c`` after counting at its cuts, or its value where a cut has that rank."""
+    counted = F.arrays_zip(F.col(f"cuts{c}").alias("cut"), F.col(f"less{c}").alias("less"), F.col(f"upto{c}").alias("upto"))
+
+    def one(t: Column) -> Column:
+        r = t["rank"]
+        hit = F.filter(counted, lambda k: (k["less"] <= r) & (r < k["upto"]))
+        under = F.filter(counted, lambda k: k["upto"] <= r)
+        over = F.filter(counted, lambda k: k["less"] > r)
+        low = F.array_max(F.transform(under, lambda k: F.struct(k["upto"].alias("n"), k["cut"].alias("v"))))
+        high = F.array_min(F.transform(over, lambda k: F.struct(k["less"].alias("n"), k["cut"].alias("v"))))
+        # Cuts are chosen inside the bracket, but one at its edge must not widen it again.
+        below = F.greatest(t["below"], F.coalesce(low["n"], F.lit(0)))
+        end = F.least(t["below"] + t["size"], F.coalesce(high["n"], t["below"] + t["size"]))
+        return F.struct(
+            r.alias("rank"), F.when(low["n"] >= t["below"], low["v"]).otherwise(t["low"]).alias("low"),
+            F.when(high["n"] <= t["below"] + t["size"], high["v"]).otherwise(t["high"]).alias("high"), below.alias("below"),
+            (end - below).alias("size"), F.coalesce(t["value"], F.get(hit, F.lit(0))["cut"]).alias("value"),
+        )
+
+    return F.transform(F.col(f"t{c}"), one)
+
+
+def _within(v: Column, t: Column) -> Column:
+    open_low, open_high = t["low"].isNull() | (v > t["low"]), t["high"].isNull() | (v < t["high"])
+    return F.when(t["value"].isNull() & open_low & open_high, v)
+
+
 def exact_quantiles_by(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], limit: int = GATHER_LIMIT
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Quantile arrays per group: keys + one ``array<double>`` column per measure.
+    """Quantile arrays per group: keys + one ``array<double>`` column per measure, null without values.
 
-    Groups up to ``limit`` rows use one grouped aggregation. Each larger group, however
-    large, goes through the bracketing passes instead of through one task.
+    All groups go through the same passes together, whatever their number and sizes: a sketch per
+    group brackets its ranks, a grouped count proves the brackets, and the values inside them, at
+    most ``limit`` for each rank, are gathered per group. While any bracket is larger, a sketch
+    inside it narrows it first. Every pass combines before it shuffles, and the driver sees one
+    number a round.
     """
-    spark = df.sparkSession
     keys, columns = list(keys), list(columns)
-    schema = df.select(*keys).schema
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.filter(F.col("n") > limit).collect()
-    clean = df.select(*keys, *[_value(c).alias(c) for c in columns])
-    quantile = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
-    if not big:
-        return clean.groupBy(*keys).agg(*quantile)
-
-    def matches(row) -> Column:
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.lit(row[k]))
-        return cond
-
-    is_big = F.lit(False)
-    rows = []
-    for row in big:
-        part = clean.filter(matches(row))
-        is_big = is_big | matches(row)
-        q = exact_quantiles(part, columns, probs, limit)
-        rows.append(tuple(row[k] for k in keys) + tuple(q[c] for c in columns))
-    for c in columns:
-        schema = schema.add(c, T.ArrayType(T.DoubleType()))
-    hot = spark.createDataFrame(rows, schema)
-    return clean.filter(~is_big).groupBy(*keys).agg(*quantile).unionByName(hot)
+    if len(columns) > GROUP_COLUMNS:
+        head = exact_quantiles_by(df, keys, columns[:GROUP_COLUMNS], probs, limit)
+        return _beside(head, exact_quantiles_by(df, keys, columns[GROUP_COLUMNS:], probs, limit), keys)
+    ks, ts = range(len(columns)), range(2 * len(probs))
+    clean = df.select(*keys, *[_value(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    margin = 2.0 / SKETCH_ACCURACY
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, 0.0, margin)})
+    state = clean.groupBy(*keys).agg(
+        *[F.count(f"v{c}").alias(f"n{c}") for c in ks],
+        *[F.coalesce(F.percentile_approx(f"v{c}", near, SKETCH_ACCURACY), F.array().cast("array<double>")).alias(f"cuts{c}") for c in ks],
+    )
+    none = F.lit(None).cast("double")
+    start = lambda c: F.transform(
+        _ranks(F.col(f"n{c}"), probs),
+        lambda r: F.struct(
+            r.alias("rank"), none.alias("low"), none.alias("high"), F.lit(0).cast("bigint").alias("below"),
+            F.col(f"n{c}").alias("size"), none.alias("value"),
+        ),
+    )
+    state = state.withColumns({f"t{c}": start(c) for c in ks} | {f"cuts{c}": F.array_sort(F.array_distinct(f"cuts{c}")) for c in ks})
+    cuts = len(near)
+    while True:
+        state = checkpointed(state)
+        rows = _beside(clean, state.select(*keys, *[f"cuts{c}" for c in ks]), keys)
+        at = lambda c, j: F.get(F.col(f"cuts{c}"), F.lit(j))
+        sums = {}
+        for c in ks:
+            for name, holds in (("less", lambda v, x: v < x), ("upto", lambda v, x: v <= x)):
+                sums[f"{name}{c}"] = F.array(*[F.count_if(holds(F.col(f"v{c}"), at(c, j))) for j in range(cuts)])
+        counts = rows.groupBy(*keys).agg(*[a.alias(n) for n, a in sums.items()])
+        beside = _beside(state, counts, keys)
+        trimmed = {f"{n}{c}": F.slice(f"{n}{c}", F.lit(1), F.size(f"cuts{c}")) for c in ks for n in ("less", "upto")}
+        state = checkpointed(beside.withColumns(trimmed).select(*keys, *[f"n{c}" for c in ks], *[_narrowed(c).alias(f"t{c}") for c in ks]))
+        largest = F.greatest(F.lit(0), *[F.max(F.array_max(F.transform(f"t{c}", lambda t: F.when(t["value"].isNull(), t["size"])))) for c in ks])
+        if (state.agg(largest).first()[0] or 0) <= limit:
+            break
+        rows = _beside(clean, state.select(*keys, *[f"t{c}" for c in ks]), keys)
+        grid = [i / GRID for i in range(GRID + 1)]
+        inner = rows.groupBy(*keys).agg(*[
+            F.percentile_approx(_within(F.col(f"v{c}"), F.col(f"t{c}")[t]), grid, 8 * GRID).alias(f"g{c}_{t}") for c in ks for t in ts
+        ])
+
+        def chosen(c: int) -> Column:
+            """Steps of the sketch on either side of each rank's place in its bracket."""
+            found = []
+            for t in ts:
+                place = F.floor((F.col(f"t{c}")[t]["rank"] - F.col(f"t{c}")[t]["below"]) / F.greatest(F.col(f"t{c}")[t]["size"], F.lit(1)) * GRID)
+                found += [F.get(F.col(f"g{c}_{t}"), F.greatest(F.lit(0), F.least(F.lit(GRID), (place + d).cast("int")))) for d in (-1, 0, 1, 2)]
+            return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+
+        cuts = 4 * len(ts)
+        state = _beside(state, inner, keys).withColumns({f"cuts{c}": chosen(c) for c in ks})
+        state = state.select(*keys, *[f"n{c}" for c in ks], *[f"t{c}" for c in ks], *[f"cuts{c}" for c in ks])
+    rows = _beside(clean, state.select(*keys, *[f"t{c}" for c in ks]), keys)
+    held = rows.groupBy(*keys).agg(*[
+        F.sort_array(F.collect_list(_within(F.col(f"v{c}"), F.col(f"t{c}")[t]))).alias(f"h{c}_{t}") for c in ks for t in ts
+    ])
+    both = _beside(state, held, keys)
+
+    def result(c: int) -> Column:
+        def value(t: int) -> Column:
+            target = F.col(f"t{c}")[t]
+            return F.coalesce(target["value"], F.get(F.col(f"h{c}_{t}"), (target["rank"] - target["below"]).cast("int")))
+
+        parts = []
+        for j, p in enumerate(probs):
+            x = F.lit(float(p)) * (F.col(f"n{c}") - 1)
+            a, b = value(2 * j), value(2 * j + 1)
+            parts.append(a + (b - a) * (x - F.floor(x)))
+        return F.when(F.col(f"n{c}") > 0, F.array(*parts))
+
+    return both.select(*keys, *[result(i).alias(c) for i, c in enumerate(columns)])
 
 
 def mode_value(df: DataFrame, column: str):

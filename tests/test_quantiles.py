@@ -41,6 +41,38 @@ def test_quantiles_by_group(skewed, limit):
         assert r["v"] == pytest.approx(want, rel=1e-12)
 
 
+@pytest.mark.parametrize("limit", [1, 40, 4096])
+def test_quantiles_by_many_groups_at_once(spark, limit):
+    """Groups from one to thousands of rows, ties, missing values and a null key, in one run."""
+    rng = random.Random(6)
+    rows = []
+    for key, n in ((None, 300), (1, 1), (2, 2), (3, 4000), (4, 50), (5, 7)):
+        for i in range(n):
+            v = rng.choice([1.0, 2.0, rng.gauss(0, 1e6), rng.random()])
+            rows.append((key, v if rng.random() < 0.9 else rng.choice([None, float("nan")]), None if key == 5 else -v if i % 3 else 4.0))
+    df = spark.createDataFrame(rows, "g int, v double, w double").repartition(5)
+    probs = [0.0, 0.1, 0.5, 0.501, 1.0]
+    got = {r["g"]: r for r in Q.exact_quantiles_by(df, ["g"], ["v", "w"], probs, limit=limit).collect()}
+    assert set(got) == {None, 1, 2, 3, 4, 5} and got[5]["w"] is None
+    for key, r in got.items():
+        for c, name in ((1, "v"), (2, "w")):
+            mine = [x[c] for x in rows if x[0] == key and x[c] is not None and x[c] == x[c]]
+            if mine:
+                assert r[name] == pytest.approx(np.quantile(mine, probs), rel=1e-12), (key, name)
+            else:
+                assert r[name] is None
+
+
+def test_quantiles_by_group_collect_nothing_that_grows(spark, monkeypatch):
+    """Of all groups together the driver sees one row a round."""
+    seen = []
+    collect = type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: seen.append(len(out := collect(self))) or out)
+    df = spark.range(4000).select((F.col("id") % 500).alias("g"), F.rand(3).alias("v"))
+    out = Q.exact_quantiles_by(df, ["g"], ["v"], [0.5])
+    assert all(n <= 1 for n in seen) and out.count() == 500
+
+
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert Q.exact_quantiles(df, ["v"], [0.5]) == {"v": [None]}
