@@ -10,10 +10,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalars import KM_PER_DEGREE, AlbersProjection, grid_key, pixel_center
+from terrapanel.session import checkpointed
 
 
 # --- rasters ---------------------------------------------------------------------
@@ -154,10 +157,11 @@ def match_distance_summary(matched: DataFrame) -> DataFrame:
 
 
 def nearest_on_axis(df: DataFrame, value: str, axis: Sequence[float], output: str) -> DataFrame:
-    """Position in an irregular monotone axis of the nearest value, first one on ties."""
+    """Position in an irregular monotone axis of the nearest value, first one on ties.
+
+    For an axis held by the program; one that is a table of any size goes to ``nearest_in_table``.
+    """
     values = np.asarray(axis, dtype=float)
-    if len(values) > 1_000_000:
-        raise ValueError("an axis is expected to be short")
     sign = 1.0 if len(values) < 2 or values[-1] >= values[0] else -1.0
     mids = (sign * values[:-1] + sign * values[1:]) / 2.0
 
@@ -169,6 +173,64 @@ def nearest_on_axis(df: DataFrame, value: str, axis: Sequence[float], output: st
     return df.withColumn(output, position(F.col(value).cast("double")))
 
 
+def range_cuts(df: DataFrame, value: Column, rows_per_range: int, most: int = 4096) -> list[float]:
+    """Cut points that deal values into ranges of about ``rows_per_range`` rows, ``most`` ranges at most."""
+    n = df.count()
+    ranges = min(most, max(1, n // rows_per_range))
+    if ranges == 1:
+        return []
+    probs = [i / ranges for i in range(1, ranges)]
+    return sorted(set(df.agg(F.percentile_approx(value, probs, 4 * ranges)).first()[0] or []))
+
+
+def nearest_in_table(
+    df: DataFrame, value: str, axis: DataFrame, axis_value: str, axis_index: str, output: str, rows_per_range: int = 1_000_000
+) -> DataFrame:
+    """Index of the nearest axis value for every row, the smallest index on ties; both sides of any size.
+
+    Axis and distinct values are dealt to the same ranges; in each a running last and a coming next
+    axis value are the only candidates, and what lies beyond a range's borders is carried over from
+    one row a range. A missing value, or an empty axis, has no index.
+    """
+    spark = df.sparkSession
+    v = F.col(value).cast("double")
+    nodes = axis.select(F.col(axis_value).cast("double").alias("x"), F.col(axis_index).alias("i"))
+    nodes = nodes.filter(F.col("x").isNotNull() & ~F.isnan("x")).groupBy("x").agg(F.min("i").alias("i"))
+    nodes = checkpointed(nodes)
+    wanted = df.select(v.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x")).distinct()
+    cuts = range_cuts(nodes, F.col("x"), rows_per_range)
+    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    place = F.size(F.filter(edges, lambda c: c < F.col("x")))
+    node = F.struct("x", "i")
+    dealt = nodes.withColumns({"b": place, "node": node})
+    # at most one row a range
+    ends = dealt.groupBy("b").agg(F.min("node").alias("first"), F.max("node").alias("last")).orderBy("b").collect()
+    borders, last = [], None
+    for b in range(len(cuts) + 1):
+        borders.append([b, last, None])
+        last = next((tuple(r["last"]) for r in ends if r["b"] == b), last)
+    nxt = None
+    for row in reversed(borders):
+        row[2] = nxt
+        nxt = next((tuple(r["first"]) for r in ends if r["b"] == row[0]), nxt)
+    kind = dealt.schema["node"].dataType.simpleString()
+    border = spark.createDataFrame([tuple(r) for r in borders], f"b int, under {kind}, over {kind}")
+    both = dealt.select("b", "x", "node").unionByName(wanted.select(place.alias("b"), "x", F.lit(None).cast(kind).alias("node")))
+    inside = W.partitionBy("b").orderBy("x", F.col("node").isNull())
+    behind = W.partitionBy("b").orderBy("x", F.col("node").isNotNull())
+    found = both.withColumns({
+        "low": F.last("node", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)),
+        "high": F.first("node", ignorenulls=True).over(behind.rowsBetween(0, W.unboundedFollowing)),
+    }).filter(F.col("node").isNull()).join(F.broadcast(border), "b")  # one row a range
+    low, high = F.coalesce("low", "under"), F.coalesce("high", "over")
+    down, up = F.abs(F.col("x") - low["x"]), F.abs(high["x"] - F.col("x"))
+    nearest = (
+        F.when(high.isNull() | (down < up), low["i"]).when(low.isNull() | (up < down), high["i"]).otherwise(F.least(low["i"], high["i"]))
+    )
+    indexed = found.select(F.col("x").alias("_x"), nearest.alias(output))
+    return df.join(indexed, v == F.col("_x"), "left").drop("_x")
+
+
 # --- polygons ----------------------------------------------------------------------
 
 
@@ -183,52 +245,114 @@ def ring_edges(ring: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), edge)
 
 
-def inside_edges(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd test, points on an edge being outside. Holes and parts share one edge list."""
-
-    def turn(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
-
-    def crosses(e: Column) -> Column:
-        straddles = (e["y1"] > y) != (e["y2"] > y)
-        left_of = F.when(e["y2"] > e["y1"], turn(e) > 0).otherwise(turn(e) < 0)
-        return straddles & left_of
+#: Edges a leaf cell may hold, and how often a root cell may be halved.
+LEAF_EDGES = 12
+DEEPEST = 12
+_CELL_DDL = "level int, cx bigint, cy bigint, odd boolean, edges array<struct<x1: double, y1: double, x2: double, y2: double>>"
+
+
+def _meets(e: np.ndarray, west: float, south: float, east: float, north: float) -> np.ndarray:
+    """Which edges may touch the closed box: their boxes overlap and the corners are not all on one side."""
+    x1, y1, x2, y2 = e.T
+    near = (np.minimum(x1, x2) <= east) & (np.maximum(x1, x2) >= west) & (np.minimum(y1, y2) <= north) & (np.maximum(y1, y2) >= south)
+    turns = [(x2 - x1) * (y - y1) - (x - x1) * (y2 - y1) for x in (west, east) for y in (south, north)]
+    slack = 1e-12 * (np.abs(x2 - x1) + np.abs(y2 - y1)) * (abs(west) + abs(east) + abs(south) + abs(north) + 1)
+    return near & ~(np.all([t > slack for t in turns], axis=0) | np.all([t < -slack for t in turns], axis=0))
+
+
+def _crossings(e: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> int:
+    """Edges crossed on the way east or west along ``y0`` to ``x1`` and then north or south to ``y1``."""
+    ax, ay, bx, by = e.T
+
+    def along(lo: float, hi: float, at: float, au, av, bu, bv) -> int:
+        over = (av > at) != (bv > at)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u = au + (at - av) * (bu - au) / (bv - av)
+        return int(np.count_nonzero(over & (u > lo) & (u <= hi)))
+
+    return along(min(x0, x1), max(x0, x1), y0, ax, ay, bx, by) + along(min(y0, y1), max(y0, y1), x1, ay, ax, by, bx)
+
+
+def _quadtree(edges: np.ndarray, size: float, most: int, deepest: int):
+    """Leaf cells (level, cx, cy, whether the centre is inside, edges that meet the cell) that hold any of the inside."""
+    x, y = edges[:, [0, 2]], edges[:, [1, 3]]
+    todo = []
+    outside = float(x.min()) - size
+    for cx in range(int(np.floor(x.min() / size)), int(np.floor(x.max() / size)) + 1):
+        for cy in range(int(np.floor(y.min() / size)), int(np.floor(y.max() / size)) + 1):
+            mid = (cx + 0.5) * size, (cy + 0.5) * size
+            odd = _crossings(edges, outside, mid[1], *mid) % 2 == 1
+            todo.append((0, cx, cy, odd, edges[_meets(edges, cx * size, cy * size, (cx + 1) * size, (cy + 1) * size)]))
+    while todo:
+        level, cx, cy, odd, held = todo.pop()
+        if not len(held):
+            if odd:
+                yield level, cx, cy, True, held
+        elif len(held) <= most or level >= deepest:
+            yield level, cx, cy, odd, held
+        else:
+            step, half = size / 2**level, size / 2 ** (level + 1)
+            mid = (cx + 0.5) * step, (cy + 0.5) * step
+            for kx in (2 * cx, 2 * cx + 1):
+                for ky in (2 * cy, 2 * cy + 1):
+                    here = (kx + 0.5) * half, (ky + 0.5) * half
+                    flips = _crossings(held, *mid, *here) % 2 == 1
+                    mine = held[_meets(held, kx * half, ky * half, (kx + 1) * half, (ky + 1) * half)]
+                    todo.append((level + 1, kx, ky, odd != flips, mine))
+
+
+def polygon_cells(polygons: DataFrame, size: float, most: int = LEAF_EDGES, deepest: int = DEEPEST) -> DataFrame:
+    """Leaf cells of each polygon's quadtree: attributes, cell, whether its centre is inside, and the edges that meet it.
+
+    A cell that no edge meets lies wholly inside and has no edges; cells wholly outside are left out. A
+    cell's parity follows from its parent's by the edges crossed between their centres, so no cell looks
+    at edges of others.
+    """
+    attributes = [c for c in polygons.columns if c != "edges"]
+    at = len(attributes)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            source = []
+            for i, ring in enumerate(b.column(at).to_pylist()):
+                held = np.array([(e["x1"], e["y1"], e["x2"], e["y2"]) for e in ring or ()], float).reshape(-1, 4)
+                if len(held):
+                    found = list(_quadtree(held, size, most, deepest))
+                    rows += found
+                    source += [i] * len(found)
+            if rows:
+                level, cx, cy, odd, edges = zip(*rows)
+                names = ("x1", "y1", "x2", "y2")
+                edges = [[dict(zip(names, e)) for e in x.tolist()] for x in edges]
+                kind = pa.list_(pa.struct([(n, pa.float64()) for n in names]))
+                cells = [pa.array(level, pa.int32()), pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), pa.array(odd), pa.array(edges, kind)]
+                held = [c.take(pa.array(source)) for c in b.columns[:at]]
+                yield pa.RecordBatch.from_arrays([*held, *cells], names=[*attributes, "level", "cx", "cy", "odd", "edges"])
+
+    kinds = dict(polygons.dtypes)
+    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in attributes], _CELL_DDL])
+    return polygons.select(*attributes, "edges").mapInArrow(run, ddl)
+
+
+def _inside_cell(x: Column, y: Column, mx: Column, my: Column, odd: Column, edges: Column) -> Column:
+    """Even-odd test from the cell's centre with its own edges, points on an edge being outside."""
+
+    def on(at: Column, lo: Column, hi: Column, u: str, v: str):
+        def crosses(e: Column) -> Column:
+            over = (e[f"{v}1"] > at) != (e[f"{v}2"] > at)
+            met = e[f"{u}1"] + (at - e[f"{v}1"]) * (e[f"{u}2"] - e[f"{u}1"]) / F.nullif(e[f"{v}2"] - e[f"{v}1"], F.lit(0.0))
+            return over & (met > lo) & (met <= hi)
+
+        return F.size(F.filter(edges, crosses))
 
     def touches(e: Column) -> Column:
-        return (
-            (turn(e) == 0)
-            & (x >= F.least(e["x1"], e["x2"]))
-            & (x <= F.greatest(e["x1"], e["x2"]))
-            & (y >= F.least(e["y1"], e["y2"]))
-            & (y <= F.greatest(e["y1"], e["y2"]))
-        )
-
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd & ~F.exists(edges, touches)
-
-
-def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
-    """One row per polygon and covering cell, with only the edges a point there can meet."""
-    e = F.col("edges")
-    xs = F.concat(F.transform(e, lambda s: s["x1"]), F.transform(e, lambda s: s["x2"]))
-    ys = F.concat(F.transform(e, lambda s: s["y1"]), F.transform(e, lambda s: s["y2"]))
-    boxed = polygons.withColumns(
-        {
-            "_cx": F.sequence(F.floor(F.array_min(xs) / size), F.floor(F.array_max(xs) / size)),
-            "_cy": F.sequence(F.floor(F.array_min(ys) / size), F.floor(F.array_max(ys) / size)),
-        }
-    )
-    cells = boxed.withColumn("cx", F.explode("_cx")).withColumn("cy", F.explode("_cy")).drop("_cx", "_cy")
-    west, south = F.col("cx") * F.lit(size), F.col("cy") * F.lit(size)
-    north = (F.col("cy") + 1) * F.lit(size)
-    # A ray goes east from the point: edges wholly west, north or south of the cell never count.
-    relevant = F.filter(
-        e,
-        lambda s: (F.greatest(s["x1"], s["x2"]) >= west)
-        & (F.greatest(s["y1"], s["y2"]) >= south)
-        & (F.least(s["y1"], s["y2"]) <= north),
-    )
-    return cells.withColumn("edges", relevant)
+        turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+        spans = (x >= F.least(e["x1"], e["x2"])) & (x <= F.greatest(e["x1"], e["x2"]))
+        return (turn == 0) & spans & (y >= F.least(e["y1"], e["y2"])) & (y <= F.greatest(e["y1"], e["y2"]))
+
+    flips = on(my, F.least(x, mx), F.greatest(x, mx), "x", "y") + on(x, F.least(y, my), F.greatest(y, my), "y", "x")
+    return ((odd.cast("int") + flips) % 2 == 1) & ~F.exists(edges, touches)
 
 
 def point_in_polygon(
@@ -236,20 +360,39 @@ def point_in_polygon(
 ) -> DataFrame:
     """Left join of points to the polygons that strictly contain them.
 
-    ``polygons`` holds ``attributes`` and ``edges``; ``key`` must be unique among the points.
-    A point in two polygons yields two rows; a point in none keeps NULL attributes.
+    ``polygons`` holds ``attributes`` and ``edges``, of holes and parts too; ``key`` must be unique among
+    the points; ``size`` is that of a root cell. A point in two polygons yields two rows; a point in none
+    keeps NULL attributes. Points join the leaf cells of polygons' quadtrees; those in cells wholly inside
+    need no test, the others only the edges of their cell.
     """
-    cells = polygon_cells(polygons.select(*attributes, "edges"), size)
-    located = points.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
+    cells = checkpointed(polygon_cells(polygons.select(*attributes, "edges"), size))
+    levels = sorted(r[0] for r in cells.select("level").distinct().collect())  # at most DEEPEST + 1
+    level = F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))
+    step = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level"))
+    located = points.select(key, "lon", "lat", level.alias("level")).withColumns(
+        {"cx": F.floor(F.col("lon") / step), "cy": F.floor(F.col("lat") / step)}
+    )
+    x, y = F.col("lon"), F.col("lat")
+    mx, my = (F.col("cx") + 0.5) * step, (F.col("cy") + 0.5) * step
     hits = (
-        located.select(key, "lon", "lat", "cx", "cy")
-        .join(cells, ["cx", "cy"])
-        .filter(inside_edges(F.col("lon"), F.col("lat"), F.col("edges")))
+        located.join(cells, ["level", "cx", "cy"])
+        .filter((F.size("edges") == 0) | _inside_cell(x, y, mx, my, F.col("odd"), F.col("edges")))
         .select(key, *attributes)
     )
     return points.join(hits, key, "left")
 
 
+def with_boundary(df: DataFrame, boundary: DataFrame, name: str = "city_name", boundary_name: str = "ADM2_EN") -> DataFrame:
+    """Attributes of the boundary of the same name; rows whose name has no boundary drop out.
+
+    A name that several boundaries share gives a row for each of them. A missing name matches nothing.
+    """
+    renamed = boundary.withColumnRenamed(boundary_name, name)
+    more = [c for c in renamed.columns if c != name]
+    first = [c for c in df.columns if c not in more]
+    return df.select(*first).join(renamed, name).select(*first, *more)
+
+
 # --- names --------------------------------------------------------------------------
 
 
@@ -260,27 +403,145 @@ def _substrings(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, parts).otherwise(F.array().cast("array<string>"))
 
 
+def required_literals(pattern: str) -> list[str]:
+    """Strings that every match of a regular expression must contain, as far as a look at its letters shows.
+
+    Groups, classes and escapes of classes end a string; what may occur no times is left out; an
+    alternation outside groups, or quoting, leaves nothing.
+    """
+    found, run, i, depth = [], "", 0, 0
+
+    def end() -> None:
+        nonlocal run
+        if run:
+            found.append(run)
+        run = ""
+
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            nxt = pattern[i + 1 : i + 2]
+            if nxt in ("Q", "E", "q", "e", ""):
+                return []
+            i += 2
+            if depth:
+                continue
+            if nxt.isalnum():
+                # classes, borders, references and codes; what belongs to a code is skipped too
+                end()
+                while (nxt in "xupkcn" or nxt.isdigit()) and i < len(pattern) and pattern[i].isalnum():
+                    i += 1
+                if pattern[i : i + 1] == "{":
+                    i = pattern.find("}", i) + 1 or len(pattern)
+            else:
+                run += nxt
+            continue
+        if c == "[":
+            j, inner = i + 1, 1
+            if pattern[j : j + 1] == "^":
+                j += 1
+            if pattern[j : j + 1] == "]":
+                j += 1
+            while j < len(pattern) and inner:
+                inner += {"[": 1, "]": -1}.get(pattern[j], 0)
+                j += 2 if pattern[j] == "\\" else 1
+            i = j
+            if not depth:
+                end()
+            continue
+        if c == "(":
+            if pattern[i + 1 : i + 2] == "?" and pattern[i + 2 : i + 3] not in (":", "=", "!", "<", ">"):
+                return []  # flags may change what letters mean
+            end()
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            end()
+        elif depth:
+            pass
+        elif c == "|":
+            return []
+        elif c in "*?{":
+            run = run[:-1]
+            end()
+            if c == "{":
+                i = pattern.find("}", i)
+                if i < 0:
+                    return []
+        elif c == "+":
+            end()
+        elif c in ".^$":
+            end()
+        else:
+            run += c
+        i += 1
+    end()
+    return found if depth == 0 else []
+
+
+GRAM = 4
+#: Patterns without a required string that are tried together on each name.
+PATTERN_BLOCK = 256
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.concat(*[_substrings(text, n) for n in range(1, GRAM + 1)]))
+
+
 def first_name_match(
     needles: DataFrame, needle: str, haystack: DataFrame, hay: str, hay_order: str, literal: bool = True
 ) -> DataFrame:
     """First row of ``haystack`` whose name contains the needle, ignoring case.
 
     Every substring whose length occurs among the needles becomes an equi-join key, so no
-    pair is ever tested that does not match. With ``literal=False`` the needle is a
-    regular expression, which only a nested loop can serve; both sides must be small.
+    pair is ever tested that does not match. With ``literal=False`` the needle is a regular
+    expression: it is tried only on names that hold the rarest string of up to ``GRAM`` letters
+    that a match must contain. Patterns that require no string are tried on every distinct
+    name, a block of them at a time.
     """
     want = needles.withColumn("_needle", F.lower(F.trim(F.col(needle))))
     text = F.lower(F.col(hay))
+    first = F.min(F.struct(F.col(hay_order), F.col(hay)))
     if literal:
         lengths = [r[0] for r in want.select(F.length("_needle").alias("n")).distinct().collect()]
         parts = F.array_distinct(F.flatten(F.array(*[_substrings(text, n) for n in lengths if n])))
         pairs = want.join(haystack.withColumn("_needle", F.explode(parts)), "_needle")
+        found = pairs.groupBy(*needles.columns).agg(first.alias("m"))
     else:
-        for side in (needles, haystack):
-            if side.limit(20_001).count() > 20_000:
-                raise ValueError("regular-expression matching is only for small name lists")
-        pairs = want.join(haystack, F.expr(f"rlike(lower({hay}), _needle)"))
-    first = F.min(F.struct(F.col(hay_order), F.col(hay)))
-    return pairs.groupBy(*needles.columns).agg(first.alias("m")).select(
-        *needles.columns, F.col(f"m.{hay}").alias(hay), F.col(f"m.{hay_order}").alias(hay_order)
+        best = _first_by_pattern(want.select("_needle").distinct(), haystack, hay, hay_order)
+        found = want.join(best, "_needle").select(*needles.columns, "m")
+    return found.select(*needles.columns, F.col(f"m.{hay}").alias(hay), F.col(f"m.{hay_order}").alias(hay_order))
+
+
+def _first_by_pattern(patterns: DataFrame, haystack: DataFrame, hay: str, hay_order: str) -> DataFrame:
+    """(_needle, m) with the first name that each pattern matches."""
+    names = haystack.filter(F.col(hay).isNotNull()).groupBy(F.lower(F.col(hay)).alias("_text")).agg(
+        F.min(F.struct(F.col(hay_order), F.col(hay))).alias("m")
+    )
+    names = checkpointed(names)
+    required = F.pandas_udf(lambda p: p.map(lambda x: sorted(set(required_literals(x)))), "array<string>")
+    asked = checkpointed(patterns.filter(F.col("_needle").isNotNull()).withColumn("_must", required("_needle")))
+    held = names.select("_text", "m", F.explode(_grams(F.col("_text"))).alias("g"))
+    held = checkpointed(held)
+    weight = held.groupBy("g").agg(F.count(F.lit(1)).alias("w"))
+    # Per required string its grams of the greatest length it has; the rarest of all keys the pattern.
+    keys = F.array_distinct(F.flatten(F.transform("_must", lambda t: F.filter(
+        _grams(t), lambda g: F.length(g) == F.least(F.lit(GRAM), F.length(t))
+    ))))
+    indexed = asked.filter(F.size("_must") > 0).select("_needle", "_must", F.explode(keys).alias("g"))
+    weighed = indexed.join(weight, "g", "left").groupBy("_needle").agg(
+        F.first("_must").alias("_must"), F.min(F.struct(F.coalesce("w", F.lit(0)).alias("w"), "g")).alias("k")
     )
+    tried = weighed.filter("k.w > 0").select("_needle", "_must", F.col("k.g").alias("g")).join(held, "g")
+    tried = tried.filter(F.forall("_must", lambda t: F.contains(F.col("_text"), t))).filter(F.expr("rlike(_text, _needle)"))
+    hits = tried.select("_needle", "m")
+    free = asked.filter(F.size("_must") == 0).select("_needle")
+    n = free.count()
+    if n:
+        blocks = -(-n // PATTERN_BLOCK)
+        block = F.pmod(F.xxhash64("_needle"), F.lit(blocks))
+        listed = free.groupBy(block.alias("b")).agg(F.collect_list("_needle").alias("_list"))
+        spread = names.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        open_hits = spread.join(listed, "b").select(F.explode("_list").alias("_needle"), "_text", "m").filter(F.expr("rlike(_text, _needle)"))
+        hits = hits.unionByName(open_hits.select("_needle", "m"))
+    return hits.groupBy("_needle").agg(F.min("m").alias("m"))

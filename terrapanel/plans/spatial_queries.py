@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions.scalars import AlbersProjection, grid_key, pixel_center
 from terrapanel.operators import spatial as SP
+from terrapanel.operators.rollup import annual_summary
 from terrapanel.plans import tables as T
 from terrapanel.plans.registry import query
 from terrapanel.sources.readers import bands_as_years, period_from_name, raster_band
@@ -164,6 +165,98 @@ def point_in_polygon(spark, sf):
     return out.select("point_id", "n_name")
 
 
+_NEAREST_SUPPLIER = """, ax AS (SELECT s_acctbal AS x, min(s_suppkey) AS i FROM supplier GROUP BY 1),
+ d AS (SELECT c_custkey, i, abs(c_acctbal - x) AS gap FROM customer, ax),
+ m AS (SELECT c_custkey, min(gap) AS gap FROM d GROUP BY 1)
+ SELECT c_custkey, min(i) AS s_suppkey FROM d JOIN m USING (c_custkey, gap) GROUP BY 1"""
+
+
+@query("nearest_in_table", _NEAREST_SUPPLIER)
+def nearest_in_table(spark, sf):
+    """The supplier of the balance nearest to each customer's."""
+    customers = T.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    axis = T.table(spark, sf, "supplier")
+    return SP.nearest_in_table(customers, "c_acctbal", axis, "s_acctbal", "s_suppkey", "s_suppkey", 1000).select("c_custkey", "s_suppkey")
+
+
+# Areas of one nation each: a notched (concave) ring with a square hole; neighbours share borders, every third also overlaps the next.
+_AREA = {
+    "ring": ((0.0, 0.0), (12.4, 0.0), (12.4, 7.4), (7.1, 7.4), (6.2, 2.3), (5.3, 7.4), (0.0, 7.4)),
+    "hole": ((1.1, 1.2), (3.4, 1.2), (3.4, 3.3), (1.1, 3.3)),
+}
+_EDGE_VALUES = ", ".join(
+    f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)"
+    for ring in _AREA.values() for a, b in zip(ring, (*ring[1:], ring[0]))
+)
+
+
+@query(
+    "area_of_point",
+    f""", area AS (SELECT n_name, n_regionkey, 73.0::DOUBLE + 12.4::DOUBLE * (n_nationkey % 5) + CASE WHEN n_nationkey % 3 = 0 THEN 1.7::DOUBLE ELSE 0 END AS w,
+      18.0::DOUBLE + 7.4::DOUBLE * floor(n_nationkey / 5) AS s FROM nation),
+    e AS (SELECT n_name, n_regionkey, w + a AS x1, s + b AS y1, w + c AS x2, s + d AS y2 FROM area, (VALUES {_EDGE_VALUES}) v(a, b, c, d)),
+    p AS (SELECT point_id, lon AS x, lat AS y FROM places),
+    t AS (SELECT point_id, n_name, n_regionkey, x, y, x1, y1, x2, y2, (x2 - x1) * (y - y1) - (x - x1) * (y2 - y1) AS turn FROM p, e),
+    h AS (SELECT point_id, n_name, n_regionkey FROM t GROUP BY 1, 2, 3 HAVING
+      count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND CASE WHEN y2 > y1 THEN turn > 0 ELSE turn < 0 END) % 2 = 1 AND count(*) FILTER (WHERE
+      turn = 0 AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2)) = 0)
+    SELECT point_id, n_name, r_name FROM p LEFT JOIN h USING (point_id) LEFT JOIN region ON n_regionkey = r_regionkey""",
+)
+def area_of_point(spark, sf):
+    """Attributes of every area that strictly contains a point: concave rings, holes, shared borders, overlaps."""
+    k = F.col("n_nationkey")
+    west = F.lit(73.0) + F.lit(12.4) * (k % 5) + F.when(k % 3 == 0, 1.7).otherwise(0.0)
+    south = F.lit(18.0) + F.lit(7.4) * F.floor(k / 5)
+
+    def ring(points):
+        return SP.ring_edges(F.array(*[F.struct((west + x).alias("lon"), (south + y).alias("lat")) for x, y in points]))
+
+    areas = T.table(spark, sf, "nation").join(T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(
+        "n_name", "r_name", F.concat(*[ring(r) for r in _AREA.values()]).alias("edges")
+    )
+    found = SP.point_in_polygon(T.places(spark, sf), areas, ["n_name", "r_name"], "point_id", size=4.0)
+    return found.select("point_id", "n_name", "r_name")
+
+
+@query(
+    "boundary_attributes",
+    """, boundary AS (SELECT n_name AS city_name, printf('CN%03d', n_nationkey) AS code, printf('P%02d', n_regionkey) AS area_code FROM nation WHERE n_nationkey % 4 <> 3)
+    SELECT year, city_name, province, code, area_code, canopy_share, ln_elec_kwh, high_temp_days FROM (
+      SELECT year, city_name, province, avg(canopy_share) AS canopy_share, avg(ln_elec_kwh) AS ln_elec_kwh,
+        CAST(sum(days_in_bin_30_35 + days_in_bin_35_40 + days_in_bin_40_plus) AS BIGINT) AS high_temp_days
+      FROM grid_panel WHERE year IN (1996, 1998, 2000) GROUP BY 1, 2, 3) JOIN boundary USING (city_name)""",
+    "canopy_share ln_elec_kwh",
+)
+def boundary_attributes(spark, sf):
+    """Annual city summary with codes from the boundary table; cities without a boundary drop out."""
+    names = T.table(spark, sf, "nation").filter(F.col("n_nationkey") % 4 != 3).select(
+        F.col("n_name").alias("ADM2_EN"), F.format_string("CN%03d", "n_nationkey").alias("code"),
+        F.format_string("P%02d", "n_regionkey").alias("area_code"),
+    )
+    hot = ["days_in_bin_30_35", "days_in_bin_35_40", "days_in_bin_40_plus"]
+    chosen = T.grid_panel(spark, sf).filter(F.col("year").isin(1996, 1998, 2000))
+    return SP.with_boundary(annual_summary(chosen, ["city_name", "province"], hot), names)
+
+
+_PATTERN = "'nation_' || (n_nationkey % 10) || CASE WHEN n_nationkey % 3 = 0 THEN '[0-4]$' WHEN n_nationkey % 3 = 1 THEN '$' ELSE '.?' END"
+
+
+@query(
+    "name_match_by_pattern",
+    f""", pats AS (SELECT n_name, {_PATTERN} AS pattern FROM nation)
+    SELECT n_name, pattern, arg_min(hay, c_custkey) AS hay, min(c_custkey) AS c_custkey FROM pats JOIN (
+    SELECT c_custkey, c_name || ' nation_' || c_nationkey AS hay FROM customer) h ON regexp_matches(lower(hay), lower(pattern)) GROUP BY 1, 2""",
+)
+def name_match_by_pattern(spark, sf):
+    k = F.col("n_nationkey")
+    tail = F.when(k % 3 == 0, "[0-4]$").when(k % 3 == 1, "$").otherwise(".?")
+    needles = T.table(spark, sf, "nation").select("n_name", F.concat(F.lit("nation_"), (k % 10).cast("string"), tail).alias("pattern"))
+    hay = T.table(spark, sf, "customer").select(
+        "c_custkey", F.concat_ws(" ", "c_name", F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))).alias("hay")
+    )
+    return SP.first_name_match(needles, "pattern", hay, "hay", "c_custkey", literal=False)
+
+
 @query(
     "first_name_match",
     """SELECT n_name, arg_min(hay, c_custkey) AS hay, min(c_custkey) AS c_custkey FROM nation JOIN (
