@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from terrapanel.functions.distributions import stars, t_two_sided_p
 from terrapanel.functions.scalars import complete_rows
 from terrapanel.operators.moments import pairwise_correlation
-from terrapanel.operators.quantiles import exact_quantiles
+from terrapanel.operators.quantiles import first_row_of, exact_quantiles
+from terrapanel.session import checkpointed
 
 
 def target_correlation(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -45,45 +46,74 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "x string, y string, r double, n long")
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
+def average_ranks(df: DataFrame, columns: Sequence[str], rows_per_range: int = 1_000_000) -> DataFrame:
     """Replace each column by its average rank, ties sharing the mean of their places.
 
-    Works on distinct values: value counts, cut into ranges of similar size, a running
-    count inside each range and the total of the ranges before it. No task sees more than
-    one range of distinct values.
+    One long table of (row, column, value) is dealt to ranges of values, all columns in one shuffle,
+    ranked inside each range and brought back to rows. A value so frequent that a sketch meets it
+    twice gets its rank from a plain count and is not dealt at all, so a range never holds a run of
+    ties longer than itself. Missing values and NaN have no rank.
     """
-    out = df
-    for c in columns:
-        counts = (
-            df.filter(F.col(c).isNotNull())
-            .groupBy(F.col(c).cast("double").alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = sorted({q for q in _sketch_cuts(df, c, probs) if q is not None})
-        counts = counts.withColumn("b", _range_index(F.col("v"), cuts) if cuts else F.lit(0))
-        totals = counts.groupBy("b").agg(F.sum("n").alias("t"))
-        # at most ``buckets`` rows
-        before = totals.select("b", (F.sum("t").over(W.orderBy("b")) - F.col("t")).alias("before"))
-        running = F.sum("n").over(W.partitionBy("b").orderBy("v"))
-        ranked = (
-            counts.withColumn("run", running)
-            .join(before, "b")
-            .select("v", (F.col("before") + F.col("run") - (F.col("n") - 1) / 2.0).alias("_rank"))
-        )
-        out = (
-            out.withColumn("_v", F.col(c).cast("double"))
-            .join(ranked, F.col("_v") == F.col("v"), "left")
-            .drop("_v", "v", c)
-            .withColumnRenamed("_rank", c)
-        )
-    return out.select(*df.columns)
-
-
-def _sketch_cuts(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
-    """Cut points only balance the ranges, so a sketch is enough here."""
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), list(probs), 1000)).first()
-    return list(row[0] or [])
+    columns = list(columns)
+    values = [F.col(c).cast("double") for c in columns]
+    data = df.select("*", *[F.when(~F.isnan(v), v).alias(f"_v{i}") for i, v in enumerate(values)])
+    # Stored, so that a row keeps its number.
+    data = checkpointed(data.withColumn("_row", F.monotonically_increasing_id()))
+    cuts, frequent = _rank_ranges(data, len(columns), rows_per_range)
+    facts = iter(first_row_of(data, [
+        a for i in range(len(columns)) for h in frequent[i]
+        for a in (F.count_if(F.col(f"_v{i}") < F.lit(h)), F.count_if(F.col(f"_v{i}") == F.lit(h)))
+    ]) if any(frequent) else [])
+    counted = [[(h, next(facts), next(facts)) for h in hs] for hs in frequent]
+    own, rest, place, known = [], [], [], []
+    for i in range(len(columns)):
+        v, rank = F.col(f"_v{i}"), F.lit(None).cast("double")
+        for h, less, equal in counted[i]:
+            rank = F.when(v == F.lit(h), F.lit(less + (equal + 1) / 2.0)).otherwise(rank)
+        own.append(rank)
+        rest.append(F.when(rank.isNull(), v))
+        place.append(_range_index(v, cuts[i]) if cuts[i] else F.lit(0))
+        # rows of frequent values that lie below each range
+        known += [(i, b, sum(n for h, _, n in counted[i] if h <= cuts[i][b - 1])) for b in range(1, len(cuts[i]) + 1)]
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("c"), rest[i].alias("v"), place[i].alias("b"), own[i].alias("rank")) for i in range(len(columns))
+    ])
+    long = data.select("_row", F.explode(entries).alias("e")).select("_row", "e.*").filter("v IS NOT NULL OR rank IS NOT NULL")
+    open_rows = long.filter("rank IS NULL").drop("rank")
+    spark = df.sparkSession
+    # at most one row a range and column
+    sizes = open_rows.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n"))
+    known_rows = spark.createDataFrame(known or [(0, 0, 0)], "c int, b int, k long")
+    before = sizes.join(known_rows, ["c", "b"], "left").select(
+        "c", "b", (F.coalesce("k", F.lit(0)) + F.sum("n").over(W.partitionBy("c").orderBy("b")) - F.col("n")).alias("before")
+    )
+    inside = W.partitionBy("c", "b").orderBy("v")
+    # The first place of a run of ties and the last one, the window's default end being the run's.
+    middle = (F.rank().over(inside) + F.count(F.lit(1)).over(inside)) / 2.0
+    ranked = open_rows.withColumn("m", middle).join(before, ["c", "b"]).select("_row", "c", (F.col("before") + F.col("m")).alias("rank"))
+    both = ranked.unionByName(long.filter("rank IS NOT NULL").select("_row", "c", "rank"))
+    wide = both.groupBy("_row").agg(*[F.max(F.when(F.col("c") == i, F.col("rank"))).alias(f"_r{i}") for i in range(len(columns))])
+    others = [c for c in df.columns if c not in columns]
+    out = data.select("_row", *others).join(wide, "_row", "left")
+    return out.select(*[F.col(f"_r{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+#: Ranges of values of one column.
+MOST_RANGES = 4096
+
+
+def _rank_ranges(data: DataFrame, k: int, rows_per_range: int) -> tuple[list[list[float]], list[list[float]]]:
+    """Cut points of each column, and those values that a sketch meets at two neighbouring steps or more."""
+    n = data.count()
+    ranges = min(MOST_RANGES, max(16, n // rows_per_range))
+    probs = [i / ranges for i in range(1, ranges)]
+    rows = data.agg(*[F.percentile_approx(f"_v{i}", probs, 8 * ranges).alias(f"a{i}") for i in range(k)]).first()
+    cuts, frequent = [], []
+    for found in rows:
+        found = list(found or [])
+        cuts.append(sorted(set(found)))
+        frequent.append(sorted({a for a, b in zip(found, found[1:]) if a == b}))
+    return cuts, frequent
 
 
 def _range_index(value: Column, cuts: Sequence[float]) -> Column:
@@ -136,7 +166,7 @@ def strongest_partner(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins: int = 16) -> DataFrame:
-    """Plug-in mutual information in nats over equal-frequency bins.
+    """Plug-in mutual information in nats over equal-frequency bins; ``neighbours.py`` has the other estimator.
 
     One contingency aggregation for all features: at most features x bins^2 groups.
     """

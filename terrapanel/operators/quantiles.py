@@ -54,7 +54,7 @@ def _inside(t: _Target) -> Column:
     return F.when(cond, v)
 
 
-def _first_row(df: DataFrame, aggs: list[Column]) -> list:
+def first_row_of(df: DataFrame, aggs: list[Column]) -> list:
     """Run many aggregates as one job; wide lists are split to keep plans small."""
     out: list = []
     for i in range(0, len(aggs), 200):
@@ -76,7 +76,7 @@ def _solve(df: DataFrame, targets: list[_Target], limit: int) -> None:
                 group = lookup[key]
                 ordered = F.sort_array(F.collect_list(_inside(group[0])))
                 aggs.append(F.array(*[F.get(ordered, F.lit(t.rank - t.below)) for t in group]))
-            for key, values in zip(intervals, _first_row(df, aggs)):
+            for key, values in zip(intervals, first_row_of(df, aggs)):
                 for t, v in zip(lookup[key], values):
                     t.value = v
         large = [t for t in active if t.size > limit]
@@ -87,13 +87,13 @@ def _solve(df: DataFrame, targets: list[_Target], limit: int) -> None:
                 p = (t.rank - t.below) / max(t.size - 1, 1)
                 ps = [min(max(p + d, 0.0), 1.0) for d in (-margin, margin)]
                 aggs.append(F.percentile_approx(_inside(t), ps, SKETCH_ACCURACY))
-            for t, cuts in zip(large, _first_row(df, aggs)):
+            for t, cuts in zip(large, first_row_of(df, aggs)):
                 t.cuts = tuple(sorted(set(cuts)))
             aggs = []
             for t in large:
                 for c in t.cuts:
                     aggs += [F.count_if(_value(t.column) < F.lit(c)), F.count_if(_value(t.column) <= F.lit(c))]
-            counts = iter(_first_row(df, aggs))
+            counts = iter(first_row_of(df, aggs))
             for t in large:
                 _narrow(t, [(c, next(counts), next(counts)) for c in t.cuts])
 
@@ -132,7 +132,7 @@ def order_statistics(
 
 
 def count_values(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    return dict(zip(columns, _first_row(df, [F.count(_value(c)) for c in columns])))
+    return dict(zip(columns, first_row_of(df, [F.count(_value(c)) for c in columns])))
 
 
 def exact_quantiles(

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalars import present
+from terrapanel.session import checkpointed
 from terrapanel.operators.quantiles import count_values, order_statistics
 
 _HASH_RANGE = 1 << 52  # exact as a double
@@ -88,20 +89,36 @@ def first_rows(df: DataFrame, keys: Sequence[str], n: int = 1000) -> DataFrame:
 def forward_fill(df: DataFrame, order: str, columns: Sequence[str], chunk: int = 100_000) -> DataFrame:
     """Carry the last seen value forward along an integer line number.
 
-    Lines are cut into fixed chunks; each chunk fills itself and takes the value carried
-    into it from a summary of one row per chunk.
+    A prefix scan in levels: lines are cut into chunks, the chunks' last values into chunks of
+    chunks, and so on up to a single one; each level takes in what the level above carries into its
+    group. No window holds more than ``chunk`` places, and the driver sees the first and last line
+    number. Lines without a number form a group of their own.
     """
-    lines = df.withColumn("_c", F.floor(F.col(order) / F.lit(chunk)))
-    inside = W.partitionBy("_c").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    # Counted from the first line, so that numbers below zero end in one group too.
+    lines = df.withColumn("_c1", F.floor((F.col(order) - F.lit(low)) / F.lit(chunk)))
+    inside = W.partitionBy("_c1").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     filled = lines.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
-    ends = lines.groupBy("_c").agg(
-        *[F.max(F.when(F.col(c).isNotNull(), F.struct(order, c)))[c].alias(f"_end_{c}") for c in columns]
-    )
-    past = W.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(
-        "_c", *[F.last(f"_end_{c}", ignorenulls=True).over(past).alias(f"_in_{c}") for c in columns]
-    )
-    out = filled.join(carried, "_c", "left")
-    return out.select(
-        *[F.coalesce(F.col(c), F.col(f"_in_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns]
-    )
+    last = {c: F.max(F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in columns}
+    summaries = [lines.groupBy("_c1").agg(*last.values())]
+    end, fan = (high - low) // chunk if low is not None else 0, max(chunk, 2)
+    while end:
+        level = len(summaries)
+        below, group = summaries[-1], f"_c{level + 1}"
+        summaries[-1] = checkpointed(below.withColumn(group, F.floor(F.col(f"_c{level}") / F.lit(fan))))
+        # Of a level's last values the one of the greatest line is the last of the group.
+        summaries.append(summaries[-1].groupBy(group).agg(*[F.max(c).alias(c) for c in columns]))
+        end //= fan
+    carried = None
+    for level in range(len(summaries) - 1, 0, -1):
+        here, group = f"_c{level}", f"_c{level + 1}"
+        before = W.partitionBy(group).orderBy(here).rowsBetween(W.unboundedPreceding, -1)
+        inner = summaries[level - 1].select(here, group, *[F.last(c, ignorenulls=True).over(before).alias(f"_in_{c}") for c in columns])
+        if carried is not None:
+            above = carried.select(group, *[F.col(f"_in_{c}").alias(f"_up_{c}") for c in columns])
+            inner = inner.join(above, group, "left").select(here, *[F.coalesce(f"_in_{c}", f"_up_{c}").alias(f"_in_{c}") for c in columns])
+        carried = checkpointed(inner.select(here, *[f"_in_{c}" for c in columns]))
+    if carried is None:
+        return filled.select(*df.columns)
+    out = filled.join(carried, "_c1", "left")
+    return out.select(*[F.coalesce(F.col(c), F.col(f"_in_{c}")[c]).alias(c) if c in columns else F.col(c) for c in df.columns])

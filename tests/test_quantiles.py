@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terrapanel.operators import correlation as C
 from terrapanel.operators import folds as FO
 from terrapanel.operators import quantiles as Q
 from terrapanel.operators import sampling as S
@@ -111,6 +112,45 @@ def test_forward_fill_across_chunks(spark, chunk):
     assert got == [None, "a", "a", "a", "a", "a", "b", "b", "c", "c"]
 
 
+@pytest.mark.parametrize("chunk", [2, 5, 40])
+def test_forward_fill_in_levels(spark, chunk):
+    """Sparse and negative line numbers over several levels of chunks; no window without a partition."""
+    rng = random.Random(chunk)
+    rows = [(n, rng.choice([None, None, None, n]), "x" if n == -150 else None) for n in range(-200, 300) if rng.random() < 0.7 or n == -150]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "n int, v int, w string").repartition(3)
+    out = S.forward_fill(df, "n", ["v", "w"], chunk)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    v = w = None
+    got = {r.n: (r.v, r.w) for r in out.collect()}
+    for n, a, b in sorted(rows):
+        v, w = a if a is not None else v, b if b is not None else w
+        assert got[n] == (v, w)
+    assert S.forward_fill(df.limit(0), "n", ["v"], chunk).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_range", [40, 10**6])
+def test_average_ranks(spark, rows_per_range):
+    """A value in a third of the rows, short ties, missing values, in several columns at once."""
+    rng = random.Random(rows_per_range)
+    rows = []
+    for i in range(2000):
+        a = 5.0 if i % 3 == 0 else rng.choice([rng.gauss(5, 2), float(rng.randint(0, 9))])
+        rows.append((i, a, None if i % 7 == 0 else rng.gauss(0, 1), float("nan") if i % 9 == 0 else float(i % 2), 1.0, None))
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double, e double").repartition(4)
+    got = C.average_ranks(df, ["a", "b", "c", "d", "e"], rows_per_range).orderBy("k").collect()
+    assert [r.k for r in got] == list(range(2000)) and got[0].e is None
+    for j, name in enumerate("abcd", 1):
+        seen = [r[j] for r in rows if r[j] is not None and r[j] == r[j]]
+        ordered = np.sort(seen)
+        for r, g in zip(rows, got):
+            if r[j] is None or r[j] != r[j]:
+                assert g[name] is None
+            else:
+                lo, hi = np.searchsorted(ordered, r[j], "left"), np.searchsorted(ordered, r[j], "right")
+                assert g[name] == (lo + 1 + hi) / 2
+
+
 def test_folds(spark):
     df = spark.range(103).withColumn("city", F.when(F.col("id") % 10 != 0, F.col("id") % 7))
     sizes = [r["count"] for r in FO.contiguous_folds(df, "id", 5).groupBy("fold").count().orderBy("fold").collect()]
