@@ -30,11 +30,10 @@ HELD_BYTES = 4 << 20
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit ranks."""
+def encode_documents(ranks: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each document, from the unsigned 32-bit ranks of all, one after the other."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    code = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    more = code[: len(ranks)]
+    more = np.zeros(len(ranks), dtype=np.uint8)
     width = 1
     for limit in (0xFF, 0xFFFF, 0xFFFFFF):
         above = ranks > limit
@@ -42,24 +41,51 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
             break
         more += above
         width += 1
-    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width) <= more[:, None]]
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :width][np.arange(width, dtype=np.uint8) <= more[:, None]].tobytes()
+    code = np.zeros(int((sizes + 3 >> 2).sum()) * 4, dtype=np.uint8)
+    code[_places(sizes)] = more
     code = code.reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    return control.tobytes(), data.tobytes()
+    control = (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).tobytes()
+    upto = np.concatenate([[0], np.cumsum(more, dtype=np.int64)])
+    ends = np.cumsum(sizes)
+    return _cut(control, np.cumsum(sizes + 3 >> 2)), _cut(data, ends + upto[ends])
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """Place of each rank where every document starts on a multiple of four."""
+    pad = -sizes & 3
+    return np.arange(int(sizes.sum())) + np.repeat(np.cumsum(pad) - pad, sizes)
+
+
+def _cut(data: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def decode_documents(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The ranks of all documents of a block, one after the other."""
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[_places(sizes)]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
         more = size > k
-        if more.any():
-            out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        if not more.any():
+            break
+        out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of one document's ranks."""
+    control, data = encode_documents(ranks, np.array([len(ranks)]))
+    return control[0], data[0]
+
+
+def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    return decode_documents(control, data, np.array([n]))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
@@ -69,40 +95,45 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if PartEncoder(tokenizer).vocabulary_size <= 1 << 16 else "<u4"
 
 
+_IDS_DDL = "doc_id bigint, ids binary, token_id bigint, n bigint"
+
+
 def document_ids(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
-    """doc_id and ``ids`` of every row, the end id included, as byte planes."""
+    """Rows of two kinds: doc_id and ``ids`` of every document, the end id included, as byte planes; and,
+    where ``ids`` is null, token_id and its occurrences in a task."""
     end = np.array([END_ID], dtype="<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("token_id", pa.int64()), ("n", pa.int64())])
 
     def encode(batches):
         encoder = PartEncoder.of_worker(tokenizer)
+        total = np.zeros(encoder.vocabulary_size, dtype=np.int64)
+
+        def batch(keys: list, found: list[bytes]) -> pa.RecordBatch:
+            ids = np.frombuffer(b"".join(found), "<u4")
+            counts = np.bincount(ids)
+            total[: len(counts)] += counts
+            narrow = ids.astype(kind, copy=False)
+            edges = np.cumsum([0, *(len(x) // 4 for x in found)]).tolist()
+            packed = [planes(narrow[a:b]) for a, b in zip(edges, edges[1:])]
+            nothing = pa.nulls(len(keys), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), nothing, nothing], schema=schema)
+
         for b in batches:
-            rows, size = [], 0
+            keys, found, size = [], [], 0
             for key, ids in zip(b.column(0).to_pylist(), encoded(encoder, (x.as_py() for x in b.column(1)))):
-                rows.append((key, planes(np.frombuffer(ids + end, "<u4").astype(kind, copy=False))))
+                keys.append(key)
+                found.append(ids + end)
                 size += len(ids)
                 if size > HELD_BYTES:
-                    yield _batch(rows, schema)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, schema)
-
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, ids binary")
-
-
-def token_counts(stored: DataFrame, kind: str) -> DataFrame:
-    """Occurrences of every id over all documents."""
-    def count(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                part = np.bincount(np.concatenate([from_planes(x.as_py(), kind) for x in b.column(0)]))
-                total = np.pad(total, (0, max(0, len(part) - len(total))))
-                total[: len(part)] += part
+                    yield batch(keys, found)
+                    keys, found, size = [], [], 0
+            if keys:
+                yield batch(keys, found)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token_id", "n"])
+        columns = [pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(total[used])]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return stored.select("ids").mapInArrow(count, "token_id bigint, n bigint").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(encode, _IDS_DDL)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER, partitions: int | None = None) -> None:
@@ -113,9 +144,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
     """
     spark = docs.sparkSession
     kind = id_type(tokenizer)
-    stored = checkpointed(document_ids(docs, tokenizer, kind))
+    both = checkpointed(document_ids(docs, tokenizer, kind))
+    stored = both.filter(F.col("ids").isNotNull()).select("doc_id", "ids")
     # bounded by the vocabulary
-    counted = token_counts(stored, kind).orderBy(F.desc("n"), "token_id").collect()
+    counts = both.filter(F.col("ids").isNull()).groupBy("token_id").agg(F.sum("n").alias("n"))
+    counted = counts.orderBy(F.desc("n"), "token_id").collect()
     order = np.array([r["token_id"] for r in counted], dtype=np.int64)
     spark.createDataFrame(
         [(i, int(t)) for i, t in enumerate(order)], "rank int, token_id bigint"
@@ -131,18 +164,24 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
 
     def code(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
+        def coded(keys: list, found: list[np.ndarray]) -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in found], np.int64)
+            control, data = encode_documents(rank[np.concatenate(found)], sizes)
+            shard = [0 if k is None else int(np.searchsorted(bounds, k, side="left")) for k in keys]
+            columns = (keys, shard, sizes, control, data)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
         for b in batches:
-            rows, size = [], 0
+            keys, found, size = [], [], 0
             for key, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                ranks = rank[from_planes(ids.as_py(), kind)]
-                shard = 0 if key is None else int(np.searchsorted(bounds, key, side="left"))
-                rows.append((key, shard, len(ranks), *encode_ranks(ranks)))
-                size += len(ranks)
-                if size > HELD_BYTES:
-                    yield _batch(rows, schema)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, schema)
+                keys.append(key)
+                found.append(from_planes(ids.as_py(), kind))
+                size += len(found[-1])
+                if size > HELD_BYTES // 4:
+                    yield coded(keys, found)
+                    keys, found, size = [], [], 0
+            if keys:
+                yield coded(keys, found)
 
     def to_blocks(batches):
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
@@ -181,7 +220,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKENIZER,
         .mapInArrow(to_blocks, "shard int, block int, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, control binary, data binary")
         .write.option("compression", "zstd").parquet(f"{path}/blocks")
     )
-    release(stored)
+    release(both)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -200,16 +239,13 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 shard, start, keys, ns, control, data = (c[i].as_py() for c in b.columns)
-                rows, c0, d0, start = [], 0, 0, start + before[shard]
-                for key, n in zip(keys, ns):
-                    c1 = c0 + -(-n // 4)
-                    sizes = _LENGTHS[np.frombuffer(control[c0:c1], np.uint8)].reshape(-1)[:n]
-                    d1 = d0 + int(sizes.sum())
-                    ids = token_of[decode_ranks(control[c0:c1], data[d0:d1], n)]
-                    rows.append((key, start, n, ids.tobytes()))
-                    start, c0, d0 = start + n, c1, d1
-                if rows:
-                    yield _batch(rows, schema)
+                if not keys:
+                    continue
+                sizes = np.array(ns, np.int64)
+                ids = token_of[decode_documents(control, data, sizes)].tobytes()
+                ends = np.cumsum(sizes)
+                columns = (keys, start + before[shard] + ends - sizes, ns, _cut(ids, 4 * ends))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return blocks.select("shard", "start", "doc_ids", "n_tokens", "control", "data").mapInArrow(
         decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary"
