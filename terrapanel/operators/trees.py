@@ -84,49 +84,26 @@ class Leaf:
 
 
 def model_leaves(model: PipelineModel, df: DataFrame) -> list[Leaf]:
-    """Leaves of every tree, weighted, read from the model's saved node table.
+    """Leaves of every tree, weighted."""
+    return model_leaves_of(model_nodes(model, df))
 
-    Its size is that of the model, not of the data.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}"
-    trees = model.stages[-1]
-    trees.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    nodes = nodes.select("treeID", "nodeData.*") if "nodeData" in nodes.columns else nodes.withColumn("treeID", F.lit(0))
-    by_tree: dict[int, dict[int, object]] = {}
-    for r in nodes.collect():
-        by_tree.setdefault(r["treeID"], {})[r["id"]] = r
-    weights = list(trees.treeWeights)
-    if isinstance(trees, RandomForestRegressionModel):  # a forest averages, boosting adds up
-        weights = [w / sum(weights) for w in weights]
+
+def model_leaves_of(trees: Trees) -> list[Leaf]:
     out: list[Leaf] = []
-    for t, table in by_tree.items():
-        stack = [(table[0], {})]
+    for root in trees.roots.tolist():
+        stack = [(root, {})]
         while stack:
-            node, box = stack.pop()
-            if node["leftChild"] < 0:
+            i, box = stack.pop()
+            j = int(trees.feature[i])
+            if j < 0:
                 f = sorted(box)
-                out.append(
-                    Leaf(
-                        float(node["prediction"]) * weights[t],
-                        np.array(f, dtype=int),
-                        np.array([box[j][0] for j in f]),
-                        np.array([box[j][1] for j in f]),
-                        np.array([box[j][2] for j in f]),
-                    )
-                )
+                low, high, ratio = (np.array([box[k][m] for k in f]) for m in range(3))
+                out.append(Leaf(float(trees.value[i]), np.array(f, dtype=int), low, high, ratio))
                 continue
-            split = node["split"]
-            if split["numCategories"] != -1:
-                raise ValueError("categorical splits are not supported; encode categories as 0/1 columns")
-            j, cut = split["featureIndex"], split["leftCategoriesOrThreshold"][0]
             low, high, ratio = box.get(j, (-np.inf, np.inf, 1.0))
-            for child, bounds in (("leftChild", (low, min(high, cut))), ("rightChild", (max(low, cut), high))):
-                kid = table[node[child]]
-                share = kid["rawCount"] / node["rawCount"]
-                stack.append((kid, {**box, j: (*bounds, ratio * share)}))
+            cut = trees.cut[i]
+            for child, bounds in ((trees.left[i], (low, min(high, cut))), (trees.right[i], (max(low, cut), high))):
+                stack.append((int(child), {**box, j: (*bounds, ratio * trees.share[child])}))
     return out
 
 
@@ -134,53 +111,152 @@ def base_value(leaves: Sequence[Leaf]) -> float:
     return float(sum(leaf.value * leaf.ratio.prod() for leaf in leaves))
 
 
-def leaf_attributions(x: np.ndarray, leaves: Sequence[tuple], width: int) -> np.ndarray:
-    """Shapley values of tree predictions under path-dependent expectations.
-
-    ``leaves`` holds (value, features, low, high, ratio) tuples.
+@dataclass(frozen=True)
+class Trees:
+    """All trees of a model as one node table in arrays; a child's share is the part of its parent's rows it keeps."""
+
+    roots: np.ndarray
+    feature: np.ndarray  # -1 in leaves
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    share: np.ndarray
+    value: np.ndarray  # of leaves, weighted
+    gain: np.ndarray  # of splits, times the rows that reach them
+    tree: np.ndarray
+
+    def plain(self) -> tuple:
+        """Plain arrays: what is sent to tasks is unpickled where this package may be absent."""
+        return self.roots, self.feature, self.cut, self.left, self.right, self.share, self.value
+
+
+def model_nodes(model: PipelineModel, df: DataFrame) -> Trees:
+    """The node table of every tree, read from the saved model. Its size is that of the model, not of the data."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}"
+    trees = model.stages[-1]
+    trees.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    nodes = nodes.select("treeID", "nodeData.*") if "nodeData" in nodes.columns else nodes.withColumn("treeID", F.lit(0))
+    rows = sorted(nodes.collect(), key=lambda r: (r["treeID"], r["id"]))
+    at = {(r["treeID"], r["id"]): i for i, r in enumerate(rows)}
+    weights = list(trees.treeWeights)
+    if isinstance(trees, RandomForestRegressionModel):  # a forest averages, boosting adds up
+        weights = [w / sum(weights) for w in weights]
+    if any(r["leftChild"] >= 0 and r["split"]["numCategories"] != -1 for r in rows):
+        raise ValueError("categorical splits are not supported; encode categories as 0/1 columns")
+    n = len(rows)
+    left, right = (np.array([at.get((r["treeID"], r[c]), -1) for r in rows], int) for c in ("leftChild", "rightChild"))
+    share = np.ones(n)
+    count = np.array([r["rawCount"] for r in rows], float)
+    for child in (left, right):
+        inner = np.flatnonzero(child >= 0)
+        share[child[inner]] = count[child[inner]] / count[inner]
+    split = [r["leftChild"] >= 0 for r in rows]
+    return Trees(
+        np.array([at[t, 0] for t in range(len(weights))]),
+        np.array([r["split"]["featureIndex"] if s else -1 for r, s in zip(rows, split)]),
+        np.array([r["split"]["leftCategoriesOrThreshold"][0] if s else 0.0 for r, s in zip(rows, split)]),
+        left, right, share,
+        np.array([float(r["prediction"]) * weights[r["treeID"]] for r in rows]),
+        np.array([r["gain"] * r["rawCount"] if s else 0.0 for r, s in zip(rows, split)]),
+        np.array([r["treeID"] for r in rows]),
+    )
+
+
+def path_attributions(x: np.ndarray, trees: tuple, width: int) -> np.ndarray:
+    """Shapley values of tree predictions under path-dependent expectations, and last the prediction.
 
     Averaging over feature subsets equals integrating, over t in (0,1), the product of
-    (1-t) * ratio + t * inside across the other features of a leaf. The integrand is a
-    polynomial in t, so Gauss-Legendre quadrature gives it exactly.
+    (1-t) * ratio + t * inside across the other features of a leaf, a polynomial that Gauss-Legendre
+    quadrature gives exactly. One walk over a tree serves all its leaves: the product at the
+    quadrature nodes is carried down, sums over leaves are carried up, and an edge adds its feature's
+    part for everything below it, taking back what an edge of the same feature above has added.
     """
-    phi = np.zeros((len(x), width))
-    for value, used, low, high, ratio in leaves:
-        m = len(used)
-        if m == 0:
-            continue
-        seen = x[:, used]
-        inside = ((seen > low) & (seen <= high)).astype(float)
-        nodes, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    import numpy as np
+
+    roots, feature, cut, left, right, share, value = trees
+    n = len(x)
+    phi = np.zeros((n, width + 1))
+
+    def deepest(i: int, used: frozenset) -> int:
+        if feature[i] < 0:
+            return len(used)
+        below = used | {feature[i]}
+        return max(deepest(left[i], below), deepest(right[i], below))
+
+    for root in roots.tolist():
+        points = max(1, (deepest(root, frozenset()) + 1) // 2)
+        nodes, weights = np.polynomial.legendre.leggauss(points)
         t, w = (nodes + 1) / 2, weights / 2
-        factors = (1 - t)[None, None, :] * ratio[None, :, None] + t[None, None, :] * inside[:, :, None]
-        others = factors.prod(axis=1)[:, None, :] / factors
-        phi[:, used] += value * (inside - ratio) * (others @ w)
+        factors: dict[int, tuple] = {}
+
+        def walk(i: int, product: np.ndarray, reached: np.ndarray) -> np.ndarray:
+            """Sum over the leaves below of value times product."""
+            if feature[i] < 0:
+                phi[:, width] += value[i] * reached
+                return value[i] * product
+            j = int(feature[i])
+            low = x[:, j] <= cut[i]
+            total = np.zeros_like(product)
+            above = factors.get(j)
+            for child, side in ((left[i], low), (right[i], ~low)):
+                ratio, inside = share[child], side
+                if above is not None:
+                    ratio, inside = ratio * above[0], side & above[1]
+                factor = (1 - t) * ratio + t * inside[:, None]
+                factors[j] = (ratio, inside, factor)
+                carried = product * factor if above is None else product * (factor / above[2])
+                below = walk(int(child), carried, reached & side)
+                total += below
+                part = (inside - ratio)[:, None] / factor
+                if above is not None:
+                    part = part - (above[1] - above[0])[:, None] / above[2]
+                phi[:, j] += (part * below) @ w
+            if above is None:
+                del factors[j]
+            else:
+                factors[j] = above
+            return total
+
+        walk(root, np.ones((n, points)), np.ones(n, bool))
     return phi
 
 
 def tree_attributions(
     model: PipelineModel, df: DataFrame, features: Sequence[str], keys: Sequence[str], prefix: str = ""
 ) -> DataFrame:
-    """Keys, one attribution per feature, and the base value; they sum to the prediction."""
-    leaves = model_leaves(model, df)
-    # plain tuples: a broadcast value is unpickled where this package may be absent
-    plain = [(leaf.value, leaf.features, leaf.low, leaf.high, leaf.ratio) for leaf in leaves]
-    shared = df.sparkSession.sparkContext.broadcast(plain)
-    base = base_value(leaves)
+    """Keys, one attribution per feature, the base value and the prediction they add up to, in one pass over ``df``."""
+    found = model_nodes(model, df)
+    shared = df.sparkSession.sparkContext.broadcast(found.plain())
+    base = base_value(model_leaves_of(found))
     names, key_names = list(features), list(keys)
-    data = df.select(*key_names, *[F.col(c).cast("double").alias(c) for c in names])
+    data = df.select(*key_names, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)])
     schema = data.select(*key_names).schema
-    for c in names:
-        schema = schema.add(f"{prefix}{c}", "double")
-    schema = schema.add("base_value", "double")
+    out = [*[f"{prefix}{c}" for c in names], "base_value", "tree_prediction"]
+    for c in out:
+        schema = schema.add(c, "double")
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            phi = leaf_attributions(x, shared.value, len(names))
-            arrays = [batch.column(k) for k in key_names]
-            arrays += [pa.array(phi[:, i]) for i in range(len(names))]
-            arrays.append(pa.array(np.full(len(x), base)))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*key_names, *[f"{prefix}{c}" for c in names], "base_value"])
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(key_names) :]])
+            phi = path_attributions(x, shared.value, len(names))
+            arrays = [*batch.columns[: len(key_names)], *[pa.array(phi[:, i]) for i in range(len(names))]]
+            arrays += [pa.array(np.full(len(x), base)), pa.array(phi[:, -1])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*key_names, *out])
 
     return data.mapInArrow(partition, schema)
+
+
+def gain_importance(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Impurity gains added up from the node table and scaled to 1; in a forest every tree weighs the same."""
+    nodes = model_nodes(model, df)
+    alike = isinstance(model.stages[-1], RandomForestRegressionModel)
+    total = np.zeros(len(features))
+    for k in np.unique(nodes.tree):
+        mine = (nodes.tree == k) & (nodes.feature >= 0)
+        gains = np.bincount(nodes.feature[mine], nodes.gain[mine], len(features))
+        total += gains / gains.sum() if alike and gains.sum() > 0 else gains
+    total = total / total.sum() if total.sum() > 0 else total
+    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, total)], "feature string, importance double")

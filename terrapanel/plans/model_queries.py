@@ -385,32 +385,44 @@ def _train(spark, sf):
     return temporal_split(_data(spark, sf), T.YEARS).filter(F.col("split") == "train")
 
 
-_SHARES = f"SELECT {_TERMS} AS feature, true AS a_share, CAST(1 AS DOUBLE) AS total"
+_RECOMPUTED = f"SELECT {_TERMS} AS feature, true AS as_recomputed, CAST(1 AS DOUBLE) AS total"
 
 
-def _shares(scores):
-    """Features with whether each score is a share, and what the scores add up to."""
-    total = scores.agg(F.sum("importance").alias("total"))
-    return scores.crossJoin(total).select("feature", F.col("importance").between(0, 1).alias("a_share"), "total")  # one row
+def _against_gains(given, recomputed):
+    """Whether each importance is that of the gains in the node tables, and what the importances add up to."""
+    total = given.agg(F.sum("importance").alias("total"))
+    both = given.join(recomputed.withColumnRenamed("importance", "own"), "feature", "left")
+    same = F.coalesce(F.abs(F.col("importance") - F.col("own")) < 1e-9, F.lit(False)) & (F.col("importance") > 0)
+    return both.crossJoin(total).select("feature", same.alias("as_recomputed"), "total")  # one row
 
 
-@query("forest_importance", _SHARES, "total")
+@query("forest_importance", _RECOMPUTED, "total")
 def forest_importance(spark, sf):
     df = _train(spark, sf)
     model = TR.fit_ensemble(df, T.PREDICTORS, "ln_elec_kwh", "forest", **_FOREST)
-    return _shares(TR.impurity_importance(model, df, T.PREDICTORS))
+    return _against_gains(TR.impurity_importance(model, df, T.PREDICTORS), TR.gain_importance(model, df, T.PREDICTORS))
 
 
-@query("average_importance", _SHARES, "total")
-def average_importance(spark, sf):
-    """Mean importance over a forest and boosted trees."""
+def _both_ensembles(spark, sf, importance):
     df = _train(spark, sf)
-    table = None
+    parts = []
     for kind, params in (("forest", _FOREST), ("boosted", _BOOSTED)):
         model = TR.fit_ensemble(df, T.PREDICTORS, "ln_elec_kwh", kind, **params)
-        part = with_method(TR.impurity_importance(model, df, T.PREDICTORS), kind)
-        table = part if table is None else table.unionByName(part)
-    return _shares(mean_importance(table))
+        parts.append([with_method(f(model, df, T.PREDICTORS), kind) for f in importance])
+    return [a.unionByName(b) for a, b in zip(*parts)]
+
+
+@query("average_importance", _RECOMPUTED, "total")
+def average_importance(spark, sf):
+    """Mean importance over a forest and boosted trees."""
+    given, own = _both_ensembles(spark, sf, (TR.impurity_importance, TR.gain_importance))
+    return _against_gains(mean_importance(given), mean_importance(own))
+
+
+@query("importance_values")
+def importance_values(spark, sf):
+    """The importances themselves, by method."""
+    return _both_ensembles(spark, sf, (TR.impurity_importance,))[0]
 
 
 @query("model_comparison")
@@ -441,16 +453,18 @@ def forest_grid_search(spark, sf):
     return spark.createDataFrame(rows, "max_depth int, cv_rmse double")
 
 
-@query("tree_attributions", "SELECT count(*) AS rows, 0 AS with_gap FROM panel WHERE year <= 1999")
+@query("tree_attributions", "SELECT count(*) AS rows, 0 AS with_gap, 0 AS other_prediction FROM panel WHERE year <= 1999")
 def tree_attributions(spark, sf):
-    """Rows whose attributions by boosted trees do not add up to the prediction, which are none."""
+    """Rows whose attributions by boosted trees do not add up to the model's prediction, which are none."""
     df = _train(spark, sf).select(*KEYS, *T.PREDICTORS, "ln_elec_kwh")
     model = TR.fit_ensemble(df, T.PREDICTORS, "ln_elec_kwh", "boosted", **_BOOSTED)
-    phi = TR.tree_attributions(model, df, T.PREDICTORS, KEYS)
-    scored = model.transform(df).select(*KEYS, "prediction")
+    scored = model.transform(df).select(*KEYS, *T.PREDICTORS, "prediction")
+    phi = TR.tree_attributions(model, scored, T.PREDICTORS, [*KEYS, "prediction"])
     gap = A.local_accuracy(phi, T.PREDICTORS, F.col("prediction"))
-    return phi.join(scored, KEYS).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if((F.abs(gap) > 1e-6) | gap.isNull()).cast("int").alias("with_gap")
+    other = F.abs(F.col("prediction") - F.col("tree_prediction")) > 1e-6
+    return phi.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if((F.abs(gap) > 1e-6) | gap.isNull()).cast("int").alias("with_gap"),
+        F.count_if(other | other.isNull()).cast("int").alias("other_prediction"),
     )
 
 

@@ -212,6 +212,53 @@ def test_tree_attributions(frame, kind, params, tmp_path):
         assert got[name] == pytest.approx(want, abs=1e-9)
     importance = TR.impurity_importance(model, frame, names)
     assert importance.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+    by_gain = {r.feature: r.importance for r in TR.gain_importance(model, frame, names).collect()}
+    assert {r.feature: r.importance for r in importance.collect()} == pytest.approx(by_gain)
+    score = phi.join(model.transform(frame).select("id", "prediction"), "id").select(F.max(F.abs(F.col("prediction") - F.col("tree_prediction"))))
+    assert score.first()[0] < 1e-9
+
+
+def test_path_attributions_agree_with_enumeration_on_deep_trees():
+    """Random trees that split on the same features again and again."""
+    rng = np.random.default_rng(2)
+    width = 4
+    for _ in range(12):
+        feature, cut, left, right, share, value = [], [], [], [], [], []
+
+        def grow(depth, part):
+            i = len(feature)
+            for column, v in zip((feature, cut, left, right, share, value), (-1, 0.0, -1, -1, part, rng.normal())):
+                column.append(v)
+            if depth and rng.random() < 0.85:
+                feature[i], cut[i] = int(rng.integers(0, width)), rng.normal()
+                p = rng.uniform(0.1, 0.9)
+                left[i] = grow(depth - 1, p)
+                right[i] = grow(depth - 1, 1 - p)
+            return i
+
+        roots = np.array([grow(6, 1.0), grow(3, 1.0)])
+        arrays = [np.array(a) for a in (feature, cut, left, right, share, value)]
+        x = rng.normal(size=(5, width))
+        got = TR.path_attributions(x, (roots, *arrays), width)
+
+        def expected(i, row, known):
+            if feature[i] < 0:
+                return value[i]
+            j = feature[i]
+            if j in known:
+                return expected(left[i] if row[j] <= cut[i] else right[i], row, known)
+            return share[left[i]] * expected(left[i], row, known) + share[right[i]] * expected(right[i], row, known)
+
+        for row, phi in zip(x, got):
+            worth = {s: sum(expected(r, row, s) for r in roots) for n in range(width + 1) for s in itertools.combinations(range(width), n)}
+            assert phi[width] == pytest.approx(worth[tuple(range(width))])
+            for j in range(width):
+                want = 0.0
+                for s, v in worth.items():
+                    if j not in s:
+                        weight = math.factorial(len(s)) * math.factorial(width - len(s) - 1) / math.factorial(width)
+                        want += weight * (worth[tuple(sorted((*s, j)))] - v)
+                assert phi[j] == pytest.approx(want, abs=1e-9)
 
 
 def test_local_explanations_keep_the_largest(spark):
@@ -221,6 +268,6 @@ def test_local_explanations_keep_the_largest(spark):
 
 
 def test_task_functions_need_no_package_on_executors():
-    data = cloudpickle.dumps(TR.leaf_attributions)
+    data = cloudpickle.dumps(TR.path_attributions)
     code = "import sys, pickle; assert callable(pickle.loads(sys.stdin.buffer.read())); assert 'terrapanel' not in sys.modules"
     subprocess.run([sys.executable, "-I", "-c", code], input=data, cwd="/", check=True)
