@@ -135,6 +135,18 @@ class OneHot:
         return df.select(*kept, *added)
 
 
+# Category columns whose dummies replace them in the grid panel. Fixed values.
+REDUNDANT = (
+    "humidity_category", "precipitation_category", "gdp_category", "population_category", "nightlight_category", "canopy_category",
+    "season",
+)
+
+
+def drop_redundant(df: DataFrame, columns: Sequence[str] = REDUNDANT) -> DataFrame:
+    """Without the category columns that are there."""
+    return df.drop(*[c for c in columns if c in df.columns])
+
+
 def season_features(df: DataFrame) -> DataFrame:
     m = F.col("month")
     return df.withColumns(

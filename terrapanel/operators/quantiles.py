@@ -311,3 +311,17 @@ def mode_value(df: DataFrame, column: str):
         .first()
     )
     return None if row is None else row[0]
+
+
+def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value as text, n): the most frequent value of each column, the smallest one on ties.
+
+    Values are counted per column with partial sums before the shuffle; columns without values have no row.
+    """
+    out = None
+    for c in columns:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        best = counts.agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("b")).filter("b IS NOT NULL")
+        part = best.select(F.lit(c).alias("column_name"), F.col("b.v").cast("string").alias("value"), (-F.col("b.n")).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out

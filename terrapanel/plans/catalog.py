@@ -8,6 +8,7 @@ from terrapanel.plans import (  # noqa: F401
     ranking_queries,
     regression_queries,
     spatial_queries,
+    structure_queries,
 )
 from terrapanel.plans.registry import ORACLES, QUERIES
 
