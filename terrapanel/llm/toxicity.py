@@ -46,7 +46,7 @@ DRIFT = 0.1
 #: Expected false segments in a document below which a segment counts.
 LARGEST_E = 0.05
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 80_000
 #: What the curve weighs, from the columns of ``passages``.
 FEATURES = ("sqrt(evidence)", "best", "toxic_terms / sqrt(n_words + 1D)", "other_terms / sqrt(n_words + 1D)", "ln(n_words + 1D)")
 
