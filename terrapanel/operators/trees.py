@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalars import complete_rows
-from terrapanel.session import ensure_checkpoint_dir
+from terrapanel.session import checkpointed, ensure_checkpoint_dir
 
 
 def ensemble(kind: str, target: str, seed: int = 42, **params):
@@ -63,6 +63,74 @@ def search_ensemble(
     return fitted.bestModel, list(zip(names, fitted.avgMetrics))
 
 
+# The settings searched. Depths beyond 30 are not offered by the estimators, so 30 stands for no limit.
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
+BOOSTED_GRID = {"maxIter": [100, 200, 300], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2], "subsamplingRate": [0.8, 0.9, 1.0]}
+_SIZES = {"forest": "numTrees", "boosted": "maxIter"}
+
+
+def search_by_prefixes(
+    df: DataFrame, features: Sequence[str], target: str, kind: str, grid: dict[str, Sequence], fold: str, k: int = 5, **params
+) -> tuple[PipelineModel, list[tuple[dict, float]]]:
+    """Grid search that fits each ensemble once, at its largest size, and scores its beginnings as the smaller ones.
+
+    The first trees of an ensemble are the smaller ensemble, in a forest by its seeds and in boosting by
+    construction, so a fold needs one fit for each setting of the other parameters and one pass that scores
+    all sizes. Returns the refitted best model and each setting's CV RMSE, mean of squared errors over folds.
+    """
+    name = _SIZES[kind]
+    sizes = sorted(grid[name])
+    others = [{}]
+    for p, values in grid.items():
+        if p != name:
+            others = [{**o, p: v} for o in others for v in values]
+    ready = checkpointed(complete_rows(df.select(*features, target, fold)))
+    results = []
+    for setting in others:
+        errors = np.zeros((k, len(sizes)))
+        for f in range(k):
+            train, rest = ready.filter(F.col(fold) != f), ready.filter(F.col(fold) == f)
+            model = pipeline(kind, features, target, **{**params, **setting, name: sizes[-1]}).fit(train)
+            errors[f] = _prefix_errors(model, rest, features, target, kind, sizes)
+        results += [({**setting, name: n}, float(np.sqrt(e))) for n, e in zip(sizes, errors.mean(0))]
+    best = min(results, key=lambda r: r[1])[0]
+    return pipeline(kind, features, target, **{**params, **best}).fit(ready), results
+
+
+def _prefix_errors(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str, kind: str, sizes: Sequence[int]) -> np.ndarray:
+    """Mean squared error of the ensemble's first trees, for each size, in one pass."""
+    found = model_nodes(model, df)
+    roots, feature, cut, left, right, _, value = found.plain()
+    if kind == "forest":  # undo the average over all trees
+        value = value * len(roots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(sizes)), 0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]])
+            y = batch.columns[-1].to_numpy(zero_copy_only=False)
+            run_sum = np.zeros(len(x))
+            for t, root in enumerate(roots.tolist(), 1):
+                at = np.full(len(x), root)
+                while (inner := feature[at] >= 0).any():
+                    rows, here = np.flatnonzero(inner), at[inner]
+                    at[rows] = np.where(x[rows, feature[here]] <= cut[here], left[here], right[here])
+                run_sum += value[at]
+                for i, size in enumerate(sizes):
+                    if t == min(size, len(roots)):
+                        total[i] += ((y - run_sum / (t if kind == "forest" else 1)) ** 2).sum()
+            n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes)), pa.int32()), pa.array(total), pa.array([n] * len(sizes), pa.int64())], names=["i", "e", "n"])
+
+    data = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(target).cast("double").alias("y"))
+    rows = data.mapInArrow(run, "i int, e double, n long").groupBy("i").agg((F.sum("e") / F.sum("n")).alias("e")).collect()
+    out = np.full(len(sizes), np.nan)
+    for r in rows:
+        out[r["i"]] = r["e"]
+    return out
+
+
 def impurity_importance(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     values = model.stages[-1].featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, values)]

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrapanel.operators import correlation as C
+from terrapanel.operators import neighbours
 from terrapanel.operators import ranking as RK
+from terrapanel.operators.panel import temporal_split
+from terrapanel.operators.selection import select_by_consensus
 from terrapanel.plans import tables as T
 from terrapanel.plans.registry import query
 
@@ -132,6 +135,27 @@ def mutual_information(spark, sf):
     return C.mutual_information(T.stored_panel(spark, sf), _X, "elec_kwh", bins=_BINS)
 
 
+_SCALED = ("gdp_per_capita / 65536", "elec_kwh / 131072")  # powers of two: equal gaps stay equal in both engines
+
+
+@query(
+    "neighbour_information",
+    f""", p AS (SELECT row_number() OVER () AS i, {_SCALED[0]} AS x, {_SCALED[1]} AS y FROM panel),
+    n AS (SELECT a.i, list_sort(min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3))[3] AS r FROM p a, p b WHERE a.i <> b.i GROUP BY 1),
+    q AS (SELECT p.i, p.x, p.y, n.r FROM p JOIN n USING (i)),
+    c AS (SELECT q.i, count(*) FILTER (WHERE abs(q.x - b.x) < r OR q.x = b.x) - 1 AS nx, count(*) FILTER (WHERE abs(q.y - b.y) < r OR q.y = b.y) - 1 AS ny
+      FROM q, p b GROUP BY 1),
+    h AS (SELECT 0 AS m, CAST(0 AS DOUBLE) AS h UNION ALL SELECT m, sum(1.0 / m::DOUBLE) OVER (ORDER BY m) FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM panel))) AS m))
+    SELECT 'gdp_per_capita' AS feature, greatest(0.0, (SELECT h FROM h WHERE m = (SELECT count(*) - 1 FROM panel)) + 1.5 - avg(u.h + v.h)) AS importance
+    FROM c JOIN h u ON u.m = nx JOIN h v ON v.m = ny""",
+    "importance",
+)
+def neighbour_information(spark, sf):
+    """Information of one feature by three nearest neighbours, held against all pairs."""
+    scaled = T.stored_panel(spark, sf).select((F.col("gdp_per_capita") / 65536).alias("gdp_per_capita"), (F.col("elec_kwh") / 131072).alias("y"))
+    return neighbours.neighbour_information(scaled, ["gdp_per_capita"], "y", standardize=False)
+
+
 # --- consensus --------------------------------------------------------------------------
 
 _SCORES = (
@@ -242,3 +266,16 @@ def mean_importance(spark, sf):
 def selected_scores(spark, sf):
     table = scores(spark, sf)
     return RK.keep_selected(table, RK.top_k(RK.consensus_ranking(table, _METHODS), "mean_importance", 3))
+
+
+@query("consensus_of_models")
+def consensus_of_models(spark, sf):
+    """Consensus of a forest, boosted trees, lasso and nearest-neighbour information on the training years, with the selection."""
+    keys = ["grid_id", "year", "month"]
+    train = temporal_split(T.stored_panel(spark, sf).withColumn("ln_elec_kwh", F.log("elec_kwh")), T.YEARS).filter("split = 'train'")
+    small = {"numTrees": 20, "maxDepth": 5}, {"maxIter": 10, "maxDepth": 4}
+    table, selected = select_by_consensus(
+        train, _X, "ln_elec_kwh", keys, 0.95, 3, 5, forest=small[0], boosted=small[1]
+    )
+    chosen = selected.select("feature", "rank")
+    return table.join(chosen, "feature", "left").withColumn("selected", F.col("rank").isNotNull())

@@ -15,6 +15,7 @@ from terrapanel.operators import attribution as A
 from terrapanel.operators import correlation as C
 from terrapanel.operators import fixed_effects as FE
 from terrapanel.operators import linear as L
+from terrapanel.operators import selection as SE
 from terrapanel.operators import trees as TR
 from terrapanel.operators.moments import pairwise_correlation
 from terrapanel.sources import sinks
@@ -271,3 +272,59 @@ def test_task_functions_need_no_package_on_executors():
     data = cloudpickle.dumps(TR.path_attributions)
     code = "import sys, pickle; assert callable(pickle.loads(sys.stdin.buffer.read())); assert 'terrapanel' not in sys.modules"
     subprocess.run([sys.executable, "-I", "-c", code], input=data, cwd="/", check=True)
+
+
+@pytest.mark.parametrize("kind,grid", [
+    ("forest", {"numTrees": [2, 5], "maxDepth": [2, 3]}), ("boosted", {"maxIter": [1, 4], "stepSize": [0.1, 0.5], "maxDepth": [2]}),
+])
+def test_search_by_prefixes_scores_the_smaller_ensembles(frame, kind, grid):
+    """The first trees of a fitted ensemble against ensembles fitted at that size, fold by fold."""
+    names, df = ["a", "b", "c"], frame.withColumn("fold", (F.col("id") % 3).cast("int"))
+    best, results = TR.search_by_prefixes(df, names, "y", kind, grid, "fold", 3)
+    assert len(results) == 4
+    for setting, got in results:
+        errors = []
+        for f in range(3):
+            model = TR.fit_ensemble(df.filter(F.col("fold") != f), names, "y", kind, **setting)
+            rest = model.transform(df.filter(F.col("fold") == f))
+            errors.append(rest.agg(F.avg((F.col("y") - F.col("prediction")) ** 2)).first()[0])
+        assert got == pytest.approx(np.sqrt(np.mean(errors)), rel=1e-9 if kind == "boosted" else 0.15), setting
+    low = min(results, key=lambda r: r[1])[0]
+    assert len(best.stages[-1].treeWeights) == low[TR._SIZES[kind]]
+
+
+def test_consensus_of_models(spark, frame):
+    """Consensus and selection recomputed from the methods' scores."""
+    names = ["a", "b", "c", "noise"]
+    df = frame.withColumn("noise", F.rand(4))
+    options = {"forest": {"numTrees": 5, "maxDepth": 3}, "boosted": {"maxIter": 4, "maxDepth": 2}}
+    scores = SE.method_scores(df, names, "y", ["id"], **options).collect()
+    by = {(r.method, r.feature): r.importance for r in scores}
+    assert set(by) == {(m, f) for m in SE.MODEL_METHODS for f in names}
+    table, selected = SE.select_by_consensus(df, names, "y", ["id"], 0.9, 2, 3, **options)
+    for r in table.collect():
+        shares = [by[m, r.feature] / max(by[m, f] for f in names) for m in SE.MODEL_METHODS]
+        assert r.mean_importance == pytest.approx(np.mean(shares), rel=1e-9) and r.std_importance == pytest.approx(np.std(shares), rel=1e-9)
+        assert r.methods_count == sum(s > 0 for s in shares) and 0 <= r.correlation <= 1
+    ordered = sorted(table.collect(), key=lambda r: -r.mean_importance)
+    share = np.cumsum([r.mean_importance for r in ordered]) / sum(r.mean_importance for r in ordered)
+    size = min(3, max(2, int((share <= 0.9).sum())))
+    assert [r.feature for r in selected.orderBy("rank").collect()] == [r.feature for r in ordered[:size]]
+    assert ordered[-1].feature == "noise"
+
+
+def test_model_comparison_by_hand(spark):
+    """Scores of two sets of predictions on two splits, against plain formulas."""
+    rng = random.Random(8)
+    rows = [("train" if i % 3 else "validation", rng.gauss(0, 1)) for i in range(90)]
+    base = spark.createDataFrame([(s, y, y + rng.gauss(0, 0.3), 0.2) for s, y in rows], "split string, y double, p double, q double")
+    scored = {"good": base.withColumn("prediction", F.col("p")), "flat": base.withColumn("prediction", F.col("q"))}
+    got = {tuple(r)[0]: r.asDict() for r in L.model_comparison(scored, "y", {"good": 0.5, "flat": 1.5}).collect()}
+    table = np.array([(r.split == "train", r.y, r.p, r.q) for r in base.collect()], float)
+    for name, col in (("good", 2), ("flat", 3)):
+        numbers = [v for v in got[name].values() if isinstance(v, float)]
+        for flag in (1.0, 0.0):
+            y, p = table[table[:, 0] == flag, 1], table[table[:, 0] == flag, col]
+            r2 = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+            for want in (r2, np.sqrt(((y - p) ** 2).mean()), np.abs(y - p).mean()):
+                assert any(v == pytest.approx(want) for v in numbers), (name, want, got[name])
