@@ -23,6 +23,7 @@ from terrapanel.functions.bins import (
     zero_then_breaks,
 )
 from terrapanel.functions.scalars import joined_label, month_flag, season_of
+from terrapanel.session import checkpointed
 from terrapanel.operators.quantiles import exact_quantiles
 
 # Columns of more levels than this are refused unless the caller asks for more.
@@ -232,13 +233,18 @@ def product_features(df: DataFrame, rules: Sequence[tuple[str, str, str]] = PROD
     return df.withColumns(out) if out else df
 
 
+#: Groups whose means are sent to every task; more are joined.
+BROADCAST_GROUPS = 100_000
+
+
 def group_mean(df: DataFrame, key: str, value: str, output: str) -> DataFrame:
     """Mean of the row's group on every row.
 
-    Aggregate and join back, not a window: a window would put a whole group in one task.
+    Aggregate and join back, not a window: a window would put a whole group in one task. The means
+    are stored and counted; up to ``BROADCAST_GROUPS`` go to every task, so the rows need no shuffle.
     """
-    means = df.groupBy(key).agg(F.avg(value).alias(output))
-    return df.join(means, key, "left")
+    means = checkpointed(df.groupBy(key).agg(F.avg(value).alias(output)))
+    return df.join(F.broadcast(means) if means.count() <= BROADCAST_GROUPS else means, key, "left")
 
 
 def ratio_features(df: DataFrame) -> DataFrame:

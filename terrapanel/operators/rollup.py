@@ -119,6 +119,16 @@ def annual_summary(df: DataFrame, area: Sequence[str], heat_columns: Sequence[st
 
 
 def entity_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct entities per level as (level, n) rows."""
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(c) for c in columns])
-    return wide.unpivot([], ["rows", *columns], "level", "n")
+    """Distinct entities per level as (level, n) rows, and the rows.
+
+    All levels in one pass: distinct (level, value) pairs, found with partial sets before the
+    shuffle, then counted. Missing values are no entity.
+    """
+    pairs = [F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("value")) for c in columns]
+    counts = df.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.level", "p.value").agg(F.count(F.lit(1)).alias("k"))
+    found = F.count("value").alias("n")
+    per = counts.groupBy("level").agg(found, F.sum("k").alias("k"))
+    names = df.sparkSession.createDataFrame([("rows",), *[(c,) for c in columns]], "level string")
+    total = per.agg(F.max("k").alias("n")).select(F.lit("rows").alias("level"), "n")
+    known = per.select("level", "n").unionByName(total)
+    return names.join(known, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))
