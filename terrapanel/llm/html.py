@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -39,8 +40,28 @@ MARKS = frozenset(
     "related recommended recommendations comment comments commentlist disqus respond responses replies reactions "
     "complementary contentinfo".split()
 )
-#: Elements that such words may remove.
-MARKED = frozenset("div section ul ol dl table p span header article figure details h2 h3 h4 li td a center".split())
+#: Words that turn a mark beside them into a state of the page: no sidebar, comments open.
+DENIALS = frozenset("no not non has have with without free open opened closed off on enabled disabled result results count".split())
+#: Words for the text itself; one of them last in a name outweighs a mark before it.
+CONTENT = frozenset("article articles content contents main body text story entry post page section wrapper container".split())
+#: Elements that marks may remove.
+MARKED = frozenset("div section ul ol dl table p span header article figure details h2 h3 h4 li dt dd td tr a center".split())
+# Elements that end at the start of others, and the elements that shield them from those outside.
+ENDED_BY = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th", "caption"), "tfoot": ("tbody", "thead", "tfoot", "tr", "td", "th", "caption"),
+    "thead": ("caption",),
+    **{h: ("h1", "h2", "h3", "h4", "h5", "h6") for h in ("h1", "h2", "h3", "h4", "h5", "h6")},
+}
+SHIELDS = {
+    "li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "tr": ("table",), "td": ("tr", "table"),
+    "th": ("tr", "table"), "tbody": ("table",), "tfoot": ("table",), "thead": ("table",), "p": ("button", "td", "th", "caption", "table"),
+}
+# Elements whose start ends an open paragraph.
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li main menu nav ol p pre section summary table ul".split()
+)
 #: Stop words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be been but by for from had has have he her his i if in is it its not of on or she that the "
@@ -53,8 +74,9 @@ STOP_WORDS = frozenset(
     "sin sobre su sus también todo uno ya y".split()
 )
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
+_RAW = frozenset(RAW)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -76,6 +98,8 @@ class Rules:
     article_missing_words: float = 8
     article_link_density: float = 0.9
     article_link_count: int = 2
+    #: Characters that make a text an article.
+    article_chars: int = 400
 
 
 @dataclass
@@ -86,22 +110,84 @@ class Block:
     links: int = 0
 
 
+def _is_mark(token: str) -> bool:
+    """Whether a class, id or role names something beside the text: by its last word, or its first unless it ends in a content word."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+    if not words or DENIALS.intersection(words):
+        return False
+    return words[-1] in MARKS or words[0] in MARKS and words[-1] not in CONTENT
+
+
 def _marked(name: str, attributes: str) -> bool:
     if name not in MARKED or not attributes:
         return False
-    for groups in _MARK.findall(attributes):
-        words = re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(groups)).lower()
-        if MARKS.intersection(re.split(r"[^a-z]+", words)):
-            return True
-    return bool(_HIDDEN.search(attributes))
+    return any(_is_mark(token) for groups in _MARK.findall(attributes) for token in " ".join(groups).split())
+
+
+def _tags(page: str):
+    """(text before, closing, name, attributes) of every tag in order, and last (text, False, "", "") for the rest.
+
+    Comments, declarations and elements of raw text are passed over. One scan: quotes that never end are
+    no quotes from then on, and a tag that never ends takes the rest with it.
+    """
+    at = begin = 0
+    quotes, held = True, []
+    n = len(page)
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 >= n:
+            break
+        after = page[lt + 1]
+        if after in "!?":
+            held.append(page[begin:lt])
+            end = page.find("-->", lt + 4) if page.startswith("<!--", lt) else page.find(">", lt)
+            at = begin = n if end < 0 else end + (3 if page.startswith("<!--", lt) else 1)
+            held.append(" " if page.startswith("<!--", lt) else "")
+            continue
+        closing = after == "/"
+        name = _NAME.match(page, lt + 1 + closing)
+        if not name:
+            at = lt + 1
+            continue
+        end = name.end()
+        while quotes:
+            stop = _STOP.search(page, end)
+            if not stop:
+                quotes = False
+            elif stop[0] == ">":
+                end = stop.start()
+                break
+            else:
+                end = page.find(stop[0], stop.end()) + 1
+                if not end:
+                    quotes = False
+        if not quotes:
+            end = page.find(">", name.end())
+        held.append(page[begin:lt])
+        if end < 0:
+            at = begin = n
+            break
+        word, attributes = name[0].lower(), page[name.end() : end]
+        at = begin = end + 1
+        if word in _RAW:
+            if not closing and not attributes.endswith("/"):
+                close = re.compile(rf"</{word}\s*>", re.I).search(page, at)
+                at = begin = close.end() if close else n
+            held.append(" ")
+            continue
+        yield "".join(held), closing, word, attributes
+        held = []
+    yield "".join(held) + page[begin:], False, "", ""
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of the page in order, without those of elements beside the text."""
-    page = _RAW.sub(" ", page)
+def blocks_of(page: str, marks: bool = True) -> list[Block]:
+    """Blocks of the page in order, without those of elements beside the text; ``marks`` off leaves their marks aside."""
     out: list[Block] = []
-    beside: list[tuple[str, int]] = []  # the open element that hides its content, and its depth
-    articles = links = breaks = at = 0
+    # Open elements: name, whether it hides its content (2: by a mark alone), whether it is an article.
+    stack: list[list] = []
+    opened: Counter = Counter()
+    hidden = articles = links = breaks = 0
+    seen_article = False
     now = Block(False)
 
     def close() -> None:
@@ -111,57 +197,100 @@ def blocks_of(page: str) -> list[Block]:
         now = Block(articles > 0)
 
     def text(piece: str) -> None:
-        if piece and not beside:
+        if piece and not hidden:
             plain = entities.unescape(piece)
             now.texts.append(plain)
             if links:
                 now.link_chars += len(_SPACE.sub(" ", plain).strip())
 
-    for m in _TAG.finditer(page):
-        text(page[at : m.start()])
-        if m.start() > at and page[at : m.start()].strip():
+    def leave(depth: int) -> None:
+        """Close the open elements from ``depth`` on."""
+        nonlocal hidden, articles, links
+        while len(stack) > depth:
+            name, hides, is_article = stack.pop()
+            opened[name] -= 1
+            hidden -= hides > 0
+            if is_article:
+                articles -= 1
+                now.inside = articles > 0
+            if name == "a":
+                links = 0
+
+    def innermost(names: tuple[str, ...], shields: tuple[str, ...]) -> int | None:
+        """Depth of the outermost of ``names`` that is open inside the nearest shield."""
+        found = None
+        if not any(opened[x] for x in names):
+            return None
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in shields:
+                break
+            if stack[i][0] in names:
+                found = i
+        return found
+
+    for before, closing, name, attributes in _tags(page):
+        text(before)
+        if before.strip():
             breaks = 0
-        at = m.end()
-        if m[2] is None:
-            continue
-        closing, name, attributes = m[1], m[2].lower(), m[3]
-        if beside:
-            if name == beside[-1][0]:
-                depth = beside[-1][1] + (-1 if closing else 0 if attributes.endswith("/") else 1)
-                if depth:
-                    beside[-1] = (name, depth)
-                else:
-                    beside.pop()
+        if not name:
             continue
         if name == "br":
-            breaks += 1
-            if breaks > 1:
-                close()
-            else:
-                now.texts.append(" ")
+            if not hidden:
+                breaks += 1
+                if breaks > 1:
+                    close()
+                else:
+                    now.texts.append(" ")
             continue
-        if name in BLOCK or name in ASIDE:
+        if not hidden and (name in BLOCK or name in ASIDE):
             breaks = 0
             close()
-        if not closing:
-            # a page header stands beside the text, that of an article holds its title
-            hides = name in ASIDE or name == "header" and not articles or _marked(name, attributes)
-            if hides and name not in VOID and not attributes.endswith("/"):
-                beside.append((name, 1))
+        if closing:
+            if not opened[name]:
                 continue
-            if name in ("article", "main"):
-                articles += 1
-                now.inside = True
-            elif name == "a":
-                links = 1
-                now.links += 1
-        elif name in ("article", "main"):
-            articles = max(0, articles - 1)
-            now.inside = articles > 0
-        elif name == "a":
-            links = 0
-    rest = page[at:]
-    text(rest[: rest.index("<")] if "<" in rest and re.match(r"[a-zA-Z/!]", rest[rest.index("<") + 1 :][:1] or " ") else rest)
+            block = name in BLOCK or name in ASIDE
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    leave(i)
+                    break
+                # An inline end tag reaches no further than its block, others not out of a table's cell.
+                if not block and (stack[i][0] in BLOCK or stack[i][0] in ASIDE):
+                    break
+                if stack[i][0] in ("td", "th", "caption") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+                    break
+            continue
+        if name in ENDS_P and (depth := innermost(("p",), SHIELDS["p"])) is not None:
+            leave(depth)
+        if name in ENDED_BY:
+            ended = ENDED_BY[name]
+            if name[0] == "h":
+                ended = ended if stack and stack[-1][0] in ended else ()
+            if ended and (depth := innermost(ended, SHIELDS.get(name, ()))) is not None:
+                leave(depth)
+        if name in VOID or attributes.endswith("/"):
+            continue
+        # a page header stands beside the text, that of an article holds its title
+        hides = int(name in ASIDE or name == "header" and not articles or bool(_HIDDEN.search(attributes)))
+        if not hides and marks and _marked(name, attributes):
+            hides = 2
+        is_article = name in ("article", "main")
+        if is_article:
+            if not seen_article and not any(h == 1 for _, h, _ in stack):
+                # No mark removes the first article, or what it stands in.
+                hides = 0 if hides == 2 else hides
+                for element in stack:
+                    hidden -= element[1] == 2
+                    element[1] = 0 if element[1] == 2 else element[1]
+            seen_article = True
+        stack.append([name, hides, is_article])
+        opened[name] += 1
+        hidden += hides > 0
+        if is_article:
+            articles += 1
+            now.inside = True
+        elif name == "a" and not hidden:
+            links = 1
+            now.links += 1
     close()
     return out
 
@@ -218,10 +347,22 @@ def _follow(found: list[tuple[Block, str]], labels: list[bool | None], at: list[
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    """Main text of the page, one block a line; empty for a null or empty page."""
+    """Main text of the page, one block a line; empty for a null or empty page.
+
+    A page of any length or disorder is read in one scan. Where marks leave nothing but hide the text of an
+    article's length, they are left aside.
+    """
     if not page:
         return ""
-    found = [(b, _SPACE.sub(" ", "".join(b.texts)).strip()) for b in blocks_of(page)]
+    text = _main_text(page, rules, True)
+    if not text:
+        unmarked = _main_text(page, rules, False)
+        text = unmarked if len(unmarked) >= rules.article_chars else ""
+    return text
+
+
+def _main_text(page: str, rules: Rules, marks: bool) -> str:
+    found = [(b, _SPACE.sub(" ", "".join(b.texts)).strip()) for b in blocks_of(page, marks)]
     found = [(b, t) for b, t in found if t]
     usual = _stop_density(" ".join(t for _, t in found))
     labels = [decide(t, b, rules, b.inside, usual) for b, t in found]
@@ -241,7 +382,8 @@ def extract(pages: DataFrame, html_column: str = "html", rules: Rules = Rules())
     """``pages`` with the column ``text``; a column of that name is replaced.
 
     Null and empty pages give an empty text, any row gives one row, and other columns (nulls,
-    repeated ids) pass through untouched.
+    repeated ids) pass through untouched. Very long and broken pages take time in proportion to
+    their length.
     """
     @F.pandas_udf("string")
     def text(pages):

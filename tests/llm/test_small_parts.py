@@ -1,3 +1,4 @@
+import time
 """Single parts: segments, plans, codes, trees, blocks of pages."""
 
 import random
@@ -218,6 +219,44 @@ def test_an_article_is_one_feature_of_a_block():
     assert html.main_text(f"<article><p>{PROSE}</p><p>So it was.</p></article><div>A short line.</div>") == f"{PROSE}\nSo it was."
 
 
+@pytest.mark.parametrize("page", [
+    "<article><p class=notice>Cookies<p>{0}<p>{0}</article>", "<ul><li class=share>Tweet<li>item</ul><p>{0}<p>{0}",
+    "<div class='content no-sidebar'><p>{0}</p><p>{0}</p></div>", "<article class='post comments-open'><p>{0}</p><p>{0}</p></article>",
+    "<div class='search-result-article'><p>{0}</p><p>{0}</p></div>", "<div id='main' class='has-sidebar'><p>{0}</p><p>{0}</p></div>",
+    "<section class='story ad-free'><p>{0}</p><p>{0}</p></section>", "<div class=ad>Buy</div></div><p>{0}</p><p>{0}</p>",
+    "<div><div class=ad>Buy now</div><p>{0}</p></div><p>{0}</p>", "<div><div class=ad>Buy now</section></div><p>{0}</p><p>{0}</p>",
+    "<div class=widget><main><p>{0}</p><p>{0}</p></main></div>", "<table><tr><td class=ad>Buy<td><p>{0}<p>{0}</table>",
+    "<main><p>{0}</p><p>{0}</p></main><div class='comment-list'><article class=comment><p>{0} Me too.</p></article></div>",
+    "<nav><ul><li>Home<li>News</ul></nav><p>{0}</p><p>{0}</p><footer><p>{0}</footer>", "<dl><dt class=promo>Sale<dd>now</dl><p>{0}<p>{0}",
+])
+def test_marks_and_missing_end_tags_cost_no_article(page):
+    lines = [t for t in html.main_text(page.format(PROSE)).split("\n") if t not in ("item", "now")]
+    assert lines == [PROSE, PROSE]
+
+
+def test_an_advert_that_never_ends_leaves_the_article():
+    text = html.main_text(f"<article><div class=ad>Buy<p>{PROSE}</p><p>{PROSE}</p></article>")
+    assert text.split("\n")[-2:] == [PROSE, PROSE]
+
+
+def test_broken_pages_take_one_scan():
+    start = time.monotonic()
+    for piece in ("<a href='", "<script ", "<script>", "<!-- ", "<", "<p title=\"", "<div class=ad>", "</p>", "<li>", "&amp;", "'<b>\"", "<svg", "<td><p>"):
+        page = f"<p>{PROSE}</p>" + piece * (1_000_000 // len(piece))
+        assert html.main_text(page).startswith(PROSE[:40]), piece
+    assert time.monotonic() - start < 60
+
+
+def test_tags_are_cut_as_written():
+    """Random markup: what stands between the tags, read back in order, is the page without them."""
+    rnd = random.Random(3)
+    for _ in range(200):
+        parts = [rnd.choice(["word ", "<b>", "</b>", "<i a='>'>", "<img src=x>", "a < b", "<!-- <p> -->", "<script>if (a<b) {}</script>", "&lt;", "5 > 4 "]) for _ in range(30)]
+        texts = [t for t, *_ in html._tags("".join(parts))]
+        want = "".join(" " if p.startswith(("<!--", "<script")) else "" if p[0] == "<" else p for p in parts)
+        assert "".join(texts) == want
+
+
 def test_odd_pages(spark):
     assert [html.main_text(p) for p in (None, "", "   ", "<", "<p", "plain", "a < b & c", "<script>x", "<p>x</p", "<div><div><p>deep")] == [
         "", "", "", "<", "", "plain", "a < b & c", "", "x", "deep",
