@@ -161,6 +161,24 @@ def test_top_k_is_exact(spark):
     assert mtree.top_k(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_top_k_of_vectors_of_several_lengths_and_sizes(spark):
+    """Each length is searched alone; components beyond exact floating point still give exact products."""
+    rnd = np.random.default_rng(9)
+    rows = [(i, rnd.integers(-50, 50, 4 if i % 3 else 7).tolist()) for i in range(120)]
+    rows += [(200 + i, (rnd.integers(-(1 << 29), 1 << 29, 4)).tolist()) for i in range(30)] + [(300, [])]
+    vectors = spark.createDataFrame(rows, "id bigint, v array<bigint>")
+    asked = vectors.filter("id % 20 = 0")
+    got = {}
+    for r in mtree.top_k(vectors, asked, 5, tree_rows=40, block_queries=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    expected = {}
+    for i, q in rows:
+        if i % 20 == 0 and q:
+            scores = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in rows if j != i and len(x) == len(q))[:5]
+            expected[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert {q: sorted(r) for q, r in got.items()} == expected
+
+
 def test_search_skips_distances():
     rnd = np.random.default_rng(8)
     centres = rnd.normal(size=(60, 8)) * 4000
