@@ -153,6 +153,18 @@ _PENALTIES = " UNION ALL ".join(
 )
 
 
+def penalty_grid(spark, sf):
+    """Errors of ridge and lasso over their full penalty grids on all predictors, from one pass; ``penalty_search`` checks them."""
+    df = complete_rows(FO.entity_folds(_data(spark, sf), "grid_id", 5))
+    scaled = L.Standardizer(T.PREDICTORS).fit(df).transform(df)
+    moments = L.fold_moments(scaled, T.PREDICTORS, "ln_elec_kwh", "fold", 5)
+    rows = []
+    for kind, alphas in (("ridge", L.RIDGE_ALPHAS), ("lasso", L.LASSO_ALPHAS)):
+        found = L.grid_search(scaled, T.PREDICTORS, "ln_elec_kwh", "fold", kind, alphas, moments=moments)
+        rows += [(kind, float(a), float(v)) for a, v in found.cv_mse.items()]
+    return spark.createDataFrame(rows, "model string, alpha double, cv_mse double")
+
+
 @query("penalty_search", _PENALTIES)
 def penalty_search(spark, sf):
     """Ridge and lasso over their full penalty grids on all predictors, from one pass.
