@@ -356,6 +356,16 @@ def _groups(base: DataFrame, models: dict[str, Model], subsets: list[str], alias
     return found
 
 
+def _level_counts(stack: DataFrame, effects: list[str], cluster: str | None) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each group of rows and effect (-1: the cluster) its levels, and its pairs of level and cluster."""
+    found = {}
+    for i, a in enumerate(effects + ([cluster] if cluster else [])):
+        pairs = stack.groupBy("grp", *dict.fromkeys([a, cluster or a])).agg(F.count(F.lit(1)).alias("c"))
+        per = pairs.groupBy("grp", a).agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("homes"))
+        found |= {(r["grp"], -1 if i == len(effects) else i): (r["n"], r["homes"]) for r in per.collect()}
+    return found
+
+
 def _fit(
     base, target, models, effects, subsets, alias, effect_alias, keys, vcov, cutoff_km, metric, pixel_km, small_sample, dummy_levels,
     count_nested,
@@ -368,6 +378,7 @@ def _fit(
         F.explode(member).alias("grp"), *effect_alias.values(), *keys,
         *[F.when(_present(v), F.col(v)).otherwise(0.0).alias(v) for v in values],
     )
+    stack = checkpointed(stack)
     facts = {
         r["grp"]: r
         for r in stack.groupBy("grp").agg(
@@ -376,17 +387,7 @@ def _fit(
     }
     if len(facts) < len(groups):
         raise ValueError("no complete rows for " + ", ".join(n for n, g in group_of.items() if g not in facts))
-    # Distinct (group, effect, level, cluster) first, so that counting needs no row twice.
-    of = F.col(keys[0]).cast("string") if vcov == "cluster" else F.lit("")
-    tall = stack.select("grp", F.explode(F.array(
-        *[F.struct(F.lit(i).alias("e"), F.col(a).cast("string").alias("level"), of.alias("of")) for i, a in enumerate(effect_alias.values())],
-        F.struct(F.lit(-1).alias("e"), of.alias("level"), F.lit("").alias("of")),
-    )).alias("l")).select("grp", "l.*").distinct()
-    sizes = {
-        (r["grp"], r["e"]): (r["n"], r["homes"])
-        for r in tall.groupBy("grp", "e", "level").agg(F.count(F.lit(1)).alias("c")).groupBy("grp", "e")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("homes")).collect()
-    }
+    sizes = _level_counts(stack, list(effect_alias.values()), keys[0] if vcov == "cluster" else None)
     most = [max(sizes[g, i][0] for g in range(len(groups))) for i in range(len(effects))]
     large = [0, *[i for i in range(1, len(effects)) if most[i] > dummy_levels]]
     dummies: list[str] = []
@@ -443,7 +444,7 @@ def _fit(
             meat = spatial_meat(sums, names, cutoff_km, *keys, metric=metric, pixel_km=pixel_km)
     elif vcov not in ("iid", "cluster", "conley"):
         raise ValueError(vcov)
-    release(work)
+    release(work, stack)
 
     fits = {}
     for i, (name, s) in enumerate(solved.items()):
