@@ -126,7 +126,7 @@ def conversation_repair(spark, sf_dir):
     return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
 
 
-@query("op11_suffix_array_dedup")
+@query("op11_suffix_array_dedup", suffixes.ORACLE)
 def suffix_array_dedup(spark, sf_dir):
     kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

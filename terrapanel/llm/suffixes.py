@@ -332,3 +332,20 @@ def remove_repeats(
     marks = found.join(answers, ["anchor", "digest"]).groupBy("chunk").agg(F.collect_list(F.struct("start", "windows", "bits")).alias("marks"))
     told = laid.join(marks, "chunk", "left").select("marks", *_PARTS)
     return told.mapInArrow(_remove(window), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+#: Windows are grouped by their hash; runs of their starts are the removed bytes.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + {WINDOW - 1}]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - {WINDOW - 2})) AS i FROM d)),
+s AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, i, sum(CASE WHEN i <= p + {WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM s)),
+runs AS (SELECT r, k, min(i) AS a, max(i) + {WINDOW - 1} AS z FROM g GROUP BY 1, 2),
+cut AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, count(*) AS n_spans, sum(z - a + 1) AS n_removed FROM runs GROUP BY 1)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN a IS NULL THEN b ELSE list_reduce(list_transform(range(0, len(a) + 1), lambda j: CASE
+    WHEN CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END > CASE WHEN j = len(a) THEN octet_length(b) ELSE a[j + 1] - 1 END THEN ''::BLOB
+    ELSE b[CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END : CASE WHEN j = len(a) THEN octet_length(b) ELSE a[j + 1] - 1 END] END), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
