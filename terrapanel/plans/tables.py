@@ -109,7 +109,7 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").alias("grid_id"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), day.alias("day"))
         .agg(
             F.sum(_cents("l_extendedprice")).alias("price"),
-            F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("quantity"),
+            F.sum("l_quantity").alias("quantity"),  # whole numbers, so exact in any order
             F.sum(_cents("l_tax")).alias("tax"),
             F.min("l_discount").alias("discount"),
             F.count(F.lit(1)).alias("n"),
@@ -126,7 +126,7 @@ def panel_and_days(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.sum("n")
     measures = stored.groupBy("grid_id", "year", "month").agg(
         (F.sum("price").cast("double") / 100).alias("elec_kwh"),
-        (F.sum("quantity").cast("double") / n * 2).alias("rhu"),
+        (F.sum("quantity") / n * 2).alias("rhu"),
         (F.sum("tax").cast("double") * 10 / n).alias("prec"),
         (F.min("discount") * 9).alias("canopy_share"),
         n.alias("population"),
