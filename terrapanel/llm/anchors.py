@@ -227,3 +227,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     later = checkpointed(_by_chunk(blocks.groupBy("bucket").applyInArrow(_later, _ANSWER_DDL), "later"))
     told = laid.join(shared, "chunk", "left").join(later, "chunk", "left").select("anchors", "later", *_PARTS)
     return told.mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, text string")
+
+
+#: Windows of 13 words with the smallest document of each; runs of later ones are the removed words.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+s AS (SELECT r, i FROM p JOIN (SELECT k, min(doc_id) AS least FROM p GROUP BY 1) USING (k) WHERE least < doc_id OR doc_id IS NULL AND least IS NOT NULL),
+g AS (SELECT r, i, sum(CASE WHEN i <= q + 13 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS n
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS q FROM s)),
+runs AS (SELECT r, min(i) AS a, max(i) + 12 AS z FROM g GROUP BY r, n),
+cut AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, CAST(sum(z - a + 1) AS BIGINT) AS n_removed FROM runs GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(array_to_string(CASE WHEN a IS NULL THEN w ELSE flatten(list_transform(
+  range(0, len(a) + 1), lambda j: w[CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END : CASE WHEN j = len(a) THEN len(w) ELSE a[j + 1] - 1 END])) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

@@ -49,7 +49,7 @@ def html_text(spark, sf_dir):
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", anchors.ORACLE)
 def substring_dedup(spark, sf_dir):
     kept = anchors.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
