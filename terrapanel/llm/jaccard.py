@@ -222,17 +222,20 @@ def link(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, recall
     """
     bands = band_count(threshold, recall, rows)
     signed = checkpointed(signatures(docs, gram, bands, rows))
+    # the row of the least id stands for its class, null ids last
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *_IDENTITY)
     classes = signed.filter("size > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")
+        F.min(place).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
+    classes = classes.select("h1", "h2", "row.doc_id", *[F.col(f"row.{c}") for c in _IDENTITY], "copies", "size", "bands")
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
     groups = checkpointed(components(bucket_edges(classes)))
     members = groups.join(classes.drop("bands"), "node")
-    tiles = _tiles(checkpointed(members), threshold, tile)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = members.select("node", "doc_id", "h1", "h2")
-    # a class's text is any row with its least id; rows of that id with another set are told apart by the hash
-    sets = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.doc_id)).select("node", "h1", "h2", "text")
+    tiles = _tiles(checkpointed(members.drop(*_IDENTITY)), threshold, tile)
+    texts = docs.select(*identity("doc_id", "text"), F.col("text").cast("string").alias("text"))
+    wanted = members.select("node", *_IDENTITY, "h1", "h2")
+    # a class's text is that of its row, found by what names it; the hash of the set confirms it
+    sets = texts.join(wanted.hint("merge"), _IDENTITY).select("node", "h1", "h2", "text")
 
     def grams_of(batches):
         known = WordHashes()

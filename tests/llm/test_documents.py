@@ -66,6 +66,15 @@ def test_links(awkward, nothing, tile):
         assert jaccard.link(nothing).count() == 0
 
 
+def test_rows_without_id_meet_only_their_like(spark):
+    """Thousands of different texts of null id, in time as if they had ids, with some copies among them."""
+    words = [" ".join(f"w{(i * 31 + j * j * 7) % 9973}" for j in range(40)) for i in range(5000)]
+    rows = [(None, t) for t in words] + [(None, t) for t in words[:50]] + [(7, words[3]), (8, words[60] + " more")]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id int, text string").repartition(6)).select("doc_id", "class_id", "n_links").collect()
+    assert len(got) == len(rows) and sum(r.n_links > 0 for r in got) == 2 * 50 + 1 + 2
+    assert sorted(r.class_id for r in got if r.class_id is not None) == [7, 7, 7, 8, 8]
+
+
 def test_keep_one_of_each_class(awkward):
     rows, _, docs = awkward
     kept = jaccard.keep_one(docs)
