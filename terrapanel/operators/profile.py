@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.scalars import columns_matching, columns_of, nan_to_null, row_sum
-from terrapanel.operators.quantiles import exact_quantiles, exact_quantiles_by
+from terrapanel.operators.quantiles import beside, exact_quantiles, exact_quantiles_by
 
 
 def unpivot_columns(
@@ -185,27 +185,29 @@ def histogram_counts(df: DataFrame, value: Column, bins: int = 50, name: str = "
 
 
 def box_statistics(df: DataFrame, columns: Sequence[str], by: str = "year") -> DataFrame:
-    """Quartiles and whiskers at 1.5 IQR, the whisker being the last value inside."""
+    """Quartiles and whiskers at 1.5 IQR, the whisker being the last value inside.
+
+    One row a group holds the fences of all columns, so the table itself is neither unpivoted nor shuffled whole.
+    """
     q = exact_quantiles_by(df, [by], columns, [0.25, 0.5, 0.75])
-    parts = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            F.col(c)[0].alias("q25"),
-            F.col(c)[1].alias("median"),
-            F.col(c)[2].alias("q75"),
-        )
-        for c in columns
-    ]
-    quartiles = q.select(by, F.inline(F.array(*parts)))
-    iqr = F.col("q75") - F.col("q25")
-    fences = quartiles.withColumns({"lo": F.col("q25") - 1.5 * iqr, "hi": F.col("q75") + 1.5 * iqr})
-    inside = unpivot_columns(df, columns, [by]).join(fences, [by, "variable"])
-    whiskers = inside.groupBy(by, "variable").agg(
-        F.min(F.when(F.col("value") >= F.col("lo"), F.col("value"))).alias("whisker_low"),
-        F.max(F.when(F.col("value") <= F.col("hi"), F.col("value"))).alias("whisker_high"),
-        F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outliers"),
-    )
-    return quartiles.join(whiskers, [by, "variable"])
+    named = q.select(F.col(by), *[F.col(f"`{c}`").alias(f"_q{i}") for i, c in enumerate(columns)])
+    values = nan_to_null(df.select(by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)]))
+    parts, aggs = [], []
+    for i, c in enumerate(columns):
+        v, three = F.col(f"_v{i}"), F.col(f"_q{i}")
+        reach = 1.5 * (three[2] - three[0])
+        low, high = three[0] - reach, three[2] + reach
+        aggs += [
+            F.min(F.when(v >= low, v)).alias(f"_l{i}"), F.max(F.when(v <= high, v)).alias(f"_h{i}"),
+            F.count_if((v < low) | (v > high)).alias(f"_o{i}"),
+        ]
+        parts.append(F.struct(
+            F.lit(c).alias("variable"), three[0].alias("q25"), three[1].alias("median"), three[2].alias("q75"),
+            F.col(f"_l{i}").alias("whisker_low"), F.col(f"_h{i}").alias("whisker_high"), F.col(f"_o{i}").alias("outliers"),
+        ))
+    found = beside(values, named, [by]).groupBy(by).agg(*aggs)
+    rows = beside(found, named, [by]).select(by, F.inline(F.array(*parts)))
+    return rows.filter(F.col("q25").isNotNull())
 
 
 def mean_by_family(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from terrapanel.session import checkpointed
 
+#: Values of one bracket, and of all brackets of one job, that a task may gather.
 GATHER_LIMIT = 200_000
+GATHER_TOTAL = 4_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -62,6 +64,19 @@ def first_row_of(df: DataFrame, aggs: list[Column]) -> list:
     return out
 
 
+def _bounded(items: list, sizes: list[int], most: int = 0) -> list[list]:
+    """Consecutive items whose sizes add up to ``most`` (by default ``GATHER_TOTAL``) or stand alone."""
+    out: list[list] = []
+    total = 0
+    for item, size in zip(items, sizes):
+        if not out or total + size > (most or GATHER_TOTAL):
+            out.append([])
+            total = 0
+        out[-1].append(item)
+        total += size
+    return out
+
+
 def _solve(df: DataFrame, targets: list[_Target], limit: int) -> None:
     while True:
         active = [t for t in targets if not t.done]
@@ -71,14 +86,15 @@ def _solve(df: DataFrame, targets: list[_Target], limit: int) -> None:
         if small:
             intervals = sorted({(t.column, t.low, t.high) for t in small}, key=str)
             lookup = {key: [t for t in small if (t.column, t.low, t.high) == key] for key in intervals}
-            aggs = []
-            for key in intervals:
-                group = lookup[key]
-                ordered = F.sort_array(F.collect_list(_inside(group[0])))
-                aggs.append(F.array(*[F.get(ordered, F.lit(t.rank - t.below)) for t in group]))
-            for key, values in zip(intervals, first_row_of(df, aggs)):
-                for t, v in zip(lookup[key], values):
-                    t.value = v
+            for some in _bounded(intervals, [lookup[key][0].size for key in intervals]):
+                aggs = []
+                for key in some:
+                    group = lookup[key]
+                    ordered = F.sort_array(F.collect_list(_inside(group[0])))
+                    aggs.append(F.array(*[F.get(ordered, F.lit(t.rank - t.below)) for t in group]))
+                for key, values in zip(some, first_row_of(df, aggs)):
+                    for t, v in zip(lookup[key], values):
+                        t.value = v
         large = [t for t in active if t.size > limit]
         if large:
             margin = 2.0 / SKETCH_ACCURACY
@@ -173,7 +189,7 @@ def _match(keys: Sequence[str], tag: str) -> Column:
     return cond
 
 
-def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join on keys that may be null; the columns of ``left`` and those of ``right`` beyond the keys."""
     more = [c for c in right.columns if c not in keys]
     joined = left.alias("l").join(right.alias("r"), _match(keys, "r"), "left")
@@ -228,7 +244,7 @@ def exact_quantiles_by(
     keys, columns = list(keys), list(columns)
     if len(columns) > GROUP_COLUMNS:
         head = exact_quantiles_by(df, keys, columns[:GROUP_COLUMNS], probs, limit)
-        return _beside(head, exact_quantiles_by(df, keys, columns[GROUP_COLUMNS:], probs, limit), keys)
+        return beside(head, exact_quantiles_by(df, keys, columns[GROUP_COLUMNS:], probs, limit), keys)
     ks, ts = range(len(columns)), range(2 * len(probs))
     clean = df.select(*keys, *[_value(c).alias(f"v{i}") for i, c in enumerate(columns)])
     margin = 2.0 / SKETCH_ACCURACY
@@ -249,20 +265,20 @@ def exact_quantiles_by(
     cuts = len(near)
     while True:
         state = checkpointed(state)
-        rows = _beside(clean, state.select(*keys, *[f"cuts{c}" for c in ks]), keys)
+        rows = beside(clean, state.select(*keys, *[f"cuts{c}" for c in ks]), keys)
         at = lambda c, j: F.get(F.col(f"cuts{c}"), F.lit(j))
         sums = {}
         for c in ks:
             for name, holds in (("less", lambda v, x: v < x), ("upto", lambda v, x: v <= x)):
                 sums[f"{name}{c}"] = F.array(*[F.count_if(holds(F.col(f"v{c}"), at(c, j))) for j in range(cuts)])
         counts = rows.groupBy(*keys).agg(*[a.alias(n) for n, a in sums.items()])
-        beside = _beside(state, counts, keys)
+        counted = beside(state, counts, keys)
         trimmed = {f"{n}{c}": F.slice(f"{n}{c}", F.lit(1), F.size(f"cuts{c}")) for c in ks for n in ("less", "upto")}
-        state = checkpointed(beside.withColumns(trimmed).select(*keys, *[f"n{c}" for c in ks], *[_narrowed(c).alias(f"t{c}") for c in ks]))
+        state = checkpointed(counted.withColumns(trimmed).select(*keys, *[f"n{c}" for c in ks], *[_narrowed(c).alias(f"t{c}") for c in ks]))
         largest = F.greatest(F.lit(0), *[F.max(F.array_max(F.transform(f"t{c}", lambda t: F.when(t["value"].isNull(), t["size"])))) for c in ks])
         if (state.agg(largest).first()[0] or 0) <= limit:
             break
-        rows = _beside(clean, state.select(*keys, *[f"t{c}" for c in ks]), keys)
+        rows = beside(clean, state.select(*keys, *[f"t{c}" for c in ks]), keys)
         grid = [i / GRID for i in range(GRID + 1)]
         inner = rows.groupBy(*keys).agg(*[
             F.percentile_approx(_within(F.col(f"v{c}"), F.col(f"t{c}")[t]), grid, 8 * GRID).alias(f"g{c}_{t}") for c in ks for t in ts
@@ -277,13 +293,13 @@ def exact_quantiles_by(
             return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
         cuts = 4 * len(ts)
-        state = _beside(state, inner, keys).withColumns({f"cuts{c}": chosen(c) for c in ks})
+        state = beside(state, inner, keys).withColumns({f"cuts{c}": chosen(c) for c in ks})
         state = state.select(*keys, *[f"n{c}" for c in ks], *[f"t{c}" for c in ks], *[f"cuts{c}" for c in ks])
-    rows = _beside(clean, state.select(*keys, *[f"t{c}" for c in ks]), keys)
+    rows = beside(clean, state.select(*keys, *[f"t{c}" for c in ks]), keys)
     held = rows.groupBy(*keys).agg(*[
         F.sort_array(F.collect_list(_within(F.col(f"v{c}"), F.col(f"t{c}")[t]))).alias(f"h{c}_{t}") for c in ks for t in ts
     ])
-    both = _beside(state, held, keys)
+    both = beside(state, held, keys)
 
     def result(c: int) -> Column:
         def value(t: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators import correlation as C
 from terrapanel.operators import folds as FO
+from terrapanel.operators import profile as PR
 from terrapanel.operators import quantiles as Q
 from terrapanel.operators import sampling as S
 
@@ -74,6 +75,26 @@ def test_quantiles_by_group_collect_nothing_that_grows(spark, monkeypatch):
     assert all(n <= 1 for n in seen) and out.count() == 500
 
 
+def test_gathering_is_bounded_in_total():
+    assert Q._bounded(list("abcde"), [3, 3, 3, 9, 1], 6) == [["a", "b"], ["c"], ["d"], ["e"]]
+    assert Q._bounded([], []) == []
+
+
+def test_box_statistics_by_group(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), rng.choice([rng.gauss(0, 1), rng.gauss(0, 9), None, float("nan")]), rng.random()) for _ in range(600)]
+    df = spark.createDataFrame(rows + [(3, None, 1.0)], "year int, v double, w double")
+    got = {(r.year, r.variable): r for r in PR.box_statistics(df, ["v", "w"]).collect()}
+    assert (3, "v") not in got and len(got) == 7
+    for key in (1, 2, None):
+        mine = np.array([v for k, v, _ in rows if k == key and v is not None and v == v])
+        q1, mid, q3 = np.quantile(mine, [0.25, 0.5, 0.75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        r = got[key, "v"]
+        assert (r.q25, r.median, r.q75) == pytest.approx((q1, mid, q3))
+        assert (r.whisker_low, r.whisker_high, r.outliers) == (mine[mine >= lo].min(), mine[mine <= hi].max(), ((mine < lo) | (mine > hi)).sum())
+
+
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert Q.exact_quantiles(df, ["v"], [0.5]) == {"v": [None]}
