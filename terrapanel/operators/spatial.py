@@ -491,36 +491,30 @@ def _grams(text: Column) -> Column:
 def first_name_match(
     needles: DataFrame, needle: str, haystack: DataFrame, hay: str, hay_order: str, literal: bool = True
 ) -> DataFrame:
-    """First row of ``haystack`` whose name contains the needle, ignoring case.
+    """First row of ``haystack`` whose name contains the needle, ignoring case; one row for each different row of needles.
 
-    Every substring whose length occurs among the needles becomes an equi-join key, so no
-    pair is ever tested that does not match. With ``literal=False`` the needle is a regular
-    expression: it is tried only on names that hold the rarest string of up to ``GRAM`` letters
-    that a match must contain. Patterns that require no string are tried on every distinct
-    name, a block of them at a time.
+    A needle is tried only on names that hold the rarest of its strings of ``GRAM`` letters (of a
+    shorter needle, itself); an empty one matches nothing. With ``literal=False`` it is a regular
+    expression and its strings are those that every match must contain. Patterns that require no
+    string are tried on every distinct name, a block of them at a time.
     """
-    want = needles.withColumn("_needle", F.lower(F.trim(F.col(needle))))
-    text = F.lower(F.col(hay))
-    first = F.min(F.struct(F.col(hay_order), F.col(hay)))
-    if literal:
-        lengths = [r[0] for r in want.select(F.length("_needle").alias("n")).distinct().collect()]
-        parts = F.array_distinct(F.flatten(F.array(*[_substrings(text, n) for n in lengths if n])))
-        pairs = want.join(haystack.withColumn("_needle", F.explode(parts)), "_needle")
-        found = pairs.groupBy(*needles.columns).agg(first.alias("m"))
-    else:
-        best = _first_by_pattern(want.select("_needle").distinct(), haystack, hay, hay_order)
-        found = want.join(best, "_needle").select(*needles.columns, "m")
-    return found.select(*needles.columns, F.col(f"m.{hay}").alias(hay), F.col(f"m.{hay_order}").alias(hay_order))
+    want = needles.distinct().withColumn("_needle", F.lower(F.trim(F.col(needle))))
+    best = _first_by_pattern(want.select("_needle").distinct(), haystack, hay, hay_order, literal)
+    return want.join(best, "_needle").select(*needles.columns, F.col(f"m.{hay}").alias(hay), F.col(f"m.{hay_order}").alias(hay_order))
 
 
-def _first_by_pattern(patterns: DataFrame, haystack: DataFrame, hay: str, hay_order: str) -> DataFrame:
-    """(_needle, m) with the first name that each pattern matches."""
+def _first_by_pattern(patterns: DataFrame, haystack: DataFrame, hay: str, hay_order: str, literal: bool) -> DataFrame:
+    """(_needle, m) with the first name that each pattern matches, or each literal is part of."""
     names = haystack.filter(F.col(hay).isNotNull()).groupBy(F.lower(F.col(hay)).alias("_text")).agg(
         F.min(F.struct(F.col(hay_order), F.col(hay))).alias("m")
     )
     names = checkpointed(names)
-    required = F.pandas_udf(lambda p: p.map(lambda x: sorted(set(required_literals(x)))), "array<string>")
-    asked = checkpointed(patterns.filter(F.col("_needle").isNotNull()).withColumn("_must", required("_needle")))
+    if literal:
+        must = F.array("_needle")
+        patterns = patterns.filter(F.length("_needle") > 0)
+    else:
+        must = F.pandas_udf(lambda p: p.map(lambda x: sorted(set(required_literals(x)))), "array<string>")("_needle")
+    asked = checkpointed(patterns.filter(F.col("_needle").isNotNull()).withColumn("_must", must))
     held = names.select("_text", "m", F.explode(_grams(F.col("_text"))).alias("g"))
     held = checkpointed(held)
     weight = held.groupBy("g").agg(F.count(F.lit(1)).alias("w"))
@@ -533,10 +527,10 @@ def _first_by_pattern(patterns: DataFrame, haystack: DataFrame, hay: str, hay_or
         F.first("_must").alias("_must"), F.min(F.struct(F.coalesce("w", F.lit(0)).alias("w"), "g")).alias("k")
     )
     tried = weighed.filter("k.w > 0").select("_needle", "_must", F.col("k.g").alias("g")).join(held, "g")
-    tried = tried.filter(F.forall("_must", lambda t: F.contains(F.col("_text"), t))).filter(F.expr("rlike(_text, _needle)"))
-    hits = tried.select("_needle", "m")
+    tried = tried.filter(F.forall("_must", lambda t: F.contains(F.col("_text"), t)))
+    hits = (tried if literal else tried.filter(F.expr("rlike(_text, _needle)"))).select("_needle", "m")
     free = asked.filter(F.size("_must") == 0).select("_needle")
-    n = free.count()
+    n = 0 if literal else free.count()
     if n:
         blocks = -(-n // PATTERN_BLOCK)
         block = F.pmod(F.xxhash64("_needle"), F.lit(blocks))
