@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from terrapanel.functions.scalars import complete_rows
 from terrapanel.session import checkpointed, release
 
-#: Points of a cell or strip, about, and rows compared at a time inside one.
+#: Points of a cell or strip, about, and points asked together inside a cell.
 CELL = 2000
-BLOCK = 256
+BLOCK = 32
 _SHIFT = 10
 
 
@@ -40,8 +40,10 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - series
 
 
-def _index(v: Column, cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < v))
+def _index(v: Column, cuts: Sequence[float]) -> Column:
+    """How many of the sorted cuts are less."""
+    held = np.array(cuts, dtype=float)
+    return F.pandas_udf(lambda x: pd.Series(np.searchsorted(held, x.to_numpy(dtype=float)).astype("int32")), "int")(v)
 
 
 def _cuts(df: DataFrame, column: str, parts: int) -> list[float]:
@@ -51,81 +53,120 @@ def _cuts(df: DataFrame, column: str, parts: int) -> list[float]:
     return sorted(set(df.agg(F.percentile_approx(column, probs, 8 * parts)).first()[0] or []))
 
 
-def _literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
+def _nearest(points: pd.DataFrame, asked: pd.DataFrame, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked point the distances of its nearest points, ascending, and their weights: ``k`` + 1 columns or fewer.
 
-
-def _nearest(points: pd.DataFrame, asked: pd.DataFrame, k: int, own: bool) -> list[tuple[list[float], list[int]]]:
-    """For each asked point the distances of its nearest points with their weights, up to ``k`` rows of them."""
+    Points asked together lie close by one another. A few points near their box bound the distances, and
+    only points within that bound of the box are compared.
+    """
     x, y, w = (points[c].to_numpy() for c in ("x", "y", "w"))
-    out = []
-    for lo in range(0, len(asked), BLOCK):
-        part = asked.iloc[lo : lo + BLOCK]
-        d = np.maximum(np.abs(x - part["x"].to_numpy()[:, None]), np.abs(y - part["y"].to_numpy()[:, None]))
-        m = min(k + 1, d.shape[1])
-        near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(m), (len(part), 1))
-        for row, at in zip(d, near):
-            at = at[np.argsort(row[at], kind="stable")]
-            weight = w[at].copy()
-            if own:  # a row is no neighbour of its own; its equals are
-                weight[np.argmin(row[at])] -= 1
-            out.append((row[at].tolist(), weight.tolist()))
-    return out
-
-
-def _kth(distance: Sequence[float], weight: Sequence[int], k: int) -> float:
-    seen = 0
-    for d, n in sorted(zip(distance, weight)):
-        seen += n
-        if seen >= k:
-            return float(d)
-    return math.inf
+    ax, ay = asked["x"].to_numpy(), asked["y"].to_numpy()
+    m = min(k + 1, len(x))
+    few = min(len(x), 4 * BLOCK + m)
+    strip = max(1, math.isqrt(len(ax) * BLOCK))
+    order = np.argsort(ax, kind="stable")
+    order = order[np.lexsort((ay[order], np.arange(len(ax)) // strip))]
+    distance, weight = np.empty((len(ax), m)), np.empty((len(ax), m), dtype=np.int64)
+    for lo in range(0, len(ax), BLOCK):
+        rows = order[lo : lo + BLOCK]
+        u, v = ax[rows, None], ay[rows, None]
+        away = np.maximum(np.maximum(u.min() - x, x - u.max()), np.maximum(v.min() - y, y - v.max()))
+        near = np.arange(len(x)) if few == len(x) else np.argpartition(away, few - 1)[:few]
+        d = np.maximum(np.abs(x[near] - u), np.abs(y[near] - v))
+        if few < len(x):
+            bound = np.partition(d, m - 1, axis=1)[:, m - 1].max()
+            # The gap to the box may be off in its last digit against the distance to a point.
+            near = np.flatnonzero(away <= bound * (1 + 1e-12))
+            d = np.maximum(np.abs(x[near] - u), np.abs(y[near] - v))
+        at = np.argpartition(d, m - 1, axis=1)[:, :m]
+        found = np.take_along_axis(d, at, 1)
+        sort = np.argsort(found, axis=1, kind="stable")
+        distance[rows] = np.take_along_axis(found, sort, 1)
+        weight[rows] = w[near[np.take_along_axis(at, sort, 1)]]
+    if own:  # a row is no neighbour of its own; its equals are
+        weight[:, 0] -= 1
+    return distance, weight
+
+
+def _kth(distance: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Distance at which each row's weights add up to ``k``; infinite if they do not."""
+    reached = np.cumsum(weight, axis=1) >= k
+    return np.where(reached.any(1), np.take_along_axis(distance, reached.argmax(1)[:, None], 1)[:, 0], math.inf)
+
+
+def _cells_abroad(p: pd.DataFrame, r: np.ndarray, xs: np.ndarray, cuts: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Of each point the other cells, as ``s << 32 | c``, that can hold something nearer than its radius."""
+    x, y, s, c = (p[n].to_numpy() for n in ("x", "y", "s", "c"))
+    first, last = np.searchsorted(xs, x - r), np.searchsorted(xs, x + r)
+    at, code = [], []
+    for t in range(int(first.min()), int(last.max()) + 1):
+        rows = np.flatnonzero((first <= t) & (t <= last))
+        if t not in cuts or not len(rows):
+            continue
+        low, high = np.searchsorted(cuts[t], y[rows] - r[rows]), np.searchsorted(cuts[t], y[rows] + r[rows])
+        n = high - low + 1
+        who = np.repeat(rows, n)
+        cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        other = (s[who] != t) | (c[who] != cell)
+        at.append(who[other])
+        code.append((np.int64(t) << 32) + cell[other])
+    if not at:
+        return [np.empty(0, np.int64)] * len(p)
+    at, code = np.concatenate(at), np.concatenate(code)
+    order = np.argsort(at, kind="stable")
+    return np.split(code[order], np.cumsum(np.bincount(at, minlength=len(p)))[:-1])
 
 
 def neighbour_radius(points: DataFrame, k: int = 3, cell: int = CELL) -> DataFrame:
     """Adds to distinct weighted points (id, x, y, w) the distance r of the k-th neighbour; infinite with fewer rows."""
     n = points.count()
     strips = max(1, math.isqrt(max(1, n // cell)))
-    xs = _literal(_cuts(points, "x", strips))
+    xs = np.array(_cuts(points, "x", strips))
     striped = points.withColumn("s", _index(F.col("x"), xs))
     largest = striped.groupBy("s").count().agg(F.max("count")).first()[0] or 0
     parts = max(1, -(-largest // cell))
     probs = [i / parts for i in range(1, parts)]
-    # one row a strip, with its cuts of the other axis
+    # one row a strip, with its cuts of the other axis: a number a cell
     cut = (
         striped.groupBy("s").agg(F.array_distinct(F.percentile_approx("y", probs, 8 * parts)).alias("cuts"))
         if parts > 1 else striped.select("s").distinct().withColumn("cuts", F.array().cast("array<double>"))
     )
-    cut = checkpointed(cut)
-    placed = checkpointed(striped.join(cut, "s").withColumn("c", _index(F.col("y"), F.col("cuts"))).drop("cuts"))
-    schema = "id long, x double, y double, w long, s int, c int, d array<double>, dw array<long>, r double"
+    cuts = {r["s"]: np.array(r["cuts"], dtype=float) for r in cut.collect()}
+
+    def part(s: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.zeros(len(s), dtype="int32")
+        for t in s.unique():
+            mine = (s == t).to_numpy()
+            out[mine] = np.searchsorted(cuts[t], y.to_numpy(dtype=float)[mine])
+        return pd.Series(out)
+
+    placed = checkpointed(striped.withColumn("c", F.pandas_udf(part, "int")("s", "y")))
+    schema = "id long, x double, y double, w long, d array<double>, dw array<long>, r double, abroad array<long>"
 
     def inside(p: pd.DataFrame) -> pd.DataFrame:
-        found = _nearest(p, p, k, own=True)
-        out = p[["id", "x", "y", "w", "s", "c"]].copy()
-        out["d"], out["dw"] = [list(f[0]) for f in found], [list(f[1]) for f in found]
-        out["r"] = [_kth(*f, k) for f in found]
+        d, w = _nearest(p, p, k, own=True)
+        out = p[["id", "x", "y", "w"]].copy()
+        out["d"], out["dw"], out["r"] = list(d), list(w), _kth(d, w, k)
+        out["abroad"] = _cells_abroad(p, out["r"].to_numpy(), xs, cuts)
         return out
 
     local = checkpointed(placed.groupBy("s", "c").applyInPandas(inside, schema))
-    # Other cells that can hold something nearer than the radius found at home.
-    first, last = _index(F.col("x") - F.col("r"), xs), _index(F.col("x") + F.col("r"), xs)
-    abroad = local.select("id", "x", "y", "w", "r", F.col("s").alias("s0"), F.col("c").alias("c0"), F.explode(F.sequence(first, last)).alias("s"))
-    abroad = abroad.join(cut, "s")
-    low, high = _index(F.col("y") - F.col("r"), F.col("cuts")), _index(F.col("y") + F.col("r"), F.col("cuts"))
-    abroad = abroad.withColumn("c", F.explode(F.sequence(low, high))).filter((F.col("s") != F.col("s0")) | (F.col("c") != F.col("c0")))
+    settled = local.filter(F.size("abroad") == 0).select("id", "x", "y", "w", "r")
+    unsettled = local.filter(F.size("abroad") > 0)
 
     def visit(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "d": pd.Series(dtype=object), "dw": pd.Series(dtype=object)})
-        found = _nearest(p, q, k, own=False)
-        return pd.DataFrame({"id": q["id"].to_numpy(), "d": [list(f[0]) for f in found], "dw": [list(f[1]) for f in found]})
+        d, w = _nearest(p, q, k, own=False)
+        return pd.DataFrame({"id": q["id"].to_numpy(), "d": list(d), "dw": list(w)})
 
-    asked = abroad.select("s", "c", "id", "x", "y")
+    asked = unsettled.select("id", "x", "y", F.explode("abroad").alias("_go")).select(
+        F.shiftright("_go", 32).cast("int").alias("s"), F.col("_go").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("c"), "id", "x", "y"
+    )
     answers = placed.select("s", "c", "x", "y", "w").groupBy("s", "c").cogroup(asked.groupBy("s", "c")).applyInPandas(
         visit, "id long, d array<double>, dw array<long>"
     )
-    every = local.select("id", "d", "dw").unionByName(answers).select("id", F.explode(F.arrays_zip("d", "dw")).alias("e"))
+    every = unsettled.select("id", "d", "dw").unionByName(answers).select("id", F.explode(F.arrays_zip("d", "dw")).alias("e"))
     # Per point at most k + 1 entries of each cell visited.
     lists = every.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("e.d", "e.dw"))).alias("e"))
     reached = F.aggregate(
@@ -133,14 +174,14 @@ def neighbour_radius(points: DataFrame, k: int = 3, cell: int = CELL) -> DataFra
         lambda a, e: F.struct((a["n"] + e["dw"]).alias("n"), F.when((a["n"] < k) & (a["n"] + e["dw"] >= k), e["d"]).otherwise(a["r"]).alias("r")),
     )
     out = lists.select("id", F.coalesce(reached["r"], F.lit(math.inf)).alias("r"))
-    return points.join(out, "id")
+    return settled.unionByName(unsettled.select("id", "x", "y", "w").join(out, "id"))
 
 
 def axis_counts(points: DataFrame, axis: str, output: str, strip: int = CELL) -> DataFrame:
     """Adds to weighted points with radius r how many other rows lie nearer than r on one axis (as near, where r is 0)."""
     values = checkpointed(points.groupBy(F.col(axis).alias("v")).agg(F.sum("w").alias("w")))
     n = values.count()
-    cuts = _literal(_cuts(values, "v", max(1, n // strip)))
+    cuts = _cuts(values, "v", max(1, n // strip))
     dealt = values.withColumn("s", _index(F.col("v"), cuts))
     # one row a strip
     totals = dealt.groupBy("s").agg(F.sum("w").alias("w")).orderBy("s").collect()
@@ -156,10 +197,12 @@ def axis_counts(points: DataFrame, axis: str, output: str, strip: int = CELL) ->
     for side, sign in ((0, -1.0), (1, 1.0)):
         part = asked.withColumns({"s": _index(F.col("v") + F.lit(sign) * F.col("r"), cuts), "side": F.lit(side)})
         both = part if both is None else both.unionByName(part)
-    # Strips with many questions are asked by several tasks.
-    salts = max(1, 2 * points.count() // (100 * strip))
-    both = both.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    held = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    # A strip with many questions is asked by several tasks, so that its values are copied once for every 100 strips of questions.
+    both = checkpointed(both)
+    salts = both.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / F.lit(100 * strip)).alias("salts"))
+    salts = F.broadcast(checkpointed(salts))  # one row a strip
+    both = both.join(salts, "s").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
+    held = dealt.join(salts, "s").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts")
 
     def count(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if q.empty:

@@ -56,3 +56,33 @@ def test_degenerate_tables(spark):
     assert N.neighbour_information(df.limit(2), ["x"], "y").first().importance == 0.0
     assert N.neighbour_information(df.filter("x = 1"), ["x"], "y").first().importance == 0.0
     assert N.neighbour_information(df.limit(0), ["x"], "y").first().importance == 0.0
+
+
+def test_axis_values_are_copied_only_for_strips_with_many_questions(spark, monkeypatch):
+    """2,000 values in strips of 2: a value is copied once for every 200 questions that its own strip gets."""
+    from pyspark.sql import GroupedData
+
+    rows = []
+    asked = GroupedData.cogroup
+    monkeypatch.setattr(GroupedData, "cogroup", lambda held, other: rows.append(held._df.count()) or asked(held, other))
+    points = spark.range(2_000).select("id", (F.col("id") * 1.0).alias("x"), F.lit(1).cast("long").alias("w"))
+    for radius, most in ((2.5, 2_100), (5_000.0, 2_100)):
+        got = N.axis_counts(points.withColumn("r", F.lit(radius)), "x", "n", strip=2)
+        found = {r.id: r.n for r in got.collect()}
+        reach = int(radius)
+        assert found == {i: min(1_999, i + reach) - max(0, i - reach) for i in range(2_000)}
+        assert rows.pop() <= most
+
+
+def test_nearest_points_agree_with_all_pairs():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    for n, asked in ((1, 1), (3, 5), (700, 90), (900, 900)):
+        p = pd.DataFrame({"x": rng.integers(0, 40, n) + rng.random(n) ** 6, "y": rng.normal(size=n) ** 3, "w": rng.integers(1, 3, n)})
+        q = p if n == asked else pd.DataFrame({"x": rng.random(asked) * 60, "y": rng.normal(size=asked)})
+        d, w = N._nearest(p, q, 3, own=n == asked)
+        want = np.maximum(np.abs(p.x.to_numpy() - q.x.to_numpy()[:, None]), np.abs(p.y.to_numpy() - q.y.to_numpy()[:, None]))
+        order = np.argsort(want, axis=1, kind="stable")[:, :4]
+        assert (d == np.take_along_axis(want, order, 1)).all()
+        assert (w == p.w.to_numpy()[order] - (np.arange(min(4, n)) == 0) * (n == asked)).all()
