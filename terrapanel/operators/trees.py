@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -70,13 +72,16 @@ _SIZES = {"forest": "numTrees", "boosted": "maxIter"}
 
 
 def search_by_prefixes(
-    df: DataFrame, features: Sequence[str], target: str, kind: str, grid: dict[str, Sequence], fold: str, k: int = 5, **params
+    df: DataFrame, features: Sequence[str], target: str, kind: str, grid: dict[str, Sequence], fold: str, k: int = 5,
+    parallelism: int = 4, **params,
 ) -> tuple[PipelineModel, list[tuple[dict, float]]]:
     """Grid search that fits each ensemble once, at its largest size, and scores its beginnings as the smaller ones.
 
     The first trees of an ensemble are the smaller ensemble, in a forest by its seeds and in boosting by
     construction, so a fold needs one fit for each setting of the other parameters and one pass that scores
-    all sizes. Returns the refitted best model and each setting's CV RMSE, mean of squared errors over folds.
+    all sizes. Boosting grows one tree after the other, each level a short job, so ``parallelism`` fits run side
+    by side and the rows they pass over are dealt evenly, to as many partitions as tasks can run at once.
+    Returns the refitted best model and each setting's CV RMSE, mean of squared errors over folds.
     """
     name = _SIZES[kind]
     sizes = sorted(grid[name])
@@ -84,14 +89,19 @@ def search_by_prefixes(
     for p, values in grid.items():
         if p != name:
             others = [{**o, p: v} for o in others for v in values]
-    ready = checkpointed(complete_rows(df.select(*features, target, fold)))
+    spark = df.sparkSession
+    ready = checkpointed(complete_rows(df.select(*features, target, fold)).repartition(spark.sparkContext.defaultParallelism))
+
+    def errors_of(task: tuple[dict, int]) -> np.ndarray:
+        setting, f = task
+        train, rest = ready.filter(F.col(fold) != f), ready.filter(F.col(fold) == f)
+        model = pipeline(kind, features, target, **{**params, **setting, name: sizes[-1]}).fit(train)
+        return _prefix_errors(model, rest, features, target, kind, sizes)
+
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(inheritable_thread_target(spark)(errors_of), [(o, f) for o in others for f in range(k)], chunksize=1)
     results = []
-    for setting in others:
-        errors = np.zeros((k, len(sizes)))
-        for f in range(k):
-            train, rest = ready.filter(F.col(fold) != f), ready.filter(F.col(fold) == f)
-            model = pipeline(kind, features, target, **{**params, **setting, name: sizes[-1]}).fit(train)
-            errors[f] = _prefix_errors(model, rest, features, target, kind, sizes)
+    for setting, errors in zip(others, np.reshape(found, (len(others), k, len(sizes)))):
         results += [({**setting, name: n}, float(np.sqrt(e))) for n, e in zip(sizes, errors.mean(0))]
     best = min(results, key=lambda r: r[1])[0]
     return pipeline(kind, features, target, **{**params, **best}).fit(ready), results

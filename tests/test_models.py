@@ -3,6 +3,7 @@ import math
 import random
 import subprocess
 import sys
+import threading
 
 import numpy as np
 import pytest
@@ -293,6 +294,21 @@ def test_search_by_prefixes_scores_the_smaller_ensembles(frame, kind, grid):
     assert len(best.stages[-1].treeWeights) == low[TR._SIZES[kind]]
 
 
+def test_search_fits_side_by_side_on_evenly_dealt_rows(spark, frame, monkeypatch):
+    """Two fits meet at a barrier, and a table of one partition is dealt to as many as tasks can run at once."""
+    meet, parts, inner = threading.Barrier(2), [], TR._prefix_errors
+
+    def held(model, rest, *args):
+        parts.append(rest.select(F.spark_partition_id().alias("p")).distinct().count())
+        meet.wait(120)
+        return inner(model, rest, *args)
+
+    monkeypatch.setattr(TR, "_prefix_errors", held)
+    df = frame.withColumn("fold", (F.col("id") % 2).cast("int")).coalesce(1)
+    _, results = TR.search_by_prefixes(df, ["a", "b", "c"], "y", "boosted", {"maxIter": [2], "maxDepth": [2]}, "fold", 2)
+    assert len(results) == 1 and parts == [spark.sparkContext.defaultParallelism] * 2
+
+
 def test_consensus_of_models(spark, frame):
     """Consensus and selection recomputed from the methods' scores."""
     names = ["a", "b", "c", "noise"]
