@@ -1,11 +1,15 @@
 """Fixed-effects least squares with robust standard errors.
 
-A family of models of one target shares one stored table of complete rows, stacked by the row
-subsets its models use. One effect (the largest) is swept out by group means; small effects become
-explicit 0/1 columns, which by the Frisch-Waugh theorem gives the same answer as absorbing them;
-further large effects are solved for by conjugate gradients over their level means. After that one
-pass gives a cross-product matrix per subset, from whose submatrices every model is solved, and
-one more pass the score sums per place or cluster of all models together.
+A family of models of one target shares one stored table of complete rows. One effect (the largest)
+is swept out by group means; small effects become explicit 0/1 columns, which by the Frisch-Waugh
+theorem gives the same answer as absorbing them; further large effects are solved for by conjugate
+gradients over their level means. One pass gives a cross-product matrix per row subset the models
+use, from whose submatrices every model is solved, and one more pass the score sums per place or
+cluster of all models together.
+
+With one large effect the rows are dealt by it, and each pass stacks the subsets, adds the 0/1
+columns and takes the means off inside its tasks, a batch of whole levels at a time: the stacked
+table, several times as long and wide, is neither stored nor joined. With more it is stored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from terrapanel.operators.moments import gram, sum_of_vectors
 from terrapanel.session import checkpointed, release
 
 COLLINEAR_TOLERANCE = 1e-9
+#: Rows of a batch of whole levels, about, and the most of a level that a task holds at once.
+BATCH_ROWS = 1 << 14
+HELD_ROWS = 1 << 15
 
 
 @dataclass
@@ -252,29 +259,114 @@ def _scores(m: np.ndarray, solved: Sequence[_Solved], y: int) -> np.ndarray:
     return np.column_stack(parts)
 
 
-def _score_sums(work: DataFrame, keys: Sequence[str], columns: Sequence[str], solved: Sequence[_Solved]) -> tuple[DataFrame, list[str]]:
+def _stacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of group and columns as they are stored, and the place of each in the batch."""
+    return np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]), np.arange(batch.num_rows)
+
+
+def _deal(base: DataFrame, stack: DataFrame, conditions: Sequence[Column], levels: dict[str, list], keys: Sequence[str], values: Sequence[str]):
+    """Rows dealt and sorted by the first effect, with what batches them by whole levels and sweeps a batch.
+
+    Columns: the effect, ``h``, the keys, then as doubles the groups' marks, the codes of the small effects (0: the
+    level without a column) and the values. A level of more than HELD_ROWS rows is spread over tasks; ``h`` numbers
+    those levels, and their means come from an aggregation. They are at most the rows by HELD_ROWS.
+    """
+    spark, kinds = base.sparkSession, dict(base.dtypes)
+    # -0.0 and 0.0 are one level
+    effect = (F.col("fe0") + F.lit(0.0) if kinds["fe0"] in ("float", "double") else F.col("fe0")).alias("fe0")
+    coded = [(F.array_position(F.array(*[F.lit(v) for v in found]), F.col(a)) if found else F.lit(0)).cast("double").alias(f"c_{a}") for a, found in levels.items()]
+    marks = [F.coalesce(c, F.lit(False)).cast("double").alias(f"g{i}") for i, c in enumerate(conditions)]
+    clean = [F.when(_present(v), F.col(v)).otherwise(0.0).alias(v) for v in values]
+    rows = base.select(effect, *keys, *marks, *coded, *clean)
+    large = [r[0] for r in rows.groupBy("fe0").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HELD_ROWS).select("fe0").collect()]
+    groups, sizes = len(conditions), [len(found) for found in levels.values()]
+    k = sum(sizes) + len(values)
+    means = np.zeros((len(large) + 1, groups, k))
+    order = ["fe0", "h", *keys, *[f"g{i}" for i in range(groups)], *[f"c_{a}" for a in levels], *values]
+    if large:
+        known = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(large, 1)], f"fe0 {kinds['fe0']}, h int"))
+        rows = rows.join(known, "fe0", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+        dummies = [(F.col(a) == F.lit(v)).cast("double") for a, found in levels.items() for v in found]
+        averages = [F.avg(c).alias(f"a{i}") for i, c in enumerate([*dummies, *[F.col(v) for v in values]])]
+        for r in stack.join(known, "fe0").groupBy("h", "grp").agg(*averages).collect():
+            means[r["h"], r["grp"]] = r[2:]
+        spread = [F.when(F.col("h") > 0, F.pmod(F.xxhash64(*values), F.lit(1 << 20)))]
+    else:
+        rows, spread = rows.withColumn("h", F.lit(0)), []
+    dealt = rows.select(*order).repartition("fe0", *spread).sortWithinPartitions("fe0")
+    held, front = BATCH_ROWS, 2 + len(keys)
+
+    def whole_levels(batches):
+        """Batches that end where a level does, those of spread levels excepted."""
+        kept: list[pa.RecordBatch] = []
+        for b in batches:
+            kept.append(b)
+            if sum(x.num_rows for x in kept) < held:
+                continue
+            joined = pa.Table.from_batches(kept).combine_chunks()
+            codes = joined.column(0).combine_chunks().dictionary_encode()
+            codes = (codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+            end = len(codes) if joined.column(1)[-1].as_py() else int(np.flatnonzero(codes == codes[-1])[0])
+            if end:
+                yield from joined.slice(0, end).combine_chunks().to_batches()
+            kept = joined.slice(end).to_batches()
+        if kept:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+    def swept(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of group and columns less the means of group and level, and the place of each in the batch."""
+        level = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        h = batch.column(1).to_numpy(zero_copy_only=False)
+        m = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[front:]])
+        ones = [(m[:, [groups + j]] == np.arange(1, size + 1)).astype(float) for j, size in enumerate(sizes)]
+        z = np.column_stack([*ones, m[:, groups + len(sizes) :]])
+        parts, places = [], []
+        for g in range(groups):
+            place = np.flatnonzero(m[:, g])
+            if not len(place):
+                continue
+            mine, of = z[place], level[place]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            n = np.diff(first, append=len(of))
+            mean = np.add.reduceat(mine, first, axis=0) / n[:, None]
+            known = h[place[first]]
+            mean[known > 0] = means[known[known > 0], g]
+            parts.append(np.column_stack([np.full(len(mine), float(g)), mine - np.repeat(mean, n, axis=0)]))
+            places.append(place)
+        if not parts:
+            return np.zeros((0, 1 + k)), np.zeros(0, np.int64)
+        return np.concatenate(parts), np.concatenate(places)
+
+    return dealt, whole_levels, swept
+
+
+def _score_sums(
+    work: DataFrame, keys: Sequence[str], columns: Sequence[str], solved: Sequence[_Solved], rebatch, swept
+) -> tuple[DataFrame, list[str]]:
     """Scores of all models added up per key, first inside each batch."""
     names = [f"s{i}" for i in range(sum(len(s.shown) for s in solved))]
     y = len(columns) - 1
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
+        for b in rebatch(batches):
+            m, place = swept(b) if b.num_rows else (None, ())
+            if not len(place):
                 continue
-            m = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in b.columns[len(keys) :]])
+            found = [b.column(b.schema.get_field_index(c)) for c in keys]
             code = np.zeros(b.num_rows, np.int64)
-            for c in b.columns[: len(keys)]:
+            for c in found:
                 encoded = c.dictionary_encode()
                 code = code * (len(encoded.dictionary) + 1) + encoded.indices.to_numpy(zero_copy_only=False)
+            code = code[place]
             order = np.argsort(code, kind="stable")
             first = np.flatnonzero(np.diff(code[order], prepend=-1))
             sums = np.add.reduceat(_scores(m, solved, y)[order], first, axis=0)
-            held = [c.take(pa.array(order[first])) for c in b.columns[: len(keys)]]
+            held = [c.take(pa.array(place[order[first]])) for c in found]
             yield pa.RecordBatch.from_arrays([*held, *[pa.array(v) for v in sums.T]], names=[*keys, *names])
 
     kinds = dict(work.dtypes)
     ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], *[f"{n} double" for n in names]])
-    part = work.select(*keys, "grp", *columns).mapInArrow(run, ddl)
+    part = work.mapInArrow(run, ddl)
     return part.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names]), names
 
 
@@ -378,7 +470,6 @@ def _fit(
         F.explode(member).alias("grp"), *effect_alias.values(), *keys,
         *[F.when(_present(v), F.col(v)).otherwise(0.0).alias(v) for v in values],
     )
-    stack = checkpointed(stack)
     facts = {
         r["grp"]: r
         for r in stack.groupBy("grp").agg(
@@ -391,33 +482,41 @@ def _fit(
     most = [max(sizes[g, i][0] for g in range(len(groups))) for i in range(len(effects))]
     large = [0, *[i for i in range(1, len(effects)) if most[i] > dummy_levels]]
     dummies: list[str] = []
-    work = stack
+    coded: dict[str, list] = {}
     for i in range(1, len(effects)):
         if i in large:
             continue
         # at most dummy_levels rows for each group
         a = f"fe{i}"
         found = [r[0] for r in base.select(a).distinct().orderBy(a).collect()][1:]
-        names = [f"d_{a}_{j}" for j in range(len(found))]
-        work = work.select("*", *[(F.col(a) == F.lit(v)).cast("double").alias(m) for v, m in zip(found, names)])
-        dummies += names
+        coded[a] = found
+        dummies += [f"d_{a}_{j}" for j in range(len(found))]
     columns = [*dummies, *values[1:], "v0"]
-    swept_by = [["grp", f"fe{i}"] for i in large]
-    work, rounds = sweep(work.select("grp", *[f"fe{i}" for i in large], *keys, *columns), swept_by, columns)
-    work = checkpointed(work.select("grp", *keys, *columns))
+    if len(large) == 1:
+        rounds = 0
+        work, rebatch, swept = _deal(base, stack, [c for c, _ in groups], coded, keys, [*values[1:], "v0"])
+    else:
+        ones = [(F.col(a) == F.lit(v)).cast("double") for a, found in coded.items() for v in found]
+        stack = checkpointed(stack)
+        wide = stack.select("*", *[c.alias(d) for c, d in zip(ones, dummies)])
+        wide, rounds = sweep(wide.select("grp", *[f"fe{i}" for i in large], *keys, *columns), [["grp", f"fe{i}"] for i in large], columns)
+        work, rebatch = checkpointed(wide.select(*keys, "grp", *columns)), iter
+
+        def swept(batch):
+            return _stacked(batch.select(["grp", *columns]))
 
     k, y = len(columns), len(columns) - 1
     total = len(groups)
 
     def products(batch) -> np.ndarray:
-        m = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
+        m, _ = swept(batch)
         out = np.zeros((total, k, k))
         for g in np.unique(m[:, 0]).astype(int):
             z = m[m[:, 0] == g, 1:]
             out[g] = z.T @ z
         return out
 
-    gram_of = sum_of_vectors(work.select("grp", *columns), products, total * k * k).reshape(total, k, k)
+    gram_of = sum_of_vectors(work, products, total * k * k, rebatch).reshape(total, k, k)
     solved: dict[str, _Solved] = {}
     for name, m in models.items():
         g = group_of[name]
@@ -431,13 +530,12 @@ def _fit(
     meat = None
     if vcov == "hetero":
         def outer(batch) -> np.ndarray:
-            m = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns])
-            s = _scores(m, every, y)
+            s = _scores(swept(batch)[0], every, y)
             return s.T @ s
 
-        meat = sum_of_vectors(work.select("grp", *columns), outer, int(starts[-1]) ** 2).reshape(starts[-1], starts[-1])
+        meat = sum_of_vectors(work, outer, int(starts[-1]) ** 2, rebatch).reshape(starts[-1], starts[-1])
     elif vcov in ("cluster", "conley") and starts[-1]:
-        sums, names = _score_sums(work, keys, columns, every)
+        sums, names = _score_sums(work, keys, columns, every, rebatch, swept)
         if vcov == "cluster":
             meat = gram(sums, names)[1:, 1:]
         else:

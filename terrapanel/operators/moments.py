@@ -33,8 +33,10 @@ def sum_over_partitions(
     return sum_of_vectors(data, lambda batch: reduce_batch(_matrix(batch)), size)
 
 
-def sum_of_vectors(df: DataFrame, reduce_batch: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """Sum over all Arrow batches of vectors of ``size`` numbers.
+def sum_of_vectors(
+    df: DataFrame, reduce_batch: Callable[[pa.RecordBatch], np.ndarray], size: int, rebatch: Callable[[Iterator], Iterator] = iter
+) -> np.ndarray:
+    """Sum over all Arrow batches, or those ``rebatch`` makes of a partition's, of vectors of ``size`` numbers.
 
     A partition gives one row that holds its vector; ``GATHERS`` tasks add these up as they stream
     in, and the driver receives at most that many vectors.
@@ -49,7 +51,7 @@ def sum_of_vectors(df: DataFrame, reduce_batch: Callable[[pa.RecordBatch], np.nd
             yield pa.RecordBatch.from_arrays(row, names=["gather", "v"])
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from added(np.asarray(reduce_batch(b), dtype=float).ravel() for b in batches if b.num_rows)
+        yield from added(np.asarray(reduce_batch(b), dtype=float).ravel() for b in rebatch(batches) if b.num_rows)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from added(np.frombuffer(x.as_py(), "<f8") for b in batches for x in b.column(1))

@@ -116,3 +116,29 @@ def test_effects_inside_clusters_need_not_count(spark):
     n = len(rows)
     assert full.parameters == 12 + 6 - 1 + 1
     assert (full.errors[0] / fewer.errors[0]) ** 2 == pytest.approx((n - 7) / (n - 18))
+
+
+def test_one_large_effect_is_swept_inside_tasks(spark, monkeypatch):
+    """No stored or joined stack, and the same fit where levels are too large for a task, which spreads them."""
+    rng = random.Random(6)
+    rows = [(f"g{g}", t % 5, g % 3, rng.gauss(g, 1), rng.gauss(0, 1)) for g in range(9) for t in range(2 + 4 * g)]
+    df = spark.createDataFrame(rows, "g string, t int, c int, x double, y double").repartition(3)
+    table = np.array([(int(g[1:]), t, x, y) for g, t, _, x, y in rows])
+    d = np.column_stack([(table[:, j] == v).astype(float) for j in (0, 1) for v in np.unique(table[:, j])])
+    x, y = (v - d @ np.linalg.lstsq(d, v, rcond=None)[0] for v in table[:, 2:].T)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("stacked rows are joined to their means")
+
+    stored, keep = [], FE.checkpointed
+    monkeypatch.setattr(FE, "demean", refuse)
+    monkeypatch.setattr(FE, "checkpointed", lambda df: stored.append(df.columns) or keep(df))
+    errors = []
+    for held, batch in ((1 << 15, 1), (8, 16)):
+        monkeypatch.setattr(FE, "HELD_ROWS", held)
+        monkeypatch.setattr(FE, "BATCH_ROWS", batch)
+        fit = FE.fixed_effects_ols(df, "y", ["x"], ["g", "t"], vcov="cluster", cluster="c")
+        assert fit.estimates == pytest.approx([x @ y / (x @ x)], rel=1e-9) and fit.n == len(rows)
+        errors.append(fit.errors[0])
+    assert errors[0] == pytest.approx(errors[1], rel=1e-9)
+    assert len(stored) == 2 and not any("grp" in columns for columns in stored)
